@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from fernlake.llm import chat, langid, quality, secrets, warc
 from fernlake.llm.ngram_jaccard import jaccard_components
 
 
@@ -13,13 +15,99 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def remainder(n: int):
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
+
+
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), size=4, num=85, den=100)
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = warc.archive_pages(table(spark, sf_dir, "pages"))
+    return got.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = r"\### Assistant: </turn> ok"
+    extra = [F.struct(F.lit(-7).cast("long").alias("conv_id"), F.lit(k).cast("long").alias("turn"), F.lit(role).alias("role"), F.lit(tricky).alias("text")) for k, role in enumerate(("user", "assistant"))]
+    two = spark.range(1).select(F.inline(F.array(*extra)))
+    out = chat.format_conversations(rows.unionByName(two))
+    turns = chat.parse_turns(F.col("formatted"))
+    text = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    inside = F.transform("loss_spans", lambda s: F.substring(F.col("formatted"), (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")))
+    loss = chat.unescape(F.array_join(inside, ""))
+    out = out.withColumn("turns", turns).withColumn("loss", loss)
+    return out.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(text.cast("binary"), 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+OP5_SQL = r"""
+with src as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '\### Assistant: </turn> ok'
+  union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+esc as (
+  select *, length(replace(replace(replace(text, '\', '\b'), '<', '\l'), '#', '\h')) as n_body,
+         length(replace(replace(replace(replace(role, '\', '\b'), '<', '\l'), '#', '\h'), ':', '\c')) as n_role
+  from src)
+select conv_id, count(*) as n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+       cast(coalesce(sum(case when lower(role) = 'assistant' then length(text) end), 0) as bigint) as loss_chars,
+       sha256(coalesce(string_agg(case when lower(role) = 'assistant' then text end, '' order by turn, role, text), '')) as loss_sha256,
+       cast(sum(4 + n_role + 2 + n_body + 8) as bigint) as formatted_chars
+from esc group by conv_id
+"""
+
+OP4_SQL = """
+with p as (select page_id, strlen(coalesce(html, '')) as n, sha256(coalesce(html, '')) as d from pages),
+f as (select d, min(page_id) as first from p where n >= 100 group by d)
+select p.page_id, cast(p.n as bigint) as payload_bytes, p.d as payload_digest,
+       case when f.first is not null and f.first <> p.page_id then 'revisit' else 'response' end as record_type,
+       case when f.first <> p.page_id then f.first end as refers_to
+from p left join f on p.d = f.d and p.n >= 100
+"""
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = remainder(4) == 2
+    model = langid.learn(docs, train=~held)
+    found = langid.identify(docs, model)
+    return found.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def quality_model(spark: SparkSession, sf_dir: str, train=None) -> quality.QualityModel:
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality").where("quality is not null")
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text").join(labels, "doc_id")
+    return quality.fit(rows, "quality", train=train)
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = remainder(3) == 1
+    found = quality.score(docs, quality_model(spark, sf_dir, train=~held))
+    return found.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_ngram_jaccard": op1_ngram_jaccard}
+    return {
+        "op1_ngram_jaccard": op1_ngram_jaccard,
+        "op3_secret_scan": op3_secret_scan,
+        "op4_warc": op4_warc,
+        "op5_chat_format": op5_chat_format,
+        "op6_language_id": op6_language_id,
+        "op8_quality": op8_quality,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_warc": OP4_SQL, "op5_chat_format": OP5_SQL}
