@@ -58,14 +58,19 @@ def _meta(size: int):
             n = np.zeros(batch.num_rows, np.int64)
             hi, lo = np.zeros(batch.num_rows, tk.U), np.zeros(batch.num_rows, tk.U)
             sketch = np.zeros((batch.num_rows, 8), tk.U)
+            wide: list[bytes | None] = [None] * batch.num_rows
             for i, s in _sets(batch, size):
                 n[i] = len(s)
                 hi[i], lo[i] = (s * _A).sum(), tk.mix(s ^ _B).sum()
-                bits = (np.bincount((s & tk.U(511)).astype(np.int64), minlength=512) & 1).astype(np.uint8)
+                size_2 = max(512, 1 << (len(s) - 1).bit_length()) if len(s) else 512
+                bits = (np.bincount((s & tk.U(size_2 - 1)).astype(np.int64), minlength=size_2) & 1).astype(np.uint8)
+                if size_2 > 512:
+                    wide[i] = np.packbits(bits).tobytes()
+                    bits = np.bitwise_xor.reduce(bits.reshape(-1, 512), axis=0)
                 sketch[i] = np.packbits(bits).view(tk.U)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n), tk.signed(hi), tk.signed(lo), *(tk.signed(sketch[:, k]) for k in range(8))],
-                names=["id", "n", "hi", "lo", *SKETCH],
+                [batch.column(0), pa.array(n), tk.signed(hi), tk.signed(lo), *(tk.signed(sketch[:, k]) for k in range(8)), pa.array(wide, pa.binary())],
+                names=["id", "n", "hi", "lo", *SKETCH, "wide"],
             )
 
     return run
@@ -156,6 +161,25 @@ def _verify(size: int, num: int, den: int):
     return run
 
 
+def _narrow(num: int, den: int):
+    """Drop pairs by the parity bound on their wide sketches; a sketch folds to half its bits by xor."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            na, nb = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            ok = np.ones(batch.num_rows, bool)
+            for i, (x, y) in enumerate(zip(batch.column(4), batch.column(5), strict=True)):
+                if x.is_valid and y.is_valid:
+                    p, q = np.frombuffer(x.as_py(), tk.U), np.frombuffer(y.as_py(), tk.U)
+                    least = min(len(p), len(q))
+                    p, q = (np.bitwise_xor.reduce(v.reshape(-1, least), axis=0) for v in (p, q))
+                    ok[i] = int(np.bitwise_count(p ^ q).sum()) * (den + num) <= (den - num) * int(na[i] + nb[i])
+            keep = pa.array(ok)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+
+    return run
+
+
 def _cross(num: int, den: int):
     """Pairs of a bucket that lie in different components and may link; rows are sorted by key."""
 
@@ -233,10 +257,11 @@ def jaccard_components(
     scratch = Scratch(spark)
 
     longs = ", ".join(f"{s} long" for s in SKETCH)
-    meta = scratch.keep(rows.mapInArrow(_meta(size), f"id long, n long, hi long, lo long, {longs}"), "meta")
+    meta = scratch.keep(rows.mapInArrow(_meta(size), f"id long, n long, hi long, lo long, {longs}, wide binary"), "meta")
     known = meta.where("id is not null and n > 0")
     rep_of = known.groupBy("n", "hi", "lo").agg(F.min("id").alias("rep"))
-    reps = scratch.keep(known.join(rep_of, ["n", "hi", "lo"]).where("id = rep").dropDuplicates(["id", "hi", "lo"]).select("rep", "n", *SKETCH), "reps")
+    reps = scratch.keep(known.join(rep_of, ["n", "hi", "lo"]).where("id = rep").dropDuplicates(["id", "hi", "lo"]).select("rep", "n", *SKETCH, "wide"), "reps")
+    sketches = reps.select("rep", "n", *SKETCH)
 
     # the frequent class: the most common prefix tokens, at most max_frequent of them (8 bytes each)
     tokens = rows.mapInArrow(_prefix_tokens(size, num, den), "token long")
@@ -251,7 +276,11 @@ def jaccard_components(
     index = scratch.keep(shared.select("key", "rep", "n", "c"), "index")
 
     def links(pairs: DataFrame, name: str) -> DataFrame:
-        pairs = scratch.keep(pairs, f"{name}-pairs")
+        # long sets need a sketch of about a bit for each token; it decides before any text moves
+        x = reps.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("wide").alias("wa"))
+        y = reps.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("wide").alias("wb"))
+        pairs = pairs.join(y, "b").join(x, "a").select("a", "b", "na", "nb", "wa", "wb")
+        pairs = scratch.keep(pairs.mapInArrow(_narrow(num, den), "a long, b long"), f"{name}-pairs")
         ids = scratch.keep(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), f"{name}-ids")
         few = ids.count() <= broadcast_ids
         texts = scratch.keep(rows.join(F.broadcast(ids) if few else ids, "id", "left_semi"), f"{name}-texts")
@@ -266,12 +295,12 @@ def jaccard_components(
     central = index.groupBy("rep").agg((F.count(F.lit(1)) / F.first("n")).alias("share"))
     led = index.join(central, "rep").withColumn("lead", -F.max(F.struct("share", (-F.col("rep")).alias("r"))).over(by_key)["r"])
     star = led.where("lead != rep").select(F.least("lead", "rep").alias("a"), F.greatest("lead", "rep").alias("b")).distinct()
-    star = star.join(reps.alias("x"), F.col("a") == F.col("x.rep")).join(reps.alias("y"), F.col("b") == F.col("y.rep"))
+    star = star.join(sketches.alias("x"), F.col("a") == F.col("x.rep")).join(sketches.alias("y"), F.col("b") == F.col("y.rep"))
     first = links(star.where(_may_link(num, den, "x", "y")).select("a", "b"), "star")
     comp = components(first).withColumnsRenamed({"node": "rep", "component": "comp"})
 
     # what is left: pairs of one bucket in different components
-    placed = reps.join(comp, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    placed = sketches.join(comp, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     rest = index.join(placed.select("rep", "comp", *SKETCH), "rep")
     rest = rest.withColumn("lo", F.min("comp").over(by_key)).withColumn("hi", F.max("comp").over(by_key)).where("lo != hi")
     blocks = F.ceil(F.col("c") / cell).cast("int")
