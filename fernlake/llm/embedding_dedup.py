@@ -198,7 +198,7 @@ def near_duplicates(
         if not got.num_rows:
             break
         x = np.asarray(got["v"].combine_chunks().flatten(), np.float64).reshape(-1, dims)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        x = x / np.linalg.norm(x, axis=1, keepdims=True)
         leaves = got["leaves"].to_pylist()
         rows_of: dict[int, list[int]] = {}
         for i, ls in enumerate(leaves):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernlake.llm import chat, langid, quality, secrets, warc
+from fernlake.llm import chat, decontaminate, embedding_dedup, langid, mixing, quality, secrets, token_counts, warc
 from fernlake.llm.ngram_jaccard import jaccard_components
 
 
@@ -23,6 +23,10 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), size=4, num=85, den=100)
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.length_histogram(token_counts.document_tokens(table(spark, sf_dir, "documents")))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
@@ -91,6 +95,10 @@ def quality_model(spark: SparkSession, sf_dir: str, train=None) -> quality.Quali
     return quality.fit(rows, "quality", train=train)
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = remainder(3) == 1
@@ -98,14 +106,31 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+#: Target weights of a mixture that holds the crawl-like source to a quarter.
+MIX_WEIGHTS = {"src0": 7}
+
+
+def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), MIX_WEIGHTS)
+    return mixed.select("doc_id", "mix_source", "block", "slot", "release", "deadline", "position")
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard": op1_ngram_jaccard,
+        "op2_token_counts": op2_token_counts,
         "op3_secret_scan": op3_secret_scan,
         "op4_warc": op4_warc,
         "op5_chat_format": op5_chat_format,
         "op6_language_id": op6_language_id,
+        "op7_embedding_dedup": op7_embedding_dedup,
         "op8_quality": op8_quality,
+        "op9_mix_sources": op9_mix_sources,
+        "op10_decontaminate": op10_decontaminate,
     }
 
 
