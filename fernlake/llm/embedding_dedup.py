@@ -16,8 +16,9 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fernlake.operators.components import components
 from fernlake.plans.scratch import Scratch
@@ -95,16 +96,19 @@ def _label(parent: int, node: int, stage: int) -> int:
 
 
 def _leaf_links(cosine: float):
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         label = int(key[0])
         v = np.stack(pdf["v"].to_numpy()).astype(np.float64)
         v /= np.linalg.norm(v, axis=1, keepdims=True)
         rep, copies, block = pdf["rep"].to_numpy(), pdf["copies"].to_numpy(), pdf["block"].to_numpy()
         diagonal = pdf["diagonal"].to_numpy()
-        width = max(map(len, pdf["leaves"]))
-        leaves = np.full((len(pdf), width), np.iinfo(np.int64).max)
-        for i, x in enumerate(pdf["leaves"]):
-            leaves[i, : len(x)] = x
+        # which earlier leaves each row also lies in, as bits
+        size = pdf["leaves"].map(len).to_numpy()
+        flat = np.concatenate(pdf["leaves"].to_list())
+        owner = np.repeat(np.arange(len(pdf)), size)[flat < label]
+        earlier, at = np.unique(flat[flat < label], return_inverse=True)
+        bits = np.zeros((len(pdf), len(earlier) // 64 + 1), np.uint64)
+        np.bitwise_or.at(bits, (owner, at // 64), np.uint64(1) << (at % 64).astype(np.uint64))
         count, root = np.zeros(len(pdf), np.int64), np.arange(len(pdf))
         ends: list[np.ndarray] = []
         for k in range(0, len(pdf), 1024):
@@ -114,12 +118,11 @@ def _leaf_links(cosine: float):
             keep = (i < j) & ((block[i] != block[j]) | diagonal[i])
             ends.append(np.stack([i[keep], j[keep]]))
         i, j = np.concatenate(ends, axis=1)
-        for k in range(0, len(i), 1 << 14):
-            a, b = i[k : k + (1 << 14)], j[k : k + (1 << 14)]
-            earlier = (leaves[a][:, :, None] == leaves[b][:, None, :]) & (leaves[a] < label)[:, :, None]
-            first = ~earlier.any(axis=(1, 2))
-            np.add.at(count, a[first], copies[b[first]])
-            np.add.at(count, b[first], copies[a[first]])
+        for k in range(0, len(i), 1 << 16):
+            a, b = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
+            first = ~(bits[a] & bits[b]).any(axis=1)
+            a, b = a[first], b[first]
+            count += np.bincount(a, copies[b], minlength=len(pdf)).astype(np.int64) + np.bincount(b, copies[a], minlength=len(pdf)).astype(np.int64)
         while len(i):
             low = np.minimum(root[i], root[j])
             new = root.copy()
@@ -148,7 +151,7 @@ def near_duplicates(
     cosine: float = 0.95,
     trees: int = 4,
     leaf: int = 1024,
-    spill: float = 0.04,
+    spill: float = 0.02,
     sample: int = 20_000,
     depth: int = 8,
     max_stages: int = 6,
@@ -165,8 +168,11 @@ def near_duplicates(
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark)
-    v = F.col(vec_col).cast("array<double>")
-    good = F.coalesce((F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0), F.lit(False))
+    # vectors travel in their own width; all arithmetic on them is in double precision
+    single = vectors.schema[vec_col].dataType == T.ArrayType(T.FloatType())
+    kind = "array<float>" if single else "array<double>"
+    v = F.col(vec_col).cast(kind)
+    good = F.coalesce((F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x).cast("double") < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0), F.lit(False))
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v"), good.alias("good"))
     valid = rows.where("good and id is not null").select("id", "v")
     common = valid.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
@@ -225,7 +231,7 @@ def near_duplicates(
                     if child not in cuts:
                         tree_of[_label(k, child, stage)] = tree
         shared = spark.sparkContext.broadcast((dims, spill, seed, stage, depth, plans))
-        new = scratch.keep(placed.mapInArrow(_place(shared, names), "rep long, copies long, v array<double>, leaves array<long>"), "placed")
+        new = scratch.keep(placed.mapInArrow(_place(shared, names), f"rep long, copies long, v {kind}, leaves array<long>"), "placed")
         scratch.drop(placed)
         placed = new
 
