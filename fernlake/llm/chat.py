@@ -31,22 +31,26 @@ def unescape(c: Column) -> Column:
     return F.replace(c, F.lit("\\b"), F.lit("\\"))
 
 
-def reply_paths(nodes: DataFrame, best: int | None = None, max_rounds: int = 40) -> DataFrame:
+def reply_paths(nodes: DataFrame, best: int | None = None) -> DataFrame:
     """(tree, leaf, rank, pos, node): the nodes of each root-to-leaf path, best branches first.
 
     `nodes` has tree, node, parent, score; node ids are unique within a tree.  A node whose
     parent is null or absent is a root.  A null score counts as 0.  Branches of a tree are ranked
     by the sum of scores along the path, ties by leaf id; `best` keeps that many per tree.
-    A cycle has no root and no leaf to start from and gives no path.
+    Nodes on or below a cycle have no root and are on no path: the rounds end after log2 of the
+    largest tree, by when every other node has met its root.
     """
     spark = nodes.sparkSession
     with Scratch(spark) as scratch:
         base = scratch.keep(nodes.select("tree", "node", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")), "nodes")
         known = base.select("tree", F.col("node").alias("parent"), F.lit(True).alias("there"))
         up = base.join(known, ["tree", "parent"], "left").withColumn("parent", F.when(F.col("there"), F.col("parent"))).select("tree", "node", "parent", "score")
+        total = scratch.keep(base.groupBy("tree").agg(F.count(F.lit(1)).alias("n")), "sizes")
+        rounds = (total.agg(F.max("n")).first()[0] or 1).bit_length() + 1
         # pointer doubling: depth and path score of every node
-        cur = scratch.keep(up.select("tree", "node", F.col("parent").alias("anc"), F.lit(0).alias("depth"), "score").withColumn("depth", F.when(F.col("anc").isNull(), 0).otherwise(1)), "jump")
-        for _ in range(max_rounds):
+        depth = F.when(F.col("parent").isNull(), F.lit(0)).otherwise(F.lit(1)).cast("long")
+        cur = scratch.keep(up.select("tree", "node", F.col("parent").alias("anc"), depth.alias("depth"), "score"), "jump")
+        for _ in range(rounds):
             if cur.where("anc is not null").limit(1).isEmpty():
                 break
             done, open_ = cur.where("anc is null"), cur.where("anc is not null")
@@ -64,28 +68,29 @@ def reply_paths(nodes: DataFrame, best: int | None = None, max_rounds: int = 40)
             ranked = ranked.where(F.col("rank") <= best)
         # a tree of one path is the path: its nodes by depth; others climb by doubling from each leaf
         ranked = scratch.keep(ranked.select("tree", F.col("node").alias("leaf"), "rank", "depth", "score"), "leaves")
-        total = scratch.keep(base.groupBy("tree").agg(F.count(F.lit(1)).alias("n")), "sizes")
         single = ranked.join(total, "tree").where("n = depth + 1").select("tree", "leaf", "rank")
         straight = rooted.join(single, "tree").select("tree", "leaf", "rank", F.col("depth").alias("pos"), "node")
         bent = ranked.join(total, "tree").where("n > depth + 1").select("tree", "leaf", "rank", F.col("leaf").alias("node"), "depth")
-        paths = _climb(scratch, bent, up, max_rounds)
-        return scratch.keep(straight.union(paths), "paths", last=True)
+        if bent.limit(1).isEmpty():
+            return scratch.keep(straight, "paths", last=True)
+        links = up.where("parent is not null").join(bent.select("tree").distinct(), "tree", "left_semi")
+        return scratch.keep(straight.union(_climb(scratch, bent, links, rounds)), "paths", last=True)
 
 
-def _climb(scratch: Scratch, leaves: DataFrame, up: DataFrame, max_rounds: int) -> DataFrame:
+def _climb(scratch: Scratch, leaves: DataFrame, links: DataFrame, rounds: int) -> DataFrame:
     """All ancestors of each leaf with their depth; the set of found nodes doubles each round."""
-    jump = scratch.keep(up.where("parent is not null").select("tree", "node", F.col("parent").alias("anc"), F.lit(1).alias("far")), "links")
+    jump = scratch.keep(links.select("tree", "node", F.col("parent").alias("anc")), "links")
     found = scratch.keep(leaves.select("tree", "leaf", "rank", F.col("depth").alias("pos"), "node"), "climb")
     far = 1
-    for _ in range(max_rounds):
-        if found.agg(F.max("pos")).first()[0] is None or jump.limit(1).isEmpty():
+    for _ in range(rounds):
+        if jump.limit(1).isEmpty():
             break
-        more = found.join(jump.select("tree", "node", "anc"), ["tree", "node"]).select("tree", "leaf", "rank", (F.col("pos") - far).alias("pos"), F.col("anc").alias("node"))
+        more = found.join(jump, ["tree", "node"]).select("tree", "leaf", "rank", (F.col("pos") - far).alias("pos"), F.col("anc").alias("node"))
         new = scratch.keep(found.union(more), "climb")
         scratch.drop(found)
         found = new
         second = jump.select("tree", F.col("node").alias("anc"), F.col("anc").alias("anc2"))
-        nxt = scratch.keep(jump.join(second, ["tree", "anc"]).select("tree", "node", F.col("anc2").alias("anc"), (F.col("far") * 2).alias("far")), "links")
+        nxt = scratch.keep(jump.join(second, ["tree", "anc"]).select("tree", "node", F.col("anc2").alias("anc")), "links")
         scratch.drop(jump)
         jump = nxt
         far *= 2
