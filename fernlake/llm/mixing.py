@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 NO_SOURCE = "(none)"
+OUTPUT = ("mix_source", "block", "slot", "release", "deadline", "position")
 
 #: One period: in slot t the released source with the earliest deadline (ties: first in order) runs.
 _PERIOD = """
@@ -102,14 +103,15 @@ def mix(
     Reading in the order of `position` (slot, then place in the block) gives the mixture.
     Sources without a weight of their own have ``default_weight``; a null source is a source of
     its own, "(none)".  Rows that repeat an id or have none are placed one by one.  An empty table gives an
-    empty result.  The plan of at most ``max_sources`` sources and ``max_total`` slots a period
+    empty result.  Columns of the input that bear an output name are replaced.  The plan of at most ``max_sources`` sources and ``max_total`` slots a period
     is all that reaches the driver or is broadcast.
     """
     spark = docs.sparkSession
     weights = weights or {}
     if default_weight < 1 or any(w < 1 for w in weights.values()):
         raise ValueError("weights are positive integers")
-    rows = docs.withColumn("mix_source", F.coalesce(F.col(source_col).cast("string"), F.lit(NO_SOURCE)))
+    keep = [c for c in docs.columns if c not in OUTPUT]
+    rows = docs.select(*keep, F.coalesce(F.col(source_col).cast("string"), F.lit(NO_SOURCE)).alias("mix_source"), F.col(id_col).alias("__id"))
     sizes = {x["mix_source"]: x["n"] for x in rows.groupBy("mix_source").agg(F.count(F.lit(1)).alias("n")).limit(max_sources + 1).collect()}
     if len(sizes) > max_sources:
         raise ValueError(f"more than {max_sources} sources; group them first")
@@ -117,25 +119,25 @@ def mix(
     if sum(use.values()) > max_total:
         raise ValueError(f"weights sum to more than {max_total}; scale them down")
     if not sizes:
-        empty = ((c, "long") for c in ("block", "slot", "release", "deadline", "position"))
-        return rows.withColumns({c: F.lit(0).cast(t) for c, t in empty})
+        return rows.select(*keep, "mix_source", *(F.lit(0).cast("long").alias(c) for c in OUTPUT[1:]))
     table = schedule_table(spark, plan_phases({s: -(-n // block_docs) for s, n in sizes.items()}, use))
+    table = table.select(F.struct("*").alias("__t"))
 
     buckets = int(max(sizes.values()) ** 0.5) + 1
-    draw = F.xxhash64(F.col(id_col).cast("string"), F.lit(seed))
+    draw = F.xxhash64(F.col("__id").cast("string"), F.lit(seed))
     rows = rows.withColumn("__draw", draw).withColumn("__bucket", F.pmod("__draw", F.lit(buckets)))
     before = Window.partitionBy("mix_source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    counts = rows.groupBy("mix_source", "__bucket").agg(F.count(F.lit(1)).alias("n"))
-    offsets = counts.select("mix_source", "__bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__offset"))
-    inside = Window.partitionBy("mix_source", "__bucket").orderBy("__draw", id_col)
+    counts = rows.groupBy("mix_source", "__bucket").agg(F.count(F.lit(1)).alias("__n"))
+    offsets = counts.select("mix_source", "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
+    inside = Window.partitionBy("mix_source", "__bucket").orderBy("__draw", "__id")
     ranked = rows.withColumn("__r", F.row_number().over(inside)).join(offsets, ["mix_source", "__bucket"])
     ranked = ranked.withColumn("__rank", F.col("__offset") + F.col("__r") - 1)
-    ranked = ranked.withColumn("block", F.floor(F.col("__rank") / block_docs).cast("long"))
-    t = F.broadcast(table.withColumnRenamed("source", "__source"))
-    at = ranked.join(t, (F.col("mix_source") == F.col("__source")) & (F.col("block") >= F.col("first")) & (F.col("block") < F.col("first") + F.col("blocks")))
-    k = F.col("block") - F.col("first")
-    at = at.withColumn("slot", F.col("start") + F.expr("(block - first) div a") * F.col("total") + F.get("slots", (k % F.col("a")).cast("int")))
-    at = at.withColumn("release", F.col("start") + F.expr("((block - first) * total) div a"))
-    at = at.withColumn("deadline", F.col("start") + F.expr("((block - first + 1) * total + a - 1) div a"))
-    at = at.withColumn("position", F.col("slot") * block_docs + F.col("__rank") % block_docs)
-    return at.select(*docs.columns, "mix_source", "block", "slot", "release", "deadline", "position")
+    ranked = ranked.withColumn("__block", F.floor(F.col("__rank") / block_docs).cast("long"))
+    here = (F.col("mix_source") == F.col("__t.source")) & (F.col("__block") >= F.col("__t.first")) & (F.col("__block") < F.col("__t.first") + F.col("__t.blocks"))
+    at = ranked.join(F.broadcast(table), here)
+    k, a, total = "(__block - __t.first)", "__t.a", "__t.total"
+    slot = F.expr(f"__t.start + ({k} div {a}) * {total} + get(__t.slots, cast({k} % {a} as int))")
+    return at.select(
+        *keep, "mix_source", F.col("__block").alias("block"), slot.alias("slot"), F.expr(f"__t.start + ({k} * {total}) div {a}").alias("release"),
+        F.expr(f"__t.start + (({k} + 1) * {total} + {a} - 1) div {a}").alias("deadline"), (slot * block_docs + F.col("__rank") % block_docs).alias("position"),
+    )
