@@ -106,3 +106,25 @@ def test_upsert_sink(spark, tmp_path):
     sink(spark.createDataFrame([(1, 1), (2, 1)], "id long, v long"), 0)
     sink(spark.createDataFrame([(2, 2), (3, 1)], "id long, v long"), 1)
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "epoch=1")).collect())) == [(1, 1), (2, 2), (3, 1)]
+
+
+def test_embed_default(spark):
+    got = {r.k: r.embedding for r in retrieval.embed_batch(spark.createDataFrame([(1, "a b b"), (2, None)], "k long, text string"), dims=8).collect()}
+    assert abs(sum(x * x for x in got[1]) - 1) < 1e-9 and got[2] == [0.0] * 8
+
+
+def test_embed_hook(spark):
+    got = retrieval.embed_batch(spark.createDataFrame([(1, "abc")], "k long, text string"), lambda s: s.map(lambda x: [float(len(x))]))
+    assert got.first().embedding == [3.0]
+
+
+def test_latency_stream_equals_batch(spark, tmp_path):
+    from fernlake.plans import fixtures as fx
+    from fernlake.streaming import streams
+
+    runs = fx.runs(spark, "/root/testdata/sf0.001").select("run_type", "name", "latency", "start_time")
+    runs.write.parquet(str(tmp_path / "in"))
+    q = streams.run_latency_stream(spark.readStream.schema(runs.schema).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName("latencies").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination()
+    key = lambda r: (r.day, r.name, r.n, r.total, r.least, r.most)
+    assert sorted(map(key, spark.table("latencies").collect())) == sorted(map(key, streams.run_latency_stream(runs).collect()))
