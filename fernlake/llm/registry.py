@@ -54,6 +54,28 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+OP1_SQL = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
+        else list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) end) as g from w),
+n as (select doc_id, count(*) as n from s group by doc_id),
+i as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by all),
+p as (select a, b from i join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 85 * (x.n + y.n - c)),
+e as (select a, b from p union all select b, a from p),
+reach as (select doc_id as id, doc_id as r from documents union select reach.id, e.b from reach join e on e.a = reach.r)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, c.component_id
+from documents d left join n using (doc_id) join (select id, min(r) as component_id from reach group by id) c on c.id = d.doc_id
+"""
+
+OP7_SQL = """
+with recursive v as (select vec_id, cast(embedding as double[]) as e from embeddings),
+p as (select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id <> b.vec_id where list_cosine_similarity(a.e, b.e) >= 0.95),
+reach as (select vec_id as id, vec_id as r from v union select reach.id, p.b from reach join p on p.a = reach.r)
+select v.vec_id, coalesce(l.n, 0) as n_links, c.component_id, v.vec_id = c.component_id as kept
+from v left join (select a, count(*) as n from p group by a) l on l.a = v.vec_id join (select id, min(r) as component_id from reach group by id) c on c.id = v.vec_id
+"""
+
 OP5_SQL = r"""
 with src as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
@@ -135,4 +157,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": OP4_SQL, "op5_chat_format": OP5_SQL}
+    return {"op1_ngram_jaccard": OP1_SQL, "op4_warc": OP4_SQL, "op5_chat_format": OP5_SQL, "op7_embedding_dedup": OP7_SQL}
