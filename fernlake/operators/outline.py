@@ -23,7 +23,7 @@ def drop_blank_rules(lines: DataFrame) -> DataFrame:
     return lines.where((bare != "") & ~bare.startswith("---"))
 
 
-def line_features(lines: DataFrame, image_host: str = "remnote-user-data", check_url: bool = True) -> DataFrame:
+def line_features(lines: DataFrame, image_host: str = "user-data.s3.amazonaws.com", check_url: bool = True) -> DataFrame:
     """Kept lines with indent, header level, raw and clean text and the URL flag."""
     out = drop_blank_rules(lines).withColumn("indent", tx.indent_level(F.col("line"))).withColumn("header", tx.header_level(F.col("line")))
     out = out.withColumn("has_unparsed_url", F.col("line").contains("http") if check_url else F.lit(False))

@@ -73,7 +73,7 @@ PATHS_SQL = rf"""{NODES_SQL},
 chain as (
   select node_id, [source, clean] as chain, node_id as root from tree where parent_id is null
   union all select t.node_id, list_append(c.chain, t.clean), c.root from tree t join chain c on t.parent_id = c.node_id),
-crumbs as (select node_id, root, list_transform(string_split(array_to_string(list_filter(chain, x -> x <> '...'), ' > '), '>'), x -> {d_strip("x")}) as parts from chain),
+crumbs as (select node_id, root, list_transform(string_split(array_to_string(list_filter(chain, lambda x: x <> '...'), ' > '), '>'), lambda x: {d_strip("x")}) as parts from chain),
 paths as (select t.*, c.root, c.parts[-1] as text, c.parts[1:-2] as path from tree t join crumbs c using (node_id))"""
 
 PLACED_SQL = rf"""{PATHS_SQL},

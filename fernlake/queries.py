@@ -168,7 +168,7 @@ def _(spark, d):
     return t(spark, d, "pages").select("page_id", tx.route_content_type(F.expr(_KIND)).alias("branch"))
 
 
-@query("node_text_split", f"with s as (select doc_id, list_transform(string_split(concat(source, ' > ', text), '>'), x -> {fx.d_strip('x')}) as p from documents) select doc_id, p[-1] as text, array_to_string(p[1:-2], '|') as path from s")
+@query("node_text_split", f"with s as (select doc_id, list_transform(string_split(concat(source, ' > ', text), '>'), lambda x: {fx.d_strip('x')}) as p from documents) select doc_id, p[-1] as text, array_to_string(p[1:-2], '|') as path from s")
 def _(spark, d):
     rows = t(spark, d, "documents").select("doc_id", tx.node_text_split(F.concat("source", F.lit(" > "), "text")).alias("n"))
     return rows.select("doc_id", "n.text", F.array_join("n.path", "|").alias("path"))
@@ -464,7 +464,7 @@ def _(spark, d):
 
 
 _LABELS = rf"""want as (select src as node_id from edges union select dst from edges),
-lab0 as (select w.node_id, g.kind, g.name, g.type, list_filter(list_transform(string_split(g.text, chr(10)), x -> {fx.d_strip("regexp_replace(" + fx.d_strip("x") + ", '^#+', '')")}), x -> x <> '') as ls from want w left join gnodes g using (node_id)),
+lab0 as (select w.node_id, g.kind, g.name, g.type, list_filter(list_transform(string_split(g.text, chr(10)), lambda x: {fx.d_strip("regexp_replace(" + fx.d_strip("x") + ", '^#+', '')")}), lambda x: x <> '') as ls from want w left join gnodes g using (node_id)),
 lab as (select node_id, case when kind = 'entity' then case when coalesce(type, '') <> '' then concat(name, ' [', type, ']') else name end when kind = 'chunk' then coalesce(ls[1], node_id) else node_id end as label from lab0)"""
 
 
@@ -550,7 +550,7 @@ def _(spark, d):
 _FACT = """concat('Topic ', doc_id, ' ({"k": 1}) -> USES -> ', source, chr(10), text)"""
 
 
-@query("parse_facts", rf"""with f as (select doc_id, string_split({_FACT}, chr(10)) as ls from documents) select doc_id, array_to_string(list_transform(list_filter(ls, x -> contains(x, ' -> ')), x -> {fx.d_strip("regexp_replace(x, '" + chr(92) + "(" + chr(92) + "{.*?" + chr(92) + "}" + chr(92) + ")', '', 'g')")}), '|') as relations, {fx.d_strip("array_to_string(list_filter(ls, x -> not contains(x, ' -> ')), chr(10))")} as source_text from f""")
+@query("parse_facts", rf"""with f as (select doc_id, string_split({_FACT}, chr(10)) as ls from documents) select doc_id, array_to_string(list_transform(list_filter(ls, lambda x: contains(x, ' -> ')), lambda x: {fx.d_strip("regexp_replace(x, '" + chr(92) + "(" + chr(92) + "{.*?" + chr(92) + "}" + chr(92) + ")', '', 'g')")}), '|') as relations, {fx.d_strip("array_to_string(list_filter(ls, lambda x: not contains(x, ' -> ')), chr(10))")} as source_text from f""")
 def _(spark, d):
     f = retrieval.parse_facts(t(spark, d, "documents").select("doc_id", F.expr(_FACT).alias("text")))
     return f.select("doc_id", F.array_join("relations", "|").alias("relations"), "source_text")
@@ -580,7 +580,7 @@ def _(spark, d):
 _RESULT = "case doc_id % 5 when 0 then concat('[RELATION] ', text, ' (Score: 0.', doc_id % 90 + 10, ')') when 1 then concat('[SOURCE] ', text) when 2 then 'No relevant information found.' when 3 then text else '' end"
 
 
-@query("evidence_usable", rf"""with r as (select doc_id, {fx.d_strip(_RESULT)} as x, list_transform(regexp_extract_all({_RESULT}, '\(Score:\s*([\d.]+)\)', 1), s -> try_cast(s as double)) as s from documents) select doc_id, x <> '' and x <> 'No relevant information found.' and (contains(x, '[RELATION]') or contains(x, '[SOURCE]')) and (len(s) = 0 or len(list_filter(s, v -> v >= 0.3)) > 0) as usable from r""")
+@query("evidence_usable", rf"""with r as (select doc_id, {fx.d_strip(_RESULT)} as x, list_transform(regexp_extract_all({_RESULT}, '\(Score:\s*([\d.]+)\)', 1), lambda s: try_cast(s as double)) as s from documents) select doc_id, x <> '' and x <> 'No relevant information found.' and (contains(x, '[RELATION]') or contains(x, '[SOURCE]')) and (len(s) = 0 or len(list_filter(s, lambda v: v >= 0.3)) > 0) as usable from r""")
 def _(spark, d):
     return retrieval.evidence_usable(t(spark, d, "documents").select("doc_id", F.expr(_RESULT).alias("text"))).select("doc_id", "usable")
 
