@@ -38,12 +38,12 @@ def _dot(a, b):
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = 5, least: float | None = None, digits: int = 6, per_task: int = 4096, max_broadcast: int = 20_000) -> DataFrame:
+def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = 5, least: float | None = None, digits: int = 6, max_broadcast: int = 20_000) -> DataFrame:
     """(query_id, item_id, score, rank): the k most similar items by cosine in double precision.
 
-    Queries are broadcast in blocks of at most `max_broadcast` rows.  Each task keeps its own k
-    best of every query before the final ranking, so what is shuffled is tasks x queries x k rows,
-    whatever the number of vectors.  An item with the query's own id is left out; ties go to the
+    Queries are broadcast in blocks of at most `max_broadcast` rows.  Spark's group limit keeps each
+    task's own k best of every query before the final ranking, so what is shuffled is tasks x
+    queries x k rows, whatever the number of vectors.  An item with the query's own id is left out; ties go to the
     smaller id; zero or null vectors are not found.
     """
     vec = lambda c: F.col(c).cast("array<double>")
@@ -51,17 +51,16 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = 5, least: float
     n = q.count()
     blocks = max(1, -(-n // max_broadcast))
     v = vectors.select("item_id", vec("embedding").alias("v")).withColumn("vn", F.sqrt(_dot(F.col("v"), F.col("v")))).where("vn > 0")
-    v = v.withColumn("task", F.spark_partition_id())
     out = None
     for b in range(blocks):
         part = q if blocks == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
         pairs = v.join(F.broadcast(part), F.col("query_id") != F.col("item_id"))
         score = F.round(_dot(F.col("q"), F.col("v")) / (F.col("qn") * F.col("vn")), digits)
-        pairs = pairs.select("query_id", "item_id", "task", score.alias("score"))
+        pairs = pairs.select("query_id", "item_id", score.alias("score"))
         if least is not None:
             pairs = pairs.where(F.col("score") >= least)
         best = Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id")
-        ranked = pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("task")
+        ranked = pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
         out = ranked if out is None else out.union(ranked)
     return out
 
