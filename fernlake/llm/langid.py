@@ -114,7 +114,7 @@ def learn(
     max_rows: int = 20_000,
     buckets: int = 1 << 15,
     orders: tuple[int, ...] = (1, 2, 3),
-    max_languages: int = 400,
+    max_languages: int = 100,
     smooth: float = 0.1,
 ) -> LanguageModel:
     """Learn from rows where `train` holds and the language is not null.
