@@ -122,6 +122,7 @@ def learn(
     At most about ``max_rows`` rows, taken by a hash of the id, are used (a documented bound for
     fitting); the whole text of each counts.  Null or empty texts teach nothing but their prior.
     """
+    tk.bound_batches(docs.sparkSession)
     rows = docs.where(train if train is not None else F.lit(True)).where(F.col(lang_col).isNotNull())
     there = rows.count()
     if there > max_rows:
@@ -185,6 +186,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     A null text, or one without a letter, is ``und`` with score 0, as is every text if nothing
     was learned.  Ties go to the first language by name.  Repeated rows are scored alike.
     """
+    tk.bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()

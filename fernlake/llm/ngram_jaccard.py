@@ -253,6 +253,7 @@ def jaccard_components(
     if not den < 2 * num <= 2 * den:
         raise ValueError("the threshold must be over 0.5 and at most 1")
     spark = docs.sparkSession
+    tk.bound_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     scratch = Scratch(spark)
 

@@ -113,6 +113,7 @@ def fit(
     id.  Rows with a null label teach nothing.  Without rows of both classes the model gives every text
     the share of class 1 among the labelled rows (0.5 without any).
     """
+    tk.bound_batches(rows.sparkSession)
     rows = rows.where(train if train is not None else F.lit(True)).where(F.col(label_col).isin(0, 1))
     rows = rows.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("int").alias("label"))
     there = {x["label"]: x["count"] for x in rows.groupBy("label").count().collect()}
@@ -207,6 +208,7 @@ def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col
 
     Repeated rows are scored alike; null ids come back as null; other columns are not read.
     """
+    tk.bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
@@ -215,6 +217,7 @@ def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col
 
 def keep_good(docs: DataFrame, model: QualityModel, text_col: str = "text", least: float = 0.5) -> DataFrame:
     """The rows, with their own columns, whose text scores at least ``least``; one pass, no shuffle."""
+    tk.bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
     scorer = _score(shared)

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fernlake.llm import textkernel as tk
+
 #: Kinds in the order in which spans of one start are listed.
 KINDS = ("assign", "access", "hex", "forge", "registry", "jwt", "pem", "card")
 BASE = KINDS[:3]
@@ -134,6 +136,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     are.  A null text counts as empty.  Other columns are not read.  An empty table gives an
     empty result.
     """
+    tk.bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("__text"))
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, secrets array<struct<kind:string,start:int,end:int>>"
@@ -146,6 +149,7 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "<SECRET:{}>") -
     Overlapping spans are merged under the kind of the first.  Null texts stay null.  A column
     ``n_chars``, where present, is recounted for texts that change.
     """
+    tk.bound_batches(docs.sparkSession)
     names = docs.columns
     at = names.index(text_col)
 

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -21,6 +22,18 @@ _INV = np.cumprod(np.full(_BLOCK, U(pow(_BASE, -1, 1 << 64)), U))
 _STEP = (U(0xA24BAED4963EE407), U(0x9FB21C651E98DF25), U(0xD6E8FEB86659FD93), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9), U(0x27D4EB2F165667C5), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB))
 
 
+def bound_batches(spark: SparkSession, rows: int = 1000, size: int = 16 << 20) -> None:
+    """Bound the rows and bytes of an Arrow batch in this session, where its limits are wider.
+
+    Texts are long, and a task holds a batch on both sides of its pipe.
+    """
+    for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(key)
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(key, str(most))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit moves every output bit."""
     x = x ^ (x >> U(30))

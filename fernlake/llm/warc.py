@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from fernlake.llm import textkernel as tk
 from fernlake.plans.scratch import Scratch
 
 WRITE_SCHEMA = "record_id string, record_type string, target_uri string, refers_to string, payload_digest string, payload_bytes long, payload binary"
@@ -261,6 +262,7 @@ def archive_pages(pages: DataFrame, path: str | None = None) -> DataFrame:
     and digest of a response are measured on the payload read back.
     """
     spark = pages.sparkSession
+    tk.bound_batches(spark)
     path = path or Scratch(spark).path("warc")
     write_warc(page_records(pages), path)
     got = read_warc(spark, path, "record_id string, record_type string, target_uri string, refers_to string, payload_digest string, payload_bytes long, stored_bytes long, stored_sha256 string")
