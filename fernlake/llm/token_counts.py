@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fernlake.llm import textkernel as tk
+from fernlake.plans.scratch import Scratch
 
 #: Fixed value: the split pattern of the byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -59,6 +60,8 @@ def length_histogram(lengths: DataFrame, length_col: str = "n_tokens") -> DataFr
     """
     n = F.col(length_col).cast("long")
     hist = lengths.where(n.isNotNull()).groupBy(n.alias("n_tokens")).agg(F.count(F.lit(1)).alias("n_docs"))
+    # the histogram is read three times below; its table keeps the texts from being encoded again
+    hist = Scratch(lengths.sparkSession).keep(hist, "histogram", last=True)
     hist = hist.withColumn("part", F.floor(F.sqrt(F.col("n_tokens").cast("double"))).cast("long"))
     totals = hist.groupBy("part").agg(F.sum("n_docs").alias("d"), F.sum(F.col("n_docs") * F.col("n_tokens")).alias("t"))
     above = Window.orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
