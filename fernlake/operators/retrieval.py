@@ -28,10 +28,13 @@ def embed_batch(rows: DataFrame, embed: Callable | None = None, dims: int = 64,
         return rows.withColumn("embedding", F.pandas_udf(embed, "array<double>")(F.col(text_col)))
     words = F.filter(F.split(F.lower(F.coalesce(text_col, F.lit(""))), r"[ \t\r\n\f\x0B]+"), lambda w: w != "")
     slots = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(dims)).cast("int"))
-    zero = F.array_repeat(F.lit(0.0), dims)
-    count = F.aggregate(slots, zero, lambda acc, k: F.transform(acc, lambda x, i: F.when(i == k, x + 1.0).otherwise(x)))
-    norm = F.sqrt(F.aggregate(count, F.lit(0.0), lambda s, x: s + x * x))
-    return rows.withColumn("embedding", F.transform(count, lambda x: F.when(norm > 0, x / norm).otherwise(0.0)))
+    # one-element arrays hold a value for the lambda inside, which would compute it again at each step
+    held = lambda x, f: F.element_at(F.transform(F.array(x), f), 1)
+    every = F.sequence(F.lit(0), F.lit(dims - 1))
+    count = held(slots, lambda s: F.transform(every, lambda k: (F.size(s) - F.size(F.array_remove(s, k))).cast("double")))
+    norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x))
+    unit = lambda c: held(norm(c), lambda n: F.transform(c, lambda x: F.when(n > 0, x / n).otherwise(0.0)))
+    return rows.withColumn("embedding", held(count, unit))
 
 
 def _dot(a, b):

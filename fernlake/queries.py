@@ -490,14 +490,14 @@ def _(spark, d):
 
 
 @query("embedding_backlog", "select doc_id as item_id, text from documents where doc_id not in (select vec_id from embeddings) union all select p_partkey, p_name from part")
-def _(spark, d):
+def _backlog(spark, d):
     docs = t(spark, d, "documents").select(F.col("doc_id").alias("item_id"), "text")
     return retrieval.embedding_backlog(docs, t(spark, d, "embeddings").select(F.col("vec_id").alias("item_id")), t(spark, d, "part").select(F.col("p_partkey").alias("item_id"), F.col("p_name").alias("text")))
 
 
 @query("embed_batch")
 def _(spark, d):
-    return retrieval.embed_batch(t(spark, d, "benchmark").select("item_id", "text")).select("item_id", F.array_join(F.transform("embedding", lambda x: F.round(x, 6).cast("string")), ",").alias("embedding"))
+    return retrieval.embed_batch(_backlog(spark, d)).select("item_id", F.array_join(F.transform("embedding", lambda x: F.round(x, 6).cast("string")), ",").alias("embedding"))
 
 
 _TOPK = """cand as (select q.vec_id as query_id, v.vec_id as item_id, round(list_cosine_similarity(cast(q.embedding as double[]), cast(v.embedding as double[])), 6) as score from embeddings q join embeddings v on v.vec_id <> q.vec_id where q.vec_id % 20 = 0),
