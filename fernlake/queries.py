@@ -567,6 +567,17 @@ def _(spark, d):
     return retrieval.evidence_dedup(fx.evidence(spark, d).where(F.length("body") <= 1200)).select("request_id", "kind", "rank")
 
 
+_CLIPPED = f"""h as (select request_id, kind, rank, query_no, body, left(body, 1200) as head from evidence),
+ p as (select *, case when contains(head, '. ') then length(head) - instr(reverse(head), ' .') - 1 else -1 end as a, case when contains(head, '! ') then length(head) - instr(reverse(head), ' !') - 1 else -1 end as b,
+  case when contains(head, '? ') then length(head) - instr(reverse(head), ' ?') - 1 else -1 end as c, case when contains(head, chr(10)) then length(head) - instr(reverse(head), chr(10)) else -1 end as e from h),
+ clipped as (select request_id, kind, rank, query_no, case when body is null or length(body) <= 1200 then body else concat(rtrim(case when a * 10 >= 7200 then left(head, a + 1) when b * 10 >= 7200 then left(head, b + 1) when c * 10 >= 7200 then left(head, c + 1) when e * 10 >= 7200 then left(head, e + 1) else head end, {fx.W}), ' …[truncated]') end as body from p)"""
+
+
+@query("evidence_dedup_all", f"with {fx.EVIDENCE_SQL}, {_CLIPPED} select request_id, kind, rank, body from clipped qualify row_number() over (partition by request_id, kind, case when kind = 'SOURCE' then left(body, 120) else body end order by query_no, rank) = 1")
+def _(spark, d):
+    return retrieval.evidence_dedup(fx.evidence(spark, d)).select("request_id", "kind", "rank", "body")
+
+
 @query("evidence_format", rf"""with {fx.EVIDENCE_SQL}, {_FILTERED}, l as (select request_id, query_no, rank, '[' || kind || '] ' || body || case when score is not null then printf(' (Score: %.2f)', score) else '' end as line from kept),
  b as (select request_id, query_no, 'QUERY: ' || query_no || chr(10) || string_agg(line, chr(10) order by rank) as body from l group by request_id, query_no), w as (select request_id, 'RETRIEVER RESULTS:' || chr(10) || string_agg(body, chr(10) || chr(10) order by query_no) as text from b group by request_id)
  select r.request_id, coalesce(w.text, 'No relevant information found.') as text from (select distinct request_id from evidence) r left join w using (request_id)""")
