@@ -190,6 +190,12 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All assistant messages; as in `turns`, threads whose id is not divisible by 3 have a tool's only."""
+    agent = "case when conv_id % 3 <> 0 then 'tool' when turn % 4 < 2 then 'analyst' else 'mentor' end as agent"
+    return table(spark, sf_dir, "conversations").where("role = 'assistant'").selectExpr("conv_id as thread_id", agent, "turn as seq", "text")
+
+
 # Conversations as token events: a start, the words, an end for each message.
 
 TOKENS_SQL = """

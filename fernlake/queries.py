@@ -628,8 +628,7 @@ _FALL = conversation.FALLBACKS
 @query("final_response", f"""with {fx.TURNS_SQL}, r as (select conv_id, string_agg(text, chr(10) || chr(10) order by turn) as response from conversations where role = 'assistant' and conv_id % 3 = 0 group by conv_id), th as (select distinct conv_id, context from turns)
  select th.conv_id as thread_id, coalesce(response, case when contains(context, '"all_sources_exhausted": true') then '{_FALL["exhausted"]}' when contains(context, 'Visualization failed') then '{_FALL["visual"]}' when contains(context, '"no_results": true') then '{_FALL["empty"]}' else '{_FALL["default"]}' end) as response, response is null as is_fallback from th left join r using (conv_id)""")
 def _(spark, d):
-    c = t(spark, d, "conversations").where("role = 'assistant' and conv_id % 3 = 0").select(F.col("conv_id").alias("thread_id"), F.lit("analyst").alias("agent"), F.col("turn").alias("seq"), "text")
-    return conversation.final_response(fx.turns(spark, d).select(F.col("conv_id").alias("thread_id"), "context").distinct(), c)
+    return conversation.final_response(fx.turns(spark, d).select(F.col("conv_id").alias("thread_id"), "context").distinct(), fx.responses(spark, d))
 
 
 # Traces

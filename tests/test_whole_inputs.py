@@ -70,3 +70,18 @@ def test_evidence_dedup_of_clipped_bodies(spark):
     data = [(1, "SOURCE PATH", 1, 2, a), (1, "SOURCE PATH", 0, 3, b), (1, "SOURCE", 0, 4, "y" * 120 + "a"), (1, "SOURCE", 0, 5, "y" * 120 + "b" * 2000), (2, "SOURCE PATH", 0, 6, a)]
     got = retrieval.evidence_dedup(spark.createDataFrame(data, schema)).collect()
     assert {r["rank"] for r in got} == {3, 4, 6}
+
+
+def test_final_response_sees_every_assistant_message(spark, monkeypatch):
+    from fernlake.operators import conversation
+
+    seen, real = [], conversation.final_response
+    monkeypatch.setattr(conversation, "final_response", lambda threads, messages: seen.append(messages) or real(threads, messages))
+    got = {r.thread_id: r for r in catalog.queries()["final_response"](spark, SF).collect()}
+    messages = seen[0].collect()
+    said = [r for r in rows(spark, "conversations") if r.role == "assistant"]
+    assert Counter((r.thread_id, r.seq, r.text) for r in messages) == Counter((r.conv_id, r.turn, r.text) for r in said)
+    assert {r.agent for r in messages} == {"analyst", "mentor", "tool"}
+    answered = {r.thread_id for r in messages if r.agent != "tool" and r.text is not None}
+    others = {r.thread_id for r in messages} - answered
+    assert others and all(got[k].is_fallback for k in others) and not any(got[k].is_fallback for k in answered)
