@@ -59,10 +59,11 @@ def outline_parent(nodes: DataFrame, max_depth: int | None = None) -> DataFrame:
     return out.withColumn("parent_id", F.when(F.col("parent_line").isNotNull(), F.concat_ws(":", "source", F.col("parent_line").cast("string"))))
 
 
-def outline_path(nodes: DataFrame, max_levels: int = 64) -> DataFrame:
+def outline_path(nodes: DataFrame) -> DataFrame:
     """crumbs, text and path: source, the ancestors' clean texts and the own, without '...' items.
 
-    Level by level, children of finished rows only; the whole is split on '>' again.
+    Level by level, children of finished rows only, until a level is empty: a parent's line comes
+    before its child's, so this ends.  The whole is split on '>' again.
     """
     spark = nodes.sparkSession
     with Scratch(spark) as scratch:
@@ -70,7 +71,7 @@ def outline_path(nodes: DataFrame, max_levels: int = 64) -> DataFrame:
         names = base.columns
         done = scratch.keep(base.where("parent_id is null").withColumn("chain", F.array("source", "clean")), "level")
         parts = [done]
-        for _ in range(max_levels):
+        while True:
             up = parts[-1].select(F.col("node_id").alias("parent_id"), F.col("chain").alias("above"))
             level = scratch.keep(base.join(up, "parent_id").withColumn("chain", F.concat("above", F.array("clean"))).select(*names, "chain"), "level")
             if level.limit(1).isEmpty():
