@@ -1,8 +1,10 @@
 """Connected components of an edge table by alternating large-star and small-star steps.
 
-Each step replaces edges by edges to the smallest neighbour seen, so the edge count never
-grows, a hub costs one aggregated row per task, and the loop ends after a number of rounds
-that is logarithmic in the component size.  Every round is written to the shared folder.
+Edges run down, from the larger node to the smaller.  Each step replaces them by edges to the
+smallest neighbour seen, so the edge count never grows and the loop ends after a number of rounds
+that is logarithmic in the component size.  The smallest neighbours are one row per node, and the
+joins that hand them to a hub's edges can be split within the hub.  Every round is written to the
+shared folder.
 """
 
 from __future__ import annotations
@@ -11,19 +13,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fernlake.plans.scratch import Scratch
+from fernlake.plans.skew import dealt_anew
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+def _least(down: DataFrame, node: str) -> DataFrame:
+    """(node, m): the smallest neighbour of each node that has a smaller one."""
+    return dealt_anew(down.groupBy(F.col("a").alias(node)).agg(F.min("b").alias("m")), node)
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b")
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    linked = down.join(least, "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return linked.union(least.select("a", F.col("m").alias("b"))).distinct()
+def _large_star(down: DataFrame) -> DataFrame:
+    """Each larger neighbour of a node gets an edge to the smallest of the node and its neighbours."""
+    return down.join(_least(down, "b"), "b", "left").select("a", F.coalesce("m", "b").alias("b"))
+
+
+def _small_star(down: DataFrame) -> DataFrame:
+    """Each smaller neighbour of a node, and the node, get an edge to the smallest neighbour."""
+    rows = down.join(_least(down, "a"), "a")
+    return rows.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).distinct()
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
@@ -34,17 +40,18 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     """
     spark = edges.sparkSession
     with Scratch(spark) as scratch:
-        cur = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null and a != b")
-        cur = scratch.keep(_small_star(cur), "edges")
+        linked = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
+        down = linked.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b"))
+        cur = scratch.keep(_small_star(down), "edges")
         before = None
         for _ in range(max_rounds):
-            new = scratch.keep(_small_star(_large_star(cur)), "edges")
-            scratch.drop(cur)
-            cur = new
             after = cur.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-            if after == before:
+            if after == before or not after[0]:
                 break
             before = after
+            new = scratch.keep(_small_star(_large_star(cur)), "edges")
+            scratch.drop(cur)
+            cur = new
         else:
             raise RuntimeError("components did not settle")
         nodes = cur.select(F.col("a").alias("node"), F.col("b").alias("component"))

@@ -14,9 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's shared folder; a local one is made only where none is set (tests)."""
+    """The session's shared folder; a local one is made where none is set and all tasks run in this machine (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-fernlake-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -32,13 +34,14 @@ class Scratch:
     """Scratch tables of one operator call.
 
     ``keep`` writes a DataFrame and returns the table read back; ``close`` deletes all tables
-    but those the result still reads (``keep(..., last=True)``).
+    but those the result still reads (``keep(..., last=True)``), which the caller of the operator
+    may delete by their folder when the result is no longer wanted.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/fernlake-{uuid.uuid4().hex}"
-        self.paths: dict[int, str] = {}
+        self.tables: list[tuple[DataFrame, str]] = []
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -48,18 +51,20 @@ class Scratch:
         df.write.parquet(path)
         table = self.spark.read.schema(df.schema).parquet(path)
         if not last:
-            self.paths[id(table)] = path
+            self.tables.append((table, path))
         return table
 
     def drop(self, table: DataFrame) -> None:
-        path = self.paths.pop(id(table), None)
-        if path:
-            remove(self.spark, path)
+        """Delete a table that `keep` returned; any other DataFrame is left alone."""
+        for one, path in self.tables:
+            if one is table:
+                remove(self.spark, path)
+        self.tables = [x for x in self.tables if x[0] is not table]
 
     def close(self) -> None:
-        for path in self.paths.values():
+        for _, path in self.tables:
             remove(self.spark, path)
-        self.paths.clear()
+        self.tables = []
 
     def __enter__(self) -> Scratch:
         return self
