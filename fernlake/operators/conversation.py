@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: The notices shown when no agent answered.
+#: Notices shown when no agent answered; a caller may give others.
 FALLBACKS = {
     "exhausted": "All available sources were searched without a useful result.",
     "visual": "The visualization could not be produced.",
@@ -56,16 +56,16 @@ def route_turn(turns: DataFrame) -> DataFrame:
     return turns.withColumn("by_rule", rule.isNotNull()).withColumn("next_step", guarded)
 
 
-def final_response(threads: DataFrame, responses: DataFrame) -> DataFrame:
+def final_response(threads: DataFrame, responses: DataFrame, notices: dict[str, str] = FALLBACKS) -> DataFrame:
     """Per thread the analyst's and mentor's responses in order, else a notice chosen from the context."""
     part = F.array_sort(F.collect_list(F.struct("seq", "text")))
     got = responses.where("agent in ('analyst', 'mentor')").groupBy("thread_id").agg(F.array_join(part["text"], "\n\n").alias("response"))
     ctx = F.coalesce("context", F.lit(""))
     notice = (
-        F.when(ctx.contains('"all_sources_exhausted": true'), FALLBACKS["exhausted"])
-        .when(ctx.contains("Visualization failed"), FALLBACKS["visual"])
-        .when(ctx.contains('"no_results": true'), FALLBACKS["empty"])
-        .otherwise(FALLBACKS["default"])
+        F.when(ctx.contains('"all_sources_exhausted": true'), notices["exhausted"])
+        .when(ctx.contains("Visualization failed"), notices["visual"])
+        .when(ctx.contains('"no_results": true'), notices["empty"])
+        .otherwise(notices["default"])
     )
     out = threads.join(got, "thread_id", "left")
     return out.select("thread_id", F.coalesce("response", notice).alias("response"), F.col("response").isNull().alias("is_fallback"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fernlake.functions import text as tx
 from fernlake.operators.components import components
+from fernlake.operators.outline import child_lists
 from fernlake.plans.scratch import Scratch
 
 DECISION = "struct<to_merge:array<array<string>>,to_remove:array<string>,triplets:array<struct<subject:string,subject_type:string,predicate:string,object:string,object_type:string,subject_source_id:string,object_source_id:string>>>"
@@ -97,7 +98,14 @@ def removed_nodes(parsed: DataFrame, subtrees: DataFrame) -> DataFrame:
 
 
 def apply_removals(nodes: DataFrame, removed: DataFrame) -> DataFrame:
-    return nodes.join(removed, "node_id", "left_anti")
+    """The nodes without the removed ones; where nodes list their children (`child_ids`), these go from the lists too."""
+    kept = nodes.join(removed, "node_id", "left_anti")
+    if "child_ids" not in nodes.columns:
+        return kept
+    gone = nodes.where("parent_id is not null").join(removed, "node_id", "left_semi").groupBy("parent_id").agg(F.collect_set("node_id").alias("__gone"))
+    kept = kept.join(gone.withColumnRenamed("parent_id", "node_id"), "node_id", "left")
+    less = F.filter("child_ids", lambda x: ~F.array_contains("__gone", x))
+    return kept.withColumn("child_ids", F.when(F.col("__gone").isNull(), F.col("child_ids")).otherwise(less)).drop("__gone")
 
 
 def merge_groups(parsed: DataFrame, subtrees: DataFrame) -> DataFrame:
@@ -120,33 +128,63 @@ def merge_in_subtree(groups: DataFrame) -> DataFrame:
 def merge_across_subtrees(groups: DataFrame, nodes: DataFrame) -> DataFrame:
     """Groups over several subtrees: the first leaf's parent keeps all texts.
 
-    Whenever the subtree changes, the parent's own text leads its leaves' texts.
+    Whenever the subtree changes, the parent's own text leads its leaves' texts.  `merged` lists
+    what goes: the leaves of the group and the other parents.
     """
     parent = nodes.select(F.col("node_id").alias("parent_id"), F.col("clean").alias("parent_text"))
     rows = groups.where("n_subtrees > 1").join(parent, "parent_id")
     order = Window.partitionBy("component_id", "group_no").orderBy("pos")
     rows = rows.withColumn("before", F.lag("subtree_no").over(order))
     piece = F.when(F.col("before").eqNullSafe(F.col("subtree_no")), F.col("clean")).otherwise(F.concat_ws("\n", "parent_text", "clean"))
-    part = F.array_sort(F.collect_list(F.struct("pos", piece.alias("piece"), "parent_id")))
+    part = F.array_sort(F.collect_list(F.struct("pos", piece.alias("piece"), "parent_id", "node_id")))
     out = rows.groupBy("component_id", "group_no").agg(part.alias("m"))
-    others = F.array_sort(F.array_except(F.array_distinct(F.col("m.parent_id")), F.array(F.col("m")[0]["parent_id"])))
-    return out.select("component_id", "group_no", F.col("m")[0]["parent_id"].alias("node_id"), F.array_join(F.col("m.piece"), "\n").alias("text"), others.alias("merged"))
+    first = F.col("m")[0]["parent_id"]
+    gone = F.array_sort(F.array_except(F.array_union(F.col("m.node_id"), F.col("m.parent_id")), F.array(first)))
+    return out.select("component_id", "group_no", first.alias("node_id"), F.array_join(F.col("m.piece"), "\n").alias("text"), gone.alias("merged"))
 
 
-def redirect_ids(pairs: DataFrame, max_rounds: int = 40) -> DataFrame:
-    """(old_id, new_id) with chains of redirects followed to their end."""
-    spark = pairs.sparkSession
-    with Scratch(spark) as scratch:
-        cur = scratch.keep(pairs.select("old_id", "new_id").where("old_id != new_id").groupBy("old_id").agg(F.min("new_id").alias("new_id")), "ids")
-        for _ in range(max_rounds):
-            nxt = cur.select(F.col("old_id").alias("new_id"), F.col("new_id").alias("further"))
-            step = cur.join(nxt, "new_id", "left").select("old_id", F.coalesce("further", "new_id").alias("new_id"), F.col("further").isNotNull().alias("moved"))
-            step = scratch.keep(step.where("old_id != new_id"), "ids")
-            scratch.drop(cur)
-            cur = step
-            if cur.where("moved").limit(1).isEmpty():
-                break
-        return scratch.keep(cur.select("old_id", "new_id"), "redirects", last=True)
+def redirect_ids(pairs: DataFrame) -> DataFrame:
+    """(old_id, new_id) with chains of redirects followed to their end.
+
+    Of several targets of one id the smallest counts.  A cycle has no end: all ids that lead into
+    it go to the smallest of them.  Chains that meet end alike, so an end is looked up by component.
+    """
+    one = pairs.where("old_id != new_id").groupBy("old_id").agg(F.min("new_id").alias("new_id"))
+    with Scratch(pairs.sparkSession) as scratch:
+        one = scratch.keep(one, "pairs")
+        placed = components(one, "old_id", "new_id")
+        ends = one.select(F.col("new_id").alias("node")).distinct().join(one.select(F.col("old_id").alias("node")), "node", "left_anti")
+        ends = ends.join(placed, "node").select("component", F.col("node").alias("end"))
+        out = placed.join(ends, "component", "left").select(F.col("node").alias("old_id"), F.coalesce("end", "component").alias("new_id"))
+        return scratch.keep(out.where("old_id != new_id"), "redirects", last=True)
+
+
+def reparent(nodes: DataFrame, redirects: DataFrame) -> DataFrame:
+    """The nodes that stay, with parents that were merged away replaced by the nodes they were merged into.
+
+    A node that took in some of its own ancestors takes the place of the topmost of them.
+    """
+    to = redirects.select(F.col("old_id").alias("parent_id"), F.col("new_id").alias("__new"))
+    up = nodes.select(F.col("node_id").alias("at"), F.col("parent_id").alias("above"))
+    with Scratch(nodes.sparkSession) as scratch:
+        # climb from the nodes that took in an inner node, as long as there is an ancestor
+        inner = nodes.select(F.col("parent_id").alias("old_id")).distinct()
+        took = redirects.join(inner, "old_id", "left_semi").select(F.col("new_id").alias("node_id"), F.col("new_id").alias("at")).distinct()
+        climb = scratch.keep(took.join(up, "at").select("node_id", F.col("above").alias("at")), "climb")
+        tops = []
+        while not (climb := climb.where("at is not null")).isEmpty():
+            here = redirects.select(F.col("old_id").alias("at"), F.col("new_id").alias("node_id"))
+            tops.append(scratch.keep(climb.join(here, ["at", "node_id"]).join(up, "at").select("node_id", F.lit(len(tops)).alias("height"), "above"), "tops"))
+            climb = scratch.keep(climb.join(up, "at").select("node_id", F.col("above").alias("at")), "climb")
+        out = nodes.join(redirects.select(F.col("old_id").alias("node_id")), "node_id", "left_anti")
+        if tops:
+            whole = tops[0]
+            for t in tops[1:]:
+                whole = whole.union(t)
+            top = whole.groupBy("node_id").agg(F.max_by("above", "height").alias("above"), F.lit(True).alias("__top"))
+            out = out.join(top, "node_id", "left").withColumn("parent_id", F.when(F.col("__top"), F.col("above")).otherwise(F.col("parent_id"))).drop("above", "__top")
+        out = out.join(to, "parent_id", "left").withColumn("parent_id", F.coalesce("__new", "parent_id")).select(*nodes.columns)
+        return scratch.keep(out, "nodes", last=True)
 
 
 def triplet_rows(parsed: DataFrame, subtrees: DataFrame, redirects: DataFrame | None = None) -> DataFrame:
@@ -218,11 +256,12 @@ def node_labels(nodes: DataFrame, most: int = 60) -> DataFrame:
     return out.withColumn("short", F.when(F.length("label") > most, F.concat(F.substring("label", 1, most - 1), F.lit("…"))).otherwise(F.col("label")))
 
 
-def viz_subgraph(ids: DataFrame, triplets: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges to draw: listed ids and triplet ends; of parallel edges the last relation stays."""
+def viz_subgraph(ids: DataFrame, triplets: DataFrame, nodes: DataFrame, order: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges to draw: listed ids and triplet ends; of parallel edges the last by `order` stays, or by name without one."""
     want = ids.select("node_id").union(endpoints(triplets)).distinct()
     drawn = node_labels(want.join(nodes, "node_id", "left"))
-    edges = triplets.groupBy("src", "dst").agg(F.max("rel").alias("rel"))
+    last = F.max_by("rel", F.struct(order, "rel")) if order else F.max("rel")
+    edges = triplets.groupBy("src", "dst").agg(last.alias("rel"))
     return drawn, edges
 
 
@@ -256,7 +295,13 @@ def attr_lookup(ids: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def curate_graph(nodes: DataFrame, decisions: DataFrame) -> dict[str, DataFrame]:
-    """All components at once: parsed decisions, removals, merges, entities, relations and rejects."""
+    """All components at once: nodes that stay, child lists, entities, relations, redirects, rejects and totals.
+
+    `nodes` has the columns of the outline with `child_ids` where wanted.  Texts of several
+    merge groups that end in one node are joined in the order of the groups.  Decisions that are
+    no valid JSON are rejected, their components stay as they are.  `totals` counts decisions,
+    rejects and, where decisions have a column `tokens`, their tokens.
+    """
     spark = nodes.sparkSession
     scratch = Scratch(spark)
     base = scratch.keep(nodes, "nodes", last=True)
@@ -264,10 +309,20 @@ def curate_graph(nodes: DataFrame, decisions: DataFrame) -> dict[str, DataFrame]
     subtrees = scratch.keep(tail_subtrees(base, placed), "subtrees", last=True)
     parsed = scratch.keep(parse_decisions(decisions), "parsed", last=True)
     groups = scratch.keep(merge_groups(parsed, subtrees), "groups", last=True)
-    merged = merge_in_subtree(groups).union(merge_across_subtrees(groups, base))
+    merged = scratch.keep(merge_in_subtree(groups).union(merge_across_subtrees(groups, base)), "merged", last=True)
     redirects = redirect_ids(merged.select(F.explode("merged").alias("old_id"), F.col("node_id").alias("new_id")))
     triplets = triplet_rows(parsed, subtrees, redirects)
-    kept = apply_removals(base, removed_nodes(parsed, subtrees).union(redirects.select(F.col("old_id").alias("node_id"))).distinct())
-    new_text = merged.groupBy("node_id").agg(F.min("text").alias("merged_text"))
+    end = merged.join(redirects.select(F.col("old_id").alias("node_id"), F.col("new_id").alias("end")), "node_id", "left")
+    texts = F.array_sort(F.collect_list(F.struct("component_id", "group_no", "text")))
+    new_text = end.groupBy(F.coalesce("end", "node_id").alias("node_id")).agg(F.array_join(texts["text"], "\n").alias("merged_text"))
+    kept = apply_removals(reparent(base, redirects), removed_nodes(parsed, subtrees))
     kept = kept.join(new_text, "node_id", "left").withColumn("clean", F.coalesce("merged_text", "clean")).drop("merged_text")
-    return {"nodes": kept, "entities": upsert_entities(triplets), "relations": upsert_triplets(triplets), "redirects": redirects, "rejects": rejected_decisions(decisions)}
+    kept = scratch.keep(kept, "kept", last=True)
+    rejects = rejected_decisions(decisions)
+    tokens = F.sum("tokens") if "tokens" in decisions.columns else F.max(F.lit(None))
+    bad = F.expr("try_parse_json(bare) is null")
+    totals = decisions.withColumn("bare", tx.fence_strip(F.col("decision_json"))).agg(F.count(F.lit(1)).alias("decisions"), F.count_if(bad).alias("rejects"), tokens.cast("long").alias("tokens"))
+    return {
+        "nodes": kept, "children": child_lists(kept), "entities": upsert_entities(triplets), "relations": upsert_triplets(triplets), "redirects": redirects,
+        "rejects": rejects, "totals": totals,
+    }

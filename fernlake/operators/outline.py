@@ -1,13 +1,18 @@
 """Outlines to trees: indented lines to nodes with depth, parent and breadcrumb path.
 
-A line's depth and parent follow from windows over (source, line_number); one shuffle and one
-sort serve them all.  Very deep outlines are rare: the parent window has one term per depth.
+A line's depth follows from windows over (source, line_number), its parent from one fold over
+the lines in order with a stack of those still open, which takes outlines of any depth; one
+shuffle and one sort serve both.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fernlake.functions import text as tx
 from fernlake.plans.scratch import Scratch
@@ -23,12 +28,16 @@ def drop_blank_rules(lines: DataFrame) -> DataFrame:
     return lines.where((bare != "") & ~bare.startswith("---"))
 
 
-def line_features(lines: DataFrame, image_host: str = "user-data.s3.amazonaws.com", check_url: bool = True) -> DataFrame:
-    """Kept lines with indent, header level, raw and clean text and the URL flag."""
+def line_features(lines: DataFrame, image_host: str | None = None, check_url: bool = True) -> DataFrame:
+    """Kept lines with indent, header level, raw and clean text and the URL flag.
+
+    A line that is nothing but an image of `image_host` gets a mark as its text; without a host none does.
+    """
     out = drop_blank_rules(lines).withColumn("indent", tx.indent_level(F.col("line"))).withColumn("header", tx.header_level(F.col("line")))
     out = out.withColumn("has_unparsed_url", F.col("line").contains("http") if check_url else F.lit(False))
     out = out.withColumn("raw", tx.strip_bullets(F.col("line")))
-    return out.withColumn("clean", tx.mask_images(tx.clean_text(F.col("raw")), F.col("raw"), image_host))
+    clean = tx.clean_text(F.col("raw"))
+    return out.withColumn("clean", clean if image_host is None else tx.mask_images(clean, F.col("raw"), image_host))
 
 
 def outline_depth(features: DataFrame) -> DataFrame:
@@ -47,16 +56,40 @@ def outline_depth(features: DataFrame) -> DataFrame:
     return out.where("raw != ''").drop("bonus")
 
 
-def outline_parent(nodes: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """parent_line: the nearest earlier line of the same source with a smaller depth."""
+def _open_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows that come by source and line, each with the nearest earlier line of smaller depth."""
+    source, depths, lines = None, [], []
+    for batch in batches:
+        names = batch.schema.names
+        parent = []
+        for s, n, d in zip(*(batch.column(names.index(c)).to_pylist() for c in ("source", "line_number", "depth")), strict=True):
+            if s != source:
+                source, depths, lines = s, [], []
+            while depths and depths[-1] >= d:
+                depths.pop()
+                lines.pop()
+            parent.append(lines[-1] if lines else None)
+            depths.append(d)
+            lines.append(n)
+        column = pa.array(parent, batch.schema.field("line_number").type)
+        yield pa.RecordBatch.from_arrays([*batch.columns, column], names=[*names, "parent_line"])
+
+
+def outline_parent(nodes: DataFrame, max_depth: int | None = None, dealt: bool = False) -> DataFrame:
+    """parent_line: the nearest earlier line of the same source with a smaller depth.
+
+    With a small known `max_depth` one running maximum per depth finds it without leaving SQL.
+    `dealt` says that the rows of a source already lie in one partition.
+    """
     if max_depth is None:
-        max_depth = nodes.agg(F.max("depth")).first()[0] or 0
-    w = Window.partitionBy("source").orderBy("line_number").rowsBetween(Window.unboundedPreceding, -1)
-    terms = [F.when(F.col("depth") > k, F.max(F.when(F.col("depth") == k, F.col("line_number"))).over(w)) for k in range(max_depth)]
-    parent = F.greatest(*terms) if len(terms) > 1 else terms[0] if terms else F.lit(None).cast("int")
-    node = F.concat_ws(":", "source", F.col("line_number").cast("string"))
-    out = nodes.withColumn("parent_line", parent).withColumn("node_id", node)
-    return out.withColumn("parent_id", F.when(F.col("parent_line").isNotNull(), F.concat_ws(":", "source", F.col("parent_line").cast("string"))))
+        rows = (nodes if dealt else nodes.repartition("source")).sortWithinPartitions("source", "line_number")
+        out = rows.mapInArrow(_open_lines, T.StructType([*nodes.schema.fields, T.StructField("parent_line", nodes.schema["line_number"].dataType)]))
+    else:
+        w = Window.partitionBy("source").orderBy("line_number").rowsBetween(Window.unboundedPreceding, -1)
+        terms = [F.when(F.col("depth") > k, F.max(F.when(F.col("depth") == k, F.col("line_number"))).over(w)) for k in range(max_depth)]
+        out = nodes.withColumn("parent_line", F.greatest(*terms) if len(terms) > 1 else terms[0] if terms else F.lit(None).cast("int"))
+    node = lambda c: F.concat_ws(":", "source", F.col(c).cast("string"))
+    return out.withColumn("node_id", node("line_number")).withColumn("parent_id", F.when(F.col("parent_line").isNotNull(), node("parent_line")))
 
 
 def outline_path(nodes: DataFrame) -> DataFrame:
@@ -136,12 +169,25 @@ def parsed_links(nodes: DataFrame, linked: DataFrame) -> DataFrame:
     return out.withColumn("has_unparsed_url", F.col("has_unparsed_url") & ~F.col("has_parsed_url")).drop("found")
 
 
-def build_nodes(lines: DataFrame) -> DataFrame:
+def build_nodes(lines: DataFrame, image_host: str | None = None) -> DataFrame:
     """Lines to nodes with depth and parent."""
-    return outline_parent(outline_depth(line_features(lines)))
+    return outline_parent(outline_depth(line_features(lines.repartition("source"), image_host)), dealt=True)
+
 
+def ingest_pipeline(lines: DataFrame, linked: DataFrame | None = None, stored: DataFrame | None = None, image_host: str | None = None) -> DataFrame:
+    """Lines to the finished tree: paths, linked documents grafted, texts restored, empty leaves pruned, children counted.
 
-def ingest_pipeline(lines: DataFrame) -> DataFrame:
-    """Lines to the finished tree: paths, restored texts, empty leaves pruned, children counted."""
-    nodes = restore_unparsed_text(outline_path(build_nodes(lines)))
-    return child_counts(prune_empty_leaves(nodes))
+    `linked` is as for `graft_documents`.  A store that already has rows is returned as it is;
+    an outcome without rows is an error.
+    """
+    if stored is not None and not stored.limit(1).isEmpty():
+        return stored
+    nodes = outline_path(build_nodes(lines, image_host))
+    if linked is not None:
+        nodes = nodes.withColumn("url", F.when(F.col("has_unparsed_url"), tx.extract_link(F.col("line"))["url"]))
+        grafted = graft_documents(nodes, linked).withColumn("has_unparsed_url", F.lit(False))
+        nodes = parsed_links(nodes, linked).unionByName(grafted, allowMissingColumns=True)
+    out = child_counts(prune_empty_leaves(restore_unparsed_text(nodes)))
+    if out.limit(1).isEmpty():
+        raise ValueError("the outlines hold no text")
+    return out

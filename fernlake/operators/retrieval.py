@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,35 +40,92 @@ def embed_batch(rows: DataFrame, embed: Callable | None = None, dims: int = 64,
     return rows.withColumn("embedding", held(count, unit))
 
 
-def _dot(a, b):
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+def _units(column: pa.Array, rows: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(rows, unit vectors) of each vector length; null, zero and non-finite vectors are left out."""
+    size = np.asarray(column.value_lengths().fill_null(0)).astype(np.int64) if rows else np.zeros(0, np.int64)
+    at = np.concatenate([[0], np.cumsum(size)])
+    flat = np.asarray(column.flatten().cast(pa.float64()).fill_null(np.nan))
+    out = []
+    for dims in np.unique(size[size > 0]):
+        at_rows = np.flatnonzero(size == dims)
+        v = flat[at[at_rows][:, None] + np.arange(dims)]
+        norm = np.linalg.norm(v, axis=1)
+        fine = np.isfinite(norm) & (norm > 0)
+        out.append((at_rows[fine], v[fine] / norm[fine][:, None]))
+    return out
 
 
-def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = 5, least: float | None = None, digits: int = 6, max_broadcast: int = 20_000) -> DataFrame:
+def _best(shared, k: int, least: float | None, digits: int, cells: int = 1 << 22):
+    """A task's own k best items of every query, from one matrix product per piece of a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, units = shared.value
+        kind = None
+        best: pa.Table | None = None  # q, item, score
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            own = {len(v[0]): (rows, v) for rows, v in units if len(v)}
+            for rows, v in _units(batch.column(1), batch.num_rows):
+                if not len(v) or v.shape[1] not in own:
+                    continue
+                at, q = own[v.shape[1]]
+                step = max(1, cells // len(at))
+                for i in range(0, len(v), step):
+                    score = np.round(q @ v[i : i + step].T, digits)
+                    if score.shape[1] > k:
+                        floor = np.partition(score, -k - 1, axis=1)[:, -k - 1][:, None]  # one more, for the query itself
+                        x, y = np.nonzero(score >= floor)
+                    else:
+                        x, y = np.nonzero(score > -2)
+                    if least is not None:
+                        fine = score[x, y] >= least
+                        x, y = x[fine], y[fine]
+                    items = batch.column(0).take(pa.array(rows[i + y]))
+                    new = pa.table({"q": pa.array(at[x]), "item": items, "score": pa.array(score[x, y])})
+                    new = new.filter(pc.invert(pc.fill_null(pc.equal(new["item"], names.take(new["q"]).cast(kind)), False)))
+                    best = _first(pa.concat_tables([best, new]) if best is not None else new, k)
+        if best is not None:
+            for b in best.combine_chunks().to_batches():
+                yield pa.RecordBatch.from_arrays([names.take(b.column(0)), b.column(1), b.column(2)], names=["query_id", "item_id", "score"])
+
+    return run
+
+
+def _first(rows: pa.Table, k: int) -> pa.Table:
+    """The first k rows of each q by score, then item."""
+    rows = rows.sort_by([("q", "ascending"), ("score", "descending"), ("item", "ascending")])
+    q = rows["q"].to_numpy()
+    begin = np.searchsorted(q, q)
+    return rows.filter(pa.array(np.arange(len(q)) - begin < k))
+
+
+def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = 5, least: float | None = None, digits: int = 6, max_bytes: int = 32 << 20) -> DataFrame:
     """(query_id, item_id, score, rank): the k most similar items by cosine in double precision.
 
-    Queries are broadcast in blocks of at most `max_broadcast` rows.  Spark's group limit keeps each
-    task's own k best of every query before the final ranking, so what is shuffled is tasks x
-    queries x k rows, whatever the number of vectors.  An item with the query's own id is left out; ties go to the
-    smaller id; zero or null vectors are not found.
+    Queries are broadcast in blocks of about `max_bytes`, one pass over the vectors each.  A task
+    keeps its own k best of every query before the final ranking, so what is shuffled is tasks x
+    queries x k rows, whatever the number of vectors.  An item with the query's own id is left
+    out; ties go to the smaller id; null, zero and non-finite vectors are not found.  Query and
+    item ids are of one type.
     """
-    vec = lambda c: F.col(c).cast("array<double>")
-    q = queries.select("query_id", vec("embedding").alias("q")).withColumn("qn", F.sqrt(_dot(F.col("q"), F.col("q")))).where("qn > 0")
-    n = q.count()
-    blocks = max(1, -(-n // max_broadcast))
-    v = vectors.select("item_id", vec("embedding").alias("v")).withColumn("vn", F.sqrt(_dot(F.col("v"), F.col("v")))).where("vn > 0")
-    out = None
+    spark = queries.sparkSession
+    q = queries.select("query_id", F.col("embedding").cast("array<double>").alias("q")).where("q is not null")
+    size = q.agg(F.sum(F.size("q") * 8 + 16)).first()[0] or 0
+    blocks = max(1, -(-size // max_bytes))
+    v = vectors.select("item_id", F.col("embedding").cast("array<double>").alias("v"))
+    ids = [f.dataType.simpleString() for f in (q.schema["query_id"], v.schema["item_id"])]
+    parts = []
     for b in range(blocks):
-        part = q if blocks == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        pairs = v.join(F.broadcast(part), F.col("query_id") != F.col("item_id"))
-        score = F.round(_dot(F.col("q"), F.col("v")) / (F.col("qn") * F.col("vn")), digits)
-        pairs = pairs.select("query_id", "item_id", score.alias("score"))
-        if least is not None:
-            pairs = pairs.where(F.col("score") >= least)
-        best = Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id")
-        ranked = pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-        out = ranked if out is None else out.union(ranked)
-    return out
+        rows = (q if blocks == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)).toArrow().combine_chunks()
+        names = rows["query_id"].combine_chunks() if rows.num_rows else pa.array([], rows.schema.field("query_id").type)
+        units = _units(rows["q"].combine_chunks(), rows.num_rows) if rows.num_rows else []
+        shared = spark.sparkContext.broadcast((names, units))
+        parts.append(v.mapInArrow(_best(shared, k, least, digits), f"query_id {ids[0]}, item_id {ids[1]}, score double"))
+    pairs = parts[0]
+    for x in parts[1:]:
+        pairs = pairs.union(x)
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id")
+    return pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
 def vector_context(hits: DataFrame, edges: DataFrame, depth: int = 2, limit: int = 30) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from fernlake.functions import text as tx
 from fernlake.plans.scratch import Scratch
+from fernlake.plans.skew import dealt_anew, numbered
 
 #: Prompt headers and the section each opens.
 SECTIONS = {
@@ -30,9 +31,9 @@ def runs_from_source(runs: DataFrame) -> DataFrame:
 
 
 def trace_order(runs: DataFrame) -> DataFrame:
-    """Traces numbered by their first start."""
+    """Traces numbered by their first start, hour by hour."""
     first = runs.groupBy("trace_id").agg(F.min("start_time").alias("first_start"))
-    return first.withColumn("trace_no", F.row_number().over(Window.orderBy("first_start", "trace_id")))
+    return numbered(first, "trace_no", [], F.date_trunc("hour", "first_start"), "first_start", "trace_id")
 
 
 def trace_summary(runs: DataFrame) -> DataFrame:
@@ -116,17 +117,17 @@ def latency_overall(runs: DataFrame) -> DataFrame:
     return g.select(F.when(F.col("whole") == 1, "all").otherwise(F.col("scope")).alias("scope"), F.when(F.col("whole") == 1, "all").otherwise(F.col("label")).alias("label"), "n", "total", "mean", "median", "least", "most")
 
 
-def block_dedup(blocks: DataFrame, preview: int = 90) -> DataFrame:
+def block_dedup(blocks: DataFrame, preview: int = 90, stretch: int = 100_000) -> DataFrame:
     """Label of each block: PREFIX_n at its first occurrence, the same label with a preview later.
 
     `blocks` has seq, prefix and text; equal texts share one fingerprint whatever their prefix.
-    Labels are numbered by a running count within the prefix over the distinct blocks alone.
+    Labels are numbered within the prefix over the distinct blocks alone, by stretches of seq.
     """
     rows = blocks.withColumn("fingerprint", F.substring(F.md5("text"), 1, 10))
     first = rows.groupBy("fingerprint").agg(F.min("seq").alias("first_seq"), F.min_by("prefix", "seq").alias("first_prefix"))
-    number = F.row_number().over(Window.partitionBy("first_prefix").orderBy("first_seq"))
-    first = first.withColumn("label", F.concat_ws("_", "first_prefix", number.cast("string")))
-    out = rows.join(first, "fingerprint")
+    first = numbered(first, "number", ["first_prefix"], F.floor(F.col("first_seq") / stretch), "first_seq")
+    first = first.withColumn("label", F.concat_ws("_", "first_prefix", F.col("number").cast("string"))).drop("number")
+    out = rows.join(dealt_anew(first, "fingerprint"), "fingerprint")
     is_first = F.col("seq") == F.col("first_seq")
     return out.select("seq", "fingerprint", "label", is_first.alias("is_first"), F.when(~is_first, F.substring(F.replace("text", F.lit("\n"), F.lit(" ")), 1, preview)).alias("preview"))
 
@@ -134,7 +135,8 @@ def block_dedup(blocks: DataFrame, preview: int = 90) -> DataFrame:
 def retriever_block_trim(texts: DataFrame, most: int = 400, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """Retriever output with each [SOURCE block cut; other lines stay.
 
-    A line that starts with [SOURCE opens a block, a relation, query or header line ends it.
+    A line that starts with [SOURCE opens a block, a relation, query or header line ends it.  A
+    null text stays null.
     """
     lines = texts.select(id_col, F.posexplode(F.split(text_col, "\n", -1)).alias("n", "line"))
     bare = tx.strip(F.col("line"))
@@ -149,7 +151,8 @@ def retriever_block_trim(texts: DataFrame, most: int = 400, id_col: str = "id",
     cut = F.concat(F.substring("body", 1, most), F.lit(" ... [+"), (F.length("body") - most).cast("string"), F.lit(" chars SOURCE TRUNCATED]"))
     block = block.withColumn("body", F.when((F.col("inside") == 1) & (F.length("body") > most), cut).otherwise(F.col("body")))
     whole = F.array_sort(F.collect_list(F.struct("block", "body")))
-    return block.groupBy(id_col).agg(F.array_join(whole["body"], "\n").alias(text_col))
+    out = block.groupBy(id_col).agg(F.array_join(whole["body"], "\n").alias(text_col))
+    return out.union(texts.where(F.col(text_col).isNull()).select(id_col, text_col))
 
 
 def extract_messages(runs: DataFrame, col: str = "inputs") -> DataFrame:

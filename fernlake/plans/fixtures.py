@@ -14,9 +14,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 # Documents as outlines: the mark-up of a line follows from its number.
 
-_MARKUP = """case line_number % 9 when 0 then concat('# ', line) when 1 then concat('- ', line) when 2 then concat('  - **', line, '**') when 3 then concat('    - ', line)
- when 4 then concat('### ', line) when 5 then '' when 6 then '---' when 7 then concat('  - see [ref', source, '](http://example.com/', source, ')')
- else concat('      - [[', line, '|rem1]] {{c1::', line, '::hint}}') end"""
+_MARKUP = """case when line_number % 24 = 0 then concat('# ', line) when line_number % 24 = 5 then '' when line_number % 24 = 17 then concat('### ', line) when line_number % 6 = 5 then '---'
+ when line_number % 6 = 0 then concat('- ', line) when line_number % 6 = 1 then concat('  - **', line, '**') when line_number % 6 = 2 then concat('    - ', line)
+ when line_number % 6 = 3 then concat('    - [[', line, '|rem1]] {{c1::', line, '::hint}}') else concat('  - see [ref', source, '](http://example.com/', source, ')') end"""
 
 W = "(' ' || chr(9) || chr(13) || chr(10) || chr(12) || chr(11))"
 WS = r"[ \t\r\n\f\v]"
@@ -163,7 +163,7 @@ EVIDENCE_SQL = f"evidence as (select {_EVIDENCE.replace('/ 100.0', '/ cast(100 a
 
 
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = _EVIDENCE.replace("(doc_id // 3)", "(doc_id div 3)").replace("/ 100.0", "/ cast(100 as double)")
+    text = _EVIDENCE.replace(" // ", " div ").replace("/ 100.0", "/ cast(100 as double)")
     return table(spark, sf_dir, "documents").selectExpr(*(x.strip() for x in _split(text)))
 
 

@@ -50,10 +50,12 @@ def paths(spark: SparkSession, d: str) -> DataFrame:
 # Scans, sources, sinks
 
 
-@query("scan_outline_files")
+@query("scan_outline_files", """with f as (select doc_id // 50 as part, string_agg(text, chr(10) order by doc_id) || chr(10) as text from documents where text is not null group by 1)
+ select part, unnest(string_split_regex(text, '\r\n|\r|\n')) as line, generate_subscripts(string_split_regex(text, '\r\n|\r|\n'), 1) - 1 as line_number from f""")
 def _(spark, d):
+    """A text without a value has no line in a file, so such rows are not written."""
     session, path = tables.written_outlines(t(spark, d, "documents").where("text is not null"))
-    return tables.scan_outline_files(session, path, "*.txt").select("line_number", "line")
+    return tables.scan_outline_files(session, path, "*.txt").select(F.regexp_extract("file", "part=([0-9]+)", 1).cast("long").alias("part"), "line_number", "line")
 
 
 @query("outline_lines", f"with {fx.LINES_SQL} select source, line_number, line from raw")
@@ -233,10 +235,10 @@ def _(spark, d):
 _TOK = r"len(regexp_extract_all(text, '[A-Za-z0-9_]+|[^A-Za-z0-9_ \t\r\n\f\v]'))"
 
 
-@query("token_budget_filter", f"select doc_id, {_TOK} as tokens from documents where {_TOK} <= 8000")
+@query("token_budget_filter", f"select doc_id, {_TOK} as tokens from documents where {_TOK} <= 300")
 def _(spark, d):
     rows = t(spark, d, "documents").withColumn("tokens", tx.token_count(F.col("text")))
-    return register.token_budget_filter(rows, F.col("tokens")).select("doc_id", "tokens")
+    return register.token_budget_filter(rows, F.col("tokens"), 300).select("doc_id", "tokens")
 
 
 # Outline tree
@@ -319,6 +321,15 @@ def _(spark, d):
     return outline.ingest_pipeline(fx.lines(spark, d)).select("node_id", "text", F.array_join("path", "|").alias("path"), "n_children")
 
 
+@query("ingest_grafted", f"""with {_LINKED_SQL}, whole as (
+  select node_id, parent_id, array_to_string(path, '|') as path, has_unparsed_url and coalesce(url not in (select url from pn), true) as open_url, case when text = '' and has_unparsed_url and coalesce(url not in (select url from pn), true) then raw else text end as text from host
+  union all select h.node_id || '/' || p.node_id, h.node_id, array_to_string(list_append(h.path, split_part(p.node_id, ':', 1)), '|'), false, p.text from host h join pn p on p.url = h.url),
+ kept as (select * from whole where not (text = '' and not open_url and node_id not in (select parent_id from whole where parent_id is not null)))
+ select k.node_id, k.text, k.path, count(c.node_id) as n_children from kept k left join kept c on c.parent_id = k.node_id group by all""")
+def _(spark, d):
+    return outline.ingest_pipeline(fx.lines(spark, d), _linked(spark, d)).select("node_id", "text", F.array_join("path", "|").alias("path"), "n_children")
+
+
 # Graph
 
 
@@ -385,10 +396,15 @@ def _(spark, d):
 _REMOVED = "removed as (select s.node_id from parsed p join subtrees s on s.component_id = p.component_id and s.label = 'subtree_3_leaf_0')"
 
 
-@query("apply_removals", f"with {fx.DECISIONS_SQL}, {_REMOVED} select node_id, parent_id from tree where node_id not in (select node_id from removed)")
+def _listed(base: DataFrame) -> DataFrame:
+    """The outline with each node's children."""
+    return base.join(outline.child_lists(base).select("node_id", "child_ids"), "node_id", "left")
+
+
+@query("apply_removals", f"with {fx.DECISIONS_SQL}, {_REMOVED}, kept as (select * from tree where node_id not in (select node_id from removed)), kids as (select parent_id, string_agg(node_id, ',' order by line_number) as child_ids from kept where parent_id is not null group by parent_id) select k.node_id, k.parent_id, case when k.node_id in (select parent_id from tree where parent_id is not null) then coalesce(c.child_ids, '') end as child_ids from kept k left join kids c on c.parent_id = k.node_id")
 def _(spark, d):
     base, subtrees, parsed = _decided(spark, d)
-    return graph.apply_removals(base, graph.removed_nodes(parsed, subtrees)).select("node_id", "parent_id")
+    return graph.apply_removals(_listed(base), graph.removed_nodes(parsed, subtrees)).select("node_id", "parent_id", F.array_join("child_ids", ",").alias("child_ids"))
 
 
 _MERGE = f"""{fx.DECISIONS_SQL},
@@ -397,7 +413,8 @@ want as (select component_id, 0 as group_no, 0 as pos, 'subtree_0_leaf_0' as lab
 member as (select w.component_id, w.group_no, w.pos, s.subtree_no, s.node_id, s.parent_id, s.clean from want w join subtrees s on s.component_id = w.component_id and s.label = w.label),
 sized as (select *, count(*) over (partition by component_id, group_no) as n from member),
 within_ as (select component_id, group_no, min_by(node_id, pos) as node_id, string_agg(clean, chr(10) order by pos) as text, max_by(node_id, pos) as merged from sized where n = 2 and group_no = 0 group by all),
-across_ as (select m.component_id, m.group_no, min_by(m.parent_id, pos) as node_id, string_agg(concat(t.clean, chr(10), m.clean), chr(10) order by pos) as text, max_by(m.parent_id, pos) as merged from sized m join tree t on t.node_id = m.parent_id where n = 2 and group_no = 1 group by all)"""
+across_ as (select m.component_id, m.group_no, min_by(m.parent_id, pos) as node_id, string_agg(concat(t.clean, chr(10), m.clean), chr(10) order by pos) as text,
+  list_sort(list_filter(list_distinct(list_concat(list(m.node_id), list(m.parent_id))), lambda x: x <> min_by(m.parent_id, pos))) as merged from sized m join tree t on t.node_id = m.parent_id where n = 2 and group_no = 1 group by all)"""
 
 
 @query("merge_in_subtree", f"with {_MERGE} select component_id, cast(group_no as bigint) as group_no, node_id, text, merged from within_")
@@ -406,7 +423,7 @@ def _(spark, d):
     return graph.merge_in_subtree(graph.merge_groups(parsed, subtrees)).withColumn("merged", F.array_join("merged", ","))
 
 
-@query("merge_across_subtrees", f"with {_MERGE} select component_id, cast(group_no as bigint) as group_no, node_id, text, case when merged <> node_id then merged else '' end as merged from across_")
+@query("merge_across_subtrees", f"with {_MERGE} select component_id, cast(group_no as bigint) as group_no, node_id, text, array_to_string(merged, ',') as merged from across_")
 def _(spark, d):
     base, subtrees, parsed = _decided(spark, d)
     return graph.merge_across_subtrees(graph.merge_groups(parsed, subtrees), base).withColumn("merged", F.array_join("merged", ","))
@@ -438,16 +455,39 @@ def _(spark, d):
     return graph.upsert_entities(_triplets(spark, d))
 
 
-@query("curate_graph")
+_CURATED = f"""{_MERGE}, {_REMOVED},
+ rd as (select merged as old_id, node_id as new_id from within_ union all select unnest(merged), node_id from across_),
+ anc as (select a.node_id as node, t.parent_id as at_, 1 as h from across_ a join tree t using (node_id) union all select n.node, t.parent_id, n.h + 1 from anc n join tree t on t.node_id = n.at_),
+ top_ as (select n.node, max_by(struct_pack(p := t.parent_id), n.h).p as above from anc n join rd on rd.old_id = n.at_ and rd.new_id = n.node join tree t on t.node_id = n.at_ group by n.node),
+ moved as (select t.node_id, t.line_number, t.clean, case when p.node is not null then p.above else t.parent_id end as parent_id from tree t left join top_ p on p.node = t.node_id
+  where t.node_id not in (select old_id from rd) and t.node_id not in (select node_id from removed)),
+ kept as (select m.node_id, m.line_number, coalesce(rd.new_id, m.parent_id) as parent_id, coalesce(w.text, a.text, m.clean) as clean from moved m left join rd on rd.old_id = m.parent_id
+  left join within_ w on w.node_id = m.node_id left join across_ a on a.node_id = m.node_id),
+ trip as (select p.component_id, 'Topic ' || (p.doc % 20) as s, 'Method ' || (p.doc % 7) as o, a.node_id as chunk from parsed p join subtrees a on a.component_id = p.component_id and a.label = 'subtree_0_leaf_0'
+  join subtrees b on b.component_id = p.component_id and b.label = 'subtree_0_leaf_1'),
+ ids as (select *, left(sha256('CONCEPT:' || s), 16) as sid, left(sha256('METHOD:' || o), 16) as oid from trip)"""
+
+
+@query("curate_graph", f"""with {_CURATED}
+ select 'node' as part, node_id as key, parent_id as a, clean as b from kept union all select 'child', parent_id, string_agg(node_id, ',' order by line_number), null from kept where parent_id is not null group by parent_id
+ union all select 'redirect', old_id, new_id, null from rd union all select 'entity', sid, s, min_by(chunk, component_id) from ids group by sid, s union all select 'entity', oid, o, min_by(chunk, component_id) from ids group by oid, o
+ union all select * from (select 'relation', sid, 'USES', oid from ids union select 'relation', chunk, 'MENTIONS', sid from ids union select 'relation', chunk, 'MENTIONS', oid from ids)
+ union all select 'reject', component_id, decision_json, null from decisions where decision_json = '{{bad' union all select 'total', 'decisions', cast(count(*) as varchar), cast(count_if(decision_json = '{{bad') as varchar) from decisions""")
 def _(spark, d):
     base = nodes(spark, d)
     placed = graph.connected_components(graph.implicit_edges(base).where("rel = 'CHILD'"))
     got = graph.curate_graph(base, fx.decisions(placed))
-    parts = [got[k].select(F.lit(k).alias("part"), F.lit(1).alias("one")) for k in ("nodes", "entities", "relations", "redirects", "rejects")]
-    whole = parts[0]
-    for p in parts[1:]:
-        whole = whole.union(p)
-    return whole.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    none = F.lit(None).cast("string")
+    parts = {
+        "node": ("nodes", "node_id", "parent_id", "clean"), "child": ("children", "node_id", F.array_join("child_ids", ","), none), "redirect": ("redirects", "old_id", "new_id", none),
+        "entity": ("entities", "entity_id", "name", "source_node_id"), "relation": ("relations", "src", "rel", "dst"), "reject": ("rejects", "component_id", "decision_json", none),
+        "total": ("totals", F.lit("decisions"), F.col("decisions").cast("string"), F.col("rejects").cast("string")),
+    }
+    whole = None
+    for part, (table, key, a, b) in parts.items():
+        rows = got[table].select(F.lit(part).alias("part"), *((F.col(c) if isinstance(c, str) else c).alias(n) for c, n in ((key, "key"), (a, "a"), (b, "b"))))
+        whole = rows if whole is None else whole.union(rows)
+    return whole
 
 
 _KHOP = """seeds as (select s_nationkey as query_id, s_suppkey as seed_no, concat('s', s_suppkey) as seed from supplier),
@@ -480,6 +520,21 @@ def _(spark, d):
     return graph.viz_subgraph(graph.endpoints(e), e, fx.graph_nodes(spark, d))[0].select("node_id", "label")
 
 
+_PARALLEL = "select 'p' || l_partkey as src, case when l_orderkey % 3 = 0 then 'CHILD' when l_orderkey % 3 = 1 then 'USES' else 'BY' end as rel, 's' || l_suppkey as dst, l_orderkey * 10 + l_linenumber as seq from lineitem"
+
+
+@query("viz_edges", f"with e as ({_PARALLEL}) select src, dst, arg_max(rel, seq) as rel from e group by src, dst")
+def _(spark, d):
+    e = t(spark, d, "lineitem").selectExpr("concat('p', l_partkey) as src", "case when l_orderkey % 3 = 0 then 'CHILD' when l_orderkey % 3 = 1 then 'USES' else 'BY' end as rel", "concat('s', l_suppkey) as dst", "l_orderkey * 10 + l_linenumber as seq")
+    return graph.viz_subgraph(graph.endpoints(e), e, fx.graph_nodes(spark, d), "seq")[1]
+
+
+@query("viz_nodes", f"with {fx.EDGES_SQL}, {fx.NODE_TABLE_SQL}, {_LABELS}, e as (select distinct src, dst from edges), x as (select src as node_id, 1 as n from e union all select dst, 1 from e) select l.node_id, any_value(l.label) as label, cast(sum(x.n) as bigint) as degree from lab l join x using (node_id) group by l.node_id")
+def _(spark, d):
+    e = fx.edges(spark, d)
+    return graph.viz_tables(*graph.viz_subgraph(graph.endpoints(e), e, fx.graph_nodes(spark, d)))[0].select("node_id", "label", "degree")
+
+
 @query("viz_tables", f"with {fx.EDGES_SQL}, {fx.NODE_TABLE_SQL}, {_LABELS}, one as (select src, dst, max(rel) as rel from edges group by src, dst) select o.src, o.dst, o.rel, concat(a.label, ' → ', o.rel, ' → ', b.label) as hover from one o join lab a on a.node_id = o.src join lab b on b.node_id = o.dst")
 def _(spark, d):
     e = fx.edges(spark, d)
@@ -562,27 +617,28 @@ def _(spark, d):
     return retrieval.parse_child_rows(graph.implicit_edges(base), base)
 
 
-@query("evidence_dedup", f"with {fx.EVIDENCE_SQL} select request_id, kind, rank from evidence where length(body) <= 1200 qualify row_number() over (partition by request_id, kind, case when kind = 'SOURCE' then left(body, 120) else body end order by query_no, rank) = 1")
-def _(spark, d):
-    return retrieval.evidence_dedup(fx.evidence(spark, d).where(F.length("body") <= 1200)).select("request_id", "kind", "rank")
-
-
 _CLIPPED = f"""h as (select request_id, kind, rank, query_no, body, left(body, 1200) as head from evidence),
  p as (select *, case when contains(head, '. ') then length(head) - instr(reverse(head), ' .') - 1 else -1 end as a, case when contains(head, '! ') then length(head) - instr(reverse(head), ' !') - 1 else -1 end as b,
   case when contains(head, '? ') then length(head) - instr(reverse(head), ' ?') - 1 else -1 end as c, case when contains(head, chr(10)) then length(head) - instr(reverse(head), chr(10)) else -1 end as e from h),
  clipped as (select request_id, kind, rank, query_no, case when body is null or length(body) <= 1200 then body else concat(rtrim(case when a * 10 >= 7200 then left(head, a + 1) when b * 10 >= 7200 then left(head, b + 1) when c * 10 >= 7200 then left(head, c + 1) when e * 10 >= 7200 then left(head, e + 1) else head end, {fx.W}), ' …[truncated]') end as body from p)"""
 
 
+@query("evidence_dedup", f"with {fx.EVIDENCE_SQL}, {_CLIPPED} select request_id, kind, rank from clipped qualify row_number() over (partition by request_id, kind, case when kind = 'SOURCE' then left(body, 120) else body end order by query_no, rank) = 1")
+def _(spark, d):
+    return retrieval.evidence_dedup(fx.evidence(spark, d)).select("request_id", "kind", "rank")
+
+
 @query("evidence_dedup_all", f"with {fx.EVIDENCE_SQL}, {_CLIPPED} select request_id, kind, rank, body from clipped qualify row_number() over (partition by request_id, kind, case when kind = 'SOURCE' then left(body, 120) else body end order by query_no, rank) = 1")
 def _(spark, d):
     return retrieval.evidence_dedup(fx.evidence(spark, d)).select("request_id", "kind", "rank", "body")
 
 
-@query("evidence_format", rf"""with {fx.EVIDENCE_SQL}, {_FILTERED}, l as (select request_id, query_no, rank, '[' || kind || '] ' || body || case when score is not null then printf(' (Score: %.2f)', score) else '' end as line from kept),
+@query("evidence_format", rf"""with {fx.EVIDENCE_SQL.replace("doc_id % 50 as request_id", "doc_id // 50 as request_id")}, {_FILTERED}, l as (select request_id, query_no, rank, '[' || kind || '] ' || body || case when score is not null then printf(' (Score: %.2f)', score) else '' end as line from kept),
  b as (select request_id, query_no, 'QUERY: ' || query_no || chr(10) || string_agg(line, chr(10) order by rank) as body from l group by request_id, query_no), w as (select request_id, 'RETRIEVER RESULTS:' || chr(10) || string_agg(body, chr(10) || chr(10) order by query_no) as text from b group by request_id)
  select r.request_id, coalesce(w.text, 'No relevant information found.') as text from (select distinct request_id from evidence) r left join w using (request_id)""")
 def _(spark, d):
-    e = fx.evidence(spark, d)
+    # a request asks about a stretch of documents, so that its text stays bounded
+    e = fx.evidence(spark, d).withColumn("request_id", F.expr("rank div 50"))
     kept = retrieval.min_score_filter(e)
     n = e.select("request_id").distinct().join(kept.groupBy("request_id").agg(F.count(F.lit(1)).alias("n_hits")), "request_id", "left")
     return retrieval.evidence_format(kept, n)
@@ -713,9 +769,9 @@ _SOURCE_CUT = _cut(400, "concat('[SOURCE] ', text)", "' ... [+', length(concat('
 _PLAIN = r"not regexp_matches(chr(10) || text, '\n[ \t\r\f\v]*(\[SOURCE|\[RELATION\]|QUERY:|RETRIEVER RESULTS)')"
 
 
-@query("retriever_block_trim", f"select doc_id as id, concat('RETRIEVER RESULTS:', chr(10), '[RELATION] a', chr(10), {_SOURCE_CUT}, chr(10), '[RELATION] b', chr(10), text) as text from documents where text is not null")
+@query("retriever_block_trim", f"select doc_id as id, case when text is not null then concat('RETRIEVER RESULTS:', chr(10), '[RELATION] a', chr(10), {_SOURCE_CUT}, chr(10), '[RELATION] b', chr(10), text) end as text from documents")
 def _(spark, d):
-    return traces.retriever_block_trim(t(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("id"), F.expr(_RETR).alias("text")))
+    return traces.retriever_block_trim(t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.expr(_RETR).alias("text")))
 
 
 _INPUTS = """case when event_id % 3 = 0 then concat('{"messages": [[{"type": "constructor", "id": ["x", "SystemMessage"], "kwargs": {"content": "sys ', event_id, '"}}, {"type": "constructor", "id": ["x", "HumanMessage"], "kwargs": {"content": "hum ', event_id, '"}}]]}')
@@ -793,10 +849,9 @@ def _(spark, d):
 
 @query("token_accumulate_stream", ORACLES["token_accumulate"])
 def _(spark, d):
-    """Events as one file per turn, read in order as a stream; each run's response is appended at its end."""
+    """Events as files by thread, in no order, read as a stream; each run's response is appended at its end."""
     s = Scratch(spark)
-    # one file keeps a thread's order within a micro-batch; the operator sorts by seq besides
-    fx.token_events(spark, d).repartition(1).write.parquet(s.path("events"))
+    fx.token_events(spark, d).repartition("thread_id").write.parquet(s.path("events"))
     src = spark.readStream.schema(streams.EVENT_SCHEMA).parquet(s.path("events"))
     q = streams.token_accumulate_stream(src).writeStream.format("parquet").option("checkpointLocation", s.path("state")).trigger(availableNow=True).start(s.path("out"))
     q.awaitTermination()
@@ -819,22 +874,50 @@ def _(spark, d):
     return streams.incremental_runs(fx.runs(spark, d), "2024-01-16 00:00:00").select("run_id", "start_time")
 
 
-@query("run_latency_stream")
+@query(
+    "incremental_upsert",
+    """with e as (select event_id % 1000 as id, event_id as version, event_type as name, ts from events where ts >= timestamp '2024-01-14 23:50:00' and ts < timestamp '2024-01-16 00:00:00')
+    select id, version, name from e qualify row_number() over (partition by id order by version desc) = 1""",
+)
 def _(spark, d):
+    """Runs of a day and the overlap before it, read as a stream file by file and merged by id batch by batch."""
+    s = Scratch(spark)
+    e = t(spark, d, "events").select(F.expr("event_id % 1000").alias("id"), F.col("event_id").alias("version"), F.col("event_type").alias("name"), F.col("ts").cast("timestamp").alias("start_time"))
+    e.repartition(4, "version").write.parquet(s.path("runs"))
+    src = spark.readStream.schema("id long, version long, name string, start_time timestamp").option("maxFilesPerTrigger", 2).parquet(s.path("runs"))
+    rows = streams.incremental_runs(src, "2024-01-16 00:00:00").select("id", "version", "name")
+    q = rows.writeStream.foreachBatch(streams.upsert_sink(s.path("table"), "id", "version")).option("checkpointLocation", s.path("state")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.parquet(s.path("table")).select("id", "version", "name")
+
+
+_LATENCY_SQL = f"with {fx.RUNS_SQL} select date_trunc('day', start_time)::timestamp as day, name, count(latency) as n, round(sum(latency), 6) as total, min(latency) as least, max(latency) as most from runs where run_type = 'tool' group by all"
+
+
+@query("run_latency_stream", _LATENCY_SQL)
+def _(spark, d):
+    """Windows are given out as they change and kept in a table by window and tool."""
     s = Scratch(spark)
     fx.runs(spark, d).select("run_type", "name", "latency", "start_time").write.parquet(s.path("runs"))
     src = spark.readStream.schema("run_type string, name string, latency double, start_time timestamp_ntz").parquet(s.path("runs"))
-    name = "latency_" + s.root.rsplit("-", 1)[-1]
-    q = streams.run_latency_stream(src).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
+    rows = streams.run_latency_stream(src).drop("median").withColumn("id", F.concat_ws("|", F.col("day").cast("string"), "name"))
+    q = rows.writeStream.outputMode("update").foreachBatch(streams.upsert_sink(s.path("table"), "id", "n")).option("checkpointLocation", s.path("state")).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(rows.schema).parquet(s.path("table")).drop("id", "bucket")
 
 
-@query("run_latency_batch", f"with {fx.RUNS_SQL} select date_trunc('day', start_time)::timestamp as day, name, count(latency) as n, round(sum(latency), 6) as total, min(latency) as least, max(latency) as most from runs where run_type = 'tool' group by all")
+@query("run_latency_batch", _LATENCY_SQL)
 def _(spark, d):
     return streams.run_latency_stream(fx.runs(spark, d)).drop("median")
 
 
+@query("sql_functions", ORACLES["smart_truncate"].replace(" as text from p", " as cut, value from p").replace("h as (select doc_id, text,", f"h as (select doc_id, text, {fx.d_clean('text')} as value,"))
+def _(spark, d):
+    register.register_functions(spark)
+    t(spark, d, "documents").createOrReplaceTempView("fernlake_documents")
+    return spark.sql("select doc_id, smart_truncate(text, 400) as cut, clean_text(text) as value from fernlake_documents")
+
+
 @query("register_functions", "select p_partkey, left(sha256(concat(p_brand, ':', p_name)), 16) as entity_id from part")
 def _(spark, d):
     register.register_functions(spark)

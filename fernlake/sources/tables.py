@@ -17,11 +17,28 @@ RUN_SCHEMA = (
 
 
 def scan_outline_files(spark: SparkSession, root: str, pattern: str = "*.md") -> DataFrame:
-    """(source, line_number, line, file) of all matching files below a folder; source is the file's stem."""
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(root, wholetext=True)
-    files = files.select("value", F.col("_metadata.file_path").alias("file"))
-    stem = F.regexp_extract("file", r"([^/]*?)(\.[^./]*)?$", 1)
-    return files.select(stem.alias("source"), F.posexplode(F.split("value", "\r\n|\r|\n", -1)).alias("line_number", "line"), "file")
+    """(source, line_number, line, file) of all matching files below a folder; source is the file's stem.
+
+    A file is one row, so of at most 2 GB.  Of a file that is no valid UTF-8 the lines before the
+    first bad one are kept; `broken_files` names such files.
+    """
+    files = _file_lines(spark, root, pattern)
+    good = F.when(F.col("bad") > 0, F.slice("lines", F.lit(1), F.col("bad") - 1)).otherwise(F.col("lines"))
+    return files.select("source", F.posexplode(good).alias("line_number", "line"), "file")
+
+
+def broken_files(spark: SparkSession, root: str, pattern: str = "*.md") -> DataFrame:
+    """(file, line_number) of the first line that cannot be read, of each file that has one."""
+    return _file_lines(spark, root, pattern).where("bad > 0").select("file", (F.col("bad") - 1).cast("int").alias("line_number"))
+
+
+def _file_lines(spark: SparkSession, root: str, pattern: str) -> DataFrame:
+    # bytes, since a reader of text would replace bad ones unseen; splitting replaces them by the mark
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
+    text = F.col("content").cast("string")
+    files = files.select(F.split(text, "\r\n|\r|\n", -1).alias("lines"), F.is_valid_utf8(text).alias("valid"), F.col("path").alias("file"))
+    bad = F.when(~F.col("valid"), F.array_position(F.transform("lines", lambda x: x.contains("�")), F.lit(True)).cast("int"))
+    return files.select(F.regexp_extract("file", r"([^/]*?)(\.[^./]*)?$", 1).alias("source"), "lines", bad.alias("bad"), "file")
 
 
 def scan_runs_json(spark: SparkSession, path: str, schema: str = RUN_SCHEMA, key: str = "_id", multi_line: bool = True) -> DataFrame:
@@ -80,9 +97,10 @@ def filter_sources(nodes: DataFrame, allowed: DataFrame, key: str = "source", mo
     return kept
 
 
-def written_outlines(docs: DataFrame) -> tuple[SparkSession, str]:
-    """Write texts as files by source in the shared folder, for a scan to read back."""
+def written_outlines(docs: DataFrame, per_file: int = 50) -> tuple[SparkSession, str]:
+    """Write texts as files in the shared folder, for a scan to read back: one folder and file for each stretch of ids."""
     spark = docs.sparkSession
     path = Scratch(spark).path("outlines")
-    docs.select("source", F.col("text").alias("value")).write.partitionBy("source").text(path)
+    rows = docs.withColumn("part", F.floor(F.col("doc_id") / per_file)).repartition("part").sortWithinPartitions("part", "doc_id")
+    rows.select("part", F.col("text").alias("value")).write.partitionBy("part").text(path)
     return spark, path

@@ -1,6 +1,7 @@
 """Structured Streaming forms of the event operators, with batch twins.
 
-Events are (thread_id, ts, seq, type, agent, chunk); types are start, token and end.
+Events are (thread_id, ts, seq, type, agent, chunk); types are start, token and end.  A run
+without an end event appears in the batch twin at once, in the stream when its agent was idle.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from fernlake.plans.scratch import Scratch
 from fernlake.sources.tables import upsert_by_id
 
 EVENT_SCHEMA = "thread_id long, ts timestamp, seq long, type string, agent string, chunk string"
@@ -30,27 +32,56 @@ def token_accumulate(events: DataFrame) -> DataFrame:
     return rows.where("type = 'token'").groupBy("thread_id", "agent", "run_no").agg(F.array_join(part["chunk"], "").alias("response"), F.count(F.lit(1)).alias("n_chunks"))
 
 
-def _accumulate(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    run_no, text, n = state.get if state.exists else (0, "", 0)
-    out = []
-    for rows in frames:
-        for kind, chunk in rows.sort_values("seq")[["type", "chunk"]].itertuples(index=False):
-            if kind == "start":
-                run_no, text, n = run_no + 1, "", 0
-            elif kind == "token":
-                text, n = text + (chunk or ""), n + 1
-            elif kind == "end" and n:
-                out.append((key[0], key[1], run_no, text, n))
-                text, n = "", 0
-    state.update((run_no, text, n))
-    yield pd.DataFrame(out, columns=["thread_id", "agent", "run_no", "response", "n_chunks"])
-
-
-def token_accumulate_stream(events: DataFrame) -> DataFrame:
-    """Stream: each run's response when its end event arrives; state is the open text of a (thread, agent)."""
-    return events.groupBy("thread_id", "agent").applyInPandasWithState(
-        _accumulate, "thread_id long, agent string, run_no long, response string, n_chunks long", "run_no long, text string, n long", "append", GroupStateTimeout.NoTimeout
-    )
+def _accumulate(idle_ms: int):
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        run_no, seqs, chunks, last = state.get if state.exists else (0, [], [], 0)
+        seqs, chunks, out = list(seqs), list(chunks), []
+
+        def close() -> None:
+            if seqs:
+                order = sorted(range(len(seqs)), key=seqs.__getitem__)
+                out.append((key[0], key[1], run_no, "".join(chunks[k] for k in order), len(order)))
+            seqs.clear()
+            chunks.clear()
+
+        if state.hasTimedOut:
+            close()
+            state.remove()
+        else:
+            # a key's events of one micro-batch come in several frames, in no order
+            rows = pd.concat(list(frames)).sort_values("seq")
+            for seq, kind, chunk in rows[["seq", "type", "chunk"]].itertuples(index=False):
+                if kind == "start":
+                    close()
+                    run_no += 1
+                elif kind == "token":
+                    seqs.append(int(seq))
+                    chunks.append(chunk or "")
+                elif kind == "end":
+                    close()
+            last = max(last, int(rows["ts"].max().timestamp() * 1000))
+            state.update((run_no, seqs, chunks, last))
+            state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + idle_ms)
+        yield pd.DataFrame(out, columns=["thread_id", "agent", "run_no", "response", "n_chunks"])
+
+    return run
+
+
+def token_accumulate_stream(events: DataFrame, late: str = "10 minutes", idle_ms: int = 3_600_000) -> DataFrame:
+    """Stream: each run's response at its end event, at the next start, or when its agent has been idle.
+
+    State is the open run of a (thread, agent), its chunks by seq.  It goes when the watermark
+    (`late` behind the latest event) is `idle_ms` past its last event; a run left open is then
+    given out, and runs that follow are numbered from 1 again.
+    """
+    return (
+        events.withWatermark("ts", late)
+        .groupBy("thread_id", "agent")
+        .applyInPandasWithState(
+            _accumulate(idle_ms), "thread_id long, agent string, run_no long, response string, n_chunks long", "run_no long, seqs array<long>, chunks array<string>, last long",
+            "append", GroupStateTimeout.EventTimeTimeout,
+        )
+    )
 
 
 def agent_status(events: DataFrame) -> DataFrame:
@@ -74,26 +105,38 @@ def incremental_runs(runs: DataFrame, until: str, window: str = "1 day", overlap
     return runs.where((F.col("start_time").cast("timestamp") >= since) & (F.col("start_time").cast("timestamp") < stop))
 
 
-def upsert_sink(path: str, key: str, version: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink that keeps one row per key; generations alternate, so a failed batch leaves the old one."""
+def upsert_sink(path: str, key: str, version: str, buckets: int = 16) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink that keeps one row per key, the one of the greatest version, in buckets of keys.
+
+    Only the buckets that a batch touches are read and written again.  A batch that is written
+    twice, after a failure or from a new checkpoint, changes nothing.  Rows of one key are never
+    spread, so readers see each bucket before or after a batch.
+    """
 
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/epoch={epoch - 1}")
-        there = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
-        old = spark.read.parquet(f"{path}/epoch={epoch - 1}") if there else batch.limit(0)
-        upsert_by_id(old, batch, key, version).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        with Scratch(spark) as scratch:
+            new = scratch.keep(batch.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")), "batch")
+            touched = [x["bucket"] for x in new.select("bucket").distinct().collect()]  # `buckets` numbers at most
+            if not touched:
+                return
+            hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            there = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+            old = spark.read.schema(new.schema).parquet(path).where(F.col("bucket").isin(touched)) if there else new.limit(0)
+            merged = scratch.keep(upsert_by_id(old, new, key, version), "merged")
+            merged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
     return write
 
 
 def run_latency_stream(runs: DataFrame, window: str = "1 day", late: str = "1 hour") -> DataFrame:
-    """Latency of tool runs by tumbling window, kept current as runs arrive; the median is approximate."""
+    """Latency of tool runs by tumbling window, kept current as runs arrive; the median is approximate.
+
+    In update mode a window's row is given out at each change and its state goes with the watermark.
+    """
     rows = runs.where("run_type = 'tool' and latency is not null").withColumn("at", F.col("start_time").cast("timestamp"))
     if rows.isStreaming:
         rows = rows.withWatermark("at", late)
     x = F.col("latency")
     out = rows.groupBy(F.window("at", window).alias("w"), "name").agg(F.count(x).alias("n"), F.round(F.sum(x), 6).alias("total"), F.min(x).alias("least"), F.max(x).alias("most"), F.percentile_approx(x, 0.5).alias("median"))
     return out.select(F.col("w.start").cast("timestamp_ntz").alias("day"), "name", "n", "total", "least", "most", "median")
-
-
