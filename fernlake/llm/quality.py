@@ -1,14 +1,15 @@
 """Quality classifier: averaged subword embeddings with a softmax output, trained by SGD.
 
-Features of a text are its words and the character n-grams inside each word (with word ends
-marked), hashed to a fixed number of buckets.  Each bucket has a learned vector; a text is the
+Features of a text are its words, pairs of neighbouring words and the character n-grams inside
+each word (with word ends marked), hashed to a fixed number of buckets.  Each bucket has a learned vector; a text is the
 average of its features' vectors, and a softmax layer over two classes gives the probability.
 Words keep their case, since shouting is a sign of quality.
 
 Training runs on a bounded number of labelled rows: executors turn their whole texts into
-bucket counts, and numpy runs stochastic gradient descent over these.  Scoring needs one number
-per bucket, because the output layer is linear in the average: the difference of the two class
-logits of each bucket is broadcast (8 bytes x buckets, a fixed size).
+bucket counts, and numpy runs stochastic gradient descent over these in one task of its own, so
+that the driver sees the model alone.  Scoring needs one number per bucket, because the output
+layer is linear in the average: the difference of the two class logits of each bucket is
+broadcast (8 bytes x buckets, a fixed size).
 """
 
 from __future__ import annotations
@@ -30,7 +31,8 @@ def features(part: pa.RecordBatch, buckets: int) -> tuple[np.ndarray, np.ndarray
     """Bucket of each feature of all texts, and offsets by text.
 
     Per text: one feature for each byte-trigram window that touches a word (word ends count as a
-    byte), and one per word.
+    byte), one per word, and one per pair of neighbouring words.  A pair is hashed by the
+    difference of its words' hashes, so that repeated words of any kind share one bucket.
     """
     raw, off = tk.bytes_of(part.column(1))
     n = len(raw)
@@ -56,14 +58,21 @@ def features(part: pa.RecordBatch, buckets: int) -> tuple[np.ndarray, np.ndarray
     np.cumsum(tk.mix(before.astype(np.uint64) << np.uint64(32) | x.astype(np.uint64) << np.uint64(16) | after.astype(np.uint64)), out=sums[1:])
     finish = live[after[live] == 0] + 1
     word = tk.mix(sums[finish] - sums[begin] + (finish - begin).astype(np.uint64))
-    word = (word & np.uint64(buckets - 1)).astype(np.int32)
     at_tri, at_word = np.searchsorted(live, off), np.searchsorted(begin, off)
-    at = at_tri + at_word
+    # pairs of neighbours within a text; the difference is 0 for every repeated word
+    later = np.ones(len(word), bool)
+    later[at_word[:-1][at_word[:-1] < len(word)]] = False
+    later = np.flatnonzero(later)
+    pair = tk.mix(word[later] - word[later - 1] + np.uint64(1))
+    kinds = [(tri[live], at_tri)]
+    kinds += [((x & np.uint64(buckets - 1)).astype(np.int32), at) for x, at in ((word, at_word), (pair, np.searchsorted(later, at_word)))]
+    at = sum(k[1] for k in kinds)
     out = np.empty(at[-1], np.int32)
-    k = np.arange(len(live))
-    out[k + at_word[np.searchsorted(at_tri, k, side="right") - 1]] = tri[live]
-    k = np.arange(len(begin))
-    out[k + at_tri[np.searchsorted(at_word, k, side="right")]] = word
+    before_kind = np.zeros(len(at) - 1, np.int64)
+    for values, edge in kinds:
+        size = np.diff(edge)
+        out[np.arange(len(values)) + np.repeat(at[:-1] + before_kind - edge[:-1], size)] = values
+        before_kind += size
     return out, at
 
 
@@ -87,13 +96,37 @@ def _counts(buckets: int):
                     found.append(b)
                     weight.append(n / max(1, n.sum()))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(2), pa.array(found, pa.list_(pa.int32())), pa.array(weight, pa.list_(pa.float32()))],
-                    names=["id", "label", "bucket", "weight"],
+                    [part.column(0), part.column(2), part.column(3), pa.array(found, pa.list_(pa.int32())), pa.array(weight, pa.list_(pa.float32()))],
+                    names=["id", "label", "draw", "bucket", "weight"],
                 )
 
     return run
 
 
+def _train(max_pairs: int, *settings):
+    """One task: train on the rows, which come in the order of their draw, while their pairs fit; the model's numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        bucket, weight, label, size, held = [], [], [], [np.zeros(1, np.int64)], 0
+        for batch in batches:
+            n = np.asarray(batch.column(3).value_lengths()).astype(np.int64)
+            rows = int(np.searchsorted(np.cumsum(n), max_pairs - held, side="right"))
+            part = batch.slice(0, rows)
+            bucket.append(np.asarray(part.column(3).flatten()))
+            weight.append(np.asarray(part.column(4).flatten()))
+            label.append(np.asarray(part.column(1)).astype(np.float64))
+            size.append(n[:rows])
+            held += int(n[:rows].sum())
+            if rows < batch.num_rows:
+                break
+        label = np.concatenate(label) if label else np.zeros(0)
+        if len(label) and 0 < label.mean() < 1:
+            model = train_sgd(np.concatenate(bucket), np.concatenate(weight), np.cumsum(np.concatenate(size)), label, *settings)
+            yield pa.RecordBatch.from_arrays([pa.array([model.delta.tobytes()], pa.binary()), pa.array([model.bias])], names=["delta", "bias"])
+
+    return run
+
+
 def fit(
     rows: DataFrame,
     label_col: str,
@@ -101,42 +134,40 @@ def fit(
     text_col: str = "text",
     train: Column | None = None,
     max_rows: int = 3000,
+    max_pairs: int = 1 << 24,
     buckets: int = 1 << 15,
     dim: int = 8,
-    epochs: int = 30,
+    epochs: int = 12,
     rate: float = 4.0,
     seed: int = 7,
 ) -> QualityModel:
     """Fit on rows whose label is 0 or 1.
 
     ``max_rows`` bounds what is fitted: about half of it from each class, taken by a hash of the
-    id.  Rows with a null label teach nothing.  Without rows of both classes the model gives every text
-    the share of class 1 among the labelled rows (0.5 without any).
+    id, and of these as many as have ``max_pairs`` (text, bucket) pairs in all, 8 bytes each.  Rows
+    with a null label teach nothing; a row with a null id is drawn like any other; repeated rows
+    are drawn together.  Without rows of both classes the model gives every text the share of class
+    1 among the labelled rows (0.5 without any).
     """
     tk.bound_batches(rows.sparkSession)
     rows = rows.where(train if train is not None else F.lit(True)).where(F.col(label_col).isin(0, 1))
     rows = rows.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("int").alias("label"))
     there = {x["label"]: x["count"] for x in rows.groupBy("label").count().collect()}
     n1, n = there.get(1, 0), sum(there.values())
+    share = np.clip(n1 / n, 1e-6, 1 - 1e-6) if n else 0.5
+    flat = QualityModel(np.zeros(buckets), float(np.log(share / (1 - share))), buckets)
     if not n1 or n1 == n:
-        share = np.clip(n1 / n, 1e-6, 1 - 1e-6) if n else 0.5
-        return QualityModel(np.zeros(buckets), float(np.log(share / (1 - share))), buckets)
-    draw = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_000))
-    limits = {k: int(min(1.0, max_rows / 2 / v) * 1_000_000) for k, v in there.items()}
-    rows = rows.where((F.col("label") == 1) & (draw < limits[1]) | (F.col("label") == 0) & (draw < limits[0]))
-    got = rows.mapInArrow(_counts(buckets), "id string, label int, bucket array<int>, weight array<float>").toArrow()
-    order = np.lexsort((got["label"].to_numpy(), np.array([hash_of(x) for x in got["id"].to_pylist()], np.uint64)))
-    got = got.take(pa.array(order)).combine_chunks()
-    lists, weights = got["bucket"].chunk(0), got["weight"].chunk(0)
-    at = lists.offsets.to_numpy()
-    return train_sgd(lists.values.to_numpy(), weights.values.to_numpy(), at, got["label"].to_numpy().astype(np.float64), buckets, dim, epochs, rate, seed)
-
-
-def hash_of(x: str | None) -> int:
-    value = 0xCBF29CE484222325
-    for b in (x or "").encode():
-        value = (value ^ b) * 0x100000001B3 & (1 << 64) - 1
-    return value
+        return flat
+    # the share of a class that is drawn is never rounded to none
+    rows = rows.withColumn("draw", F.shiftrightunsigned(F.xxhash64("id", F.lit(seed)), 1) / float(1 << 63))
+    limits = {k: max_rows / 2 / v for k, v in there.items()}
+    # the first condition names no label, so it reaches the scan of the texts, before any join with labels
+    rows = rows.where(F.col("draw") < max(limits.values())).where(F.col("draw") < F.when(F.col("label") == 1, limits[1]).otherwise(limits[0]))
+    counts = rows.mapInArrow(_counts(buckets), "id string, label int, draw double, bucket array<int>, weight array<float>")
+    one = counts.repartition(1).sortWithinPartitions("draw", "id", "label").mapInArrow(_train(max_pairs, buckets, dim, epochs, rate, seed), "delta binary, bias double").first()
+    if one is None:
+        return flat
+    return QualityModel(np.frombuffer(one["delta"]), one["bias"], buckets)
 
 
 def train_sgd(bucket, weight, at, label, buckets: int, dim: int, epochs: int, rate: float, seed: int, batch: int = 16) -> QualityModel:
