@@ -19,6 +19,11 @@ is compared with the others (a star, linear in the bucket); after the components
 are known, only pairs of different components that pass the size bound and an exact bound from a
 parity sketch (set bits of the xor never exceed the symmetric difference) are compared.  All
 links are decided on the whole shingle sets.  Buckets over ``cell`` rows are split into cells.
+
+Skew.  A large group of copies fills one index key, one leader or one class with its rows.  What
+a key needs (its count, leader, span of components) is aggregated map-side and then joined back
+as a table of one row per key; both sides of such a join are shuffled for it alone, so adaptive
+execution splits a hot key's rows.  No window runs over a key.
 """
 
 from __future__ import annotations
@@ -33,6 +38,7 @@ from pyspark.sql import functions as F
 from fernlake.llm import textkernel as tk
 from fernlake.operators.components import components
 from fernlake.plans.scratch import Scratch
+from fernlake.plans.skew import dealt_anew
 
 SKETCH = [f"s{i}" for i in range(8)]
 _A, _B, _C = tk.U(0x9E3779B185EBCA87), tk.U(0xC2B2AE3D27D4EB4F), tk.U(0x165667B19E3779F9)
@@ -52,40 +58,37 @@ def _prefix(n: int, num: int, den: int) -> int:
     return n - -(-num * n // den) + 1
 
 
-def _meta(size: int):
+def _meta(size: int, num: int, den: int):
+    """Size, 128-bit class, parity sketches and prefix tokens of each row's set."""
+
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             n = np.zeros(batch.num_rows, np.int64)
+            prefix = [np.zeros(0, tk.U)] * batch.num_rows
             hi, lo = np.zeros(batch.num_rows, tk.U), np.zeros(batch.num_rows, tk.U)
             sketch = np.zeros((batch.num_rows, 8), tk.U)
             wide: list[bytes | None] = [None] * batch.num_rows
             for i, s in _sets(batch, size):
                 n[i] = len(s)
                 hi[i], lo[i] = (s * _A).sum(), tk.mix(s ^ _B).sum()
+                if len(s):
+                    prefix[i] = s[: _prefix(len(s), num, den)]
                 size_2 = max(512, 1 << (len(s) - 1).bit_length()) if len(s) else 512
                 bits = (np.bincount((s & tk.U(size_2 - 1)).astype(np.int64), minlength=size_2) & 1).astype(np.uint8)
                 if size_2 > 512:
                     wide[i] = np.packbits(bits).tobytes()
                     bits = np.bitwise_xor.reduce(bits.reshape(-1, 512), axis=0)
                 sketch[i] = np.packbits(bits).view(tk.U)
+            at = np.concatenate([[0], np.cumsum([len(p) for p in prefix])]).astype(np.int32)
+            tokens = pa.ListArray.from_arrays(pa.array(at), tk.signed(np.concatenate(prefix) if prefix else np.zeros(0, tk.U)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n), tk.signed(hi), tk.signed(lo), *(tk.signed(sketch[:, k]) for k in range(8)), pa.array(wide, pa.binary())],
-                names=["id", "n", "hi", "lo", *SKETCH, "wide"],
+                [batch.column(0), pa.array(n), tk.signed(hi), tk.signed(lo), *(tk.signed(sketch[:, k]) for k in range(8)), pa.array(wide, pa.binary()), tokens],
+                names=["id", "n", "hi", "lo", *SKETCH, "wide", "prefix"],
             )
 
     return run
 
 
-def _prefix_tokens(size: int, num: int, den: int):
-    def run(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
-            out = [s[: _prefix(len(s), num, den)] for _, s in _sets(batch, size) if len(s)]
-            if out:
-                yield pa.RecordBatch.from_arrays([tk.signed(np.concatenate(out))], names=["token"])
-
-    return run
-
-
 def index_keys(s: np.ndarray, frequent: np.ndarray, num: int, den: int) -> np.ndarray:
     """Index keys of one sorted token set: rare prefix tokens, and combinations of frequent ones."""
     n = len(s)
@@ -241,7 +244,7 @@ def jaccard_components(
     frequent_over: int = 64,
     max_frequent: int = 1 << 20,
     broadcast_ids: int = 1 << 20,
-    cell: int = 4096,
+    cell: int = 1024,
 ) -> DataFrame:
     """(id, n_shingles, component_id) per input row; component_id is the smallest id reachable.
 
@@ -258,31 +261,35 @@ def jaccard_components(
     scratch = Scratch(spark)
 
     longs = ", ".join(f"{s} long" for s in SKETCH)
-    meta = scratch.keep(rows.mapInArrow(_meta(size), f"id long, n long, hi long, lo long, {longs}, wide binary"), "meta")
+    schema = f"id long, n long, hi long, lo long, {longs}, wide binary, prefix array<long>"
+    meta = scratch.keep(rows.mapInArrow(_meta(size, num, den), schema), "meta")
     known = meta.where("id is not null and n > 0")
-    rep_of = known.groupBy("n", "hi", "lo").agg(F.min("id").alias("rep"))
-    reps = scratch.keep(known.join(rep_of, ["n", "hi", "lo"]).where("id = rep").dropDuplicates(["id", "hi", "lo"]).select("rep", "n", *SKETCH, "wide"), "reps")
-    sketches = reps.select("rep", "n", *SKETCH)
+    cls = ["n", "hi", "lo"]
+    # joined by id as well, so that the copies of one text do not meet
+    least = known.groupBy(*cls).agg(F.min("id").alias("id"))
+    reps = known.join(least, ["id", *cls]).select(F.col("id").alias("rep"), *cls, *SKETCH, "wide").dropDuplicates(["rep", *cls])
+    reps = scratch.keep(reps, "reps")
 
     # the frequent class: the most common prefix tokens, at most max_frequent of them (8 bytes each)
-    tokens = rows.mapInArrow(_prefix_tokens(size, num, den), "token long")
-    counted = tokens.groupBy("token").count().where(F.col("count") > frequent_over)
+    counted = meta.select(F.explode("prefix").alias("token")).groupBy("token").count().where(F.col("count") > frequent_over)
     top = counted.orderBy(F.desc("count"), "token").limit(max_frequent).select("token").toPandas()["token"]
     frequent = spark.sparkContext.broadcast(np.sort(top.to_numpy(np.int64).view(tk.U)))
 
-    entries = rows.mapInArrow(_entries(size, num, den, frequent), "key long, id long")
-    by_key = Window.partitionBy("key")
-    shared = entries.withColumn("c", F.count(F.lit(1)).over(by_key)).where("c > 1").select("key", F.col("id").alias("rep"))
-    shared = shared.join(reps.select("rep", "n"), "rep").withColumn("c", F.count(F.lit(1)).over(by_key)).where("c > 1")
-    index = scratch.keep(shared.select("key", "rep", "n", "c"), "index")
+    entries = scratch.keep(rows.mapInArrow(_entries(size, num, den, frequent), "key long, id long"), "entries")
+    frequent.destroy()
+    shared = dealt_anew(entries.groupBy("key").count().where("count > 1").select("key"), "key")
+    named = entries.join(shared, "key").select("key", F.col("id").alias("rep")).join(reps.select("rep", "n"), "rep")
+    share = F.count(F.lit(1)).over(Window.partitionBy("rep")) / F.col("n")
+    index = scratch.keep(named.select("key", "rep", share.alias("share")), "index")
+    scratch.drop(entries)
 
     def links(pairs: DataFrame, name: str) -> DataFrame:
         # long sets need a sketch of about a bit for each token; it decides before any text moves
-        x = reps.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("wide").alias("wa"))
-        y = reps.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("wide").alias("wb"))
-        pairs = pairs.join(y, "b").join(x, "a").select("a", "b", "na", "nb", "wa", "wb")
+        side = lambda c: reps.select(F.col("rep").alias(c), F.struct("n", *SKETCH).alias(f"{c}_"), F.col("wide").alias(f"w{c}"))
+        pairs = pairs.join(side("b"), "b").join(side("a"), "a").where(_may_link(num, den, "a_", "b_"))
+        pairs = pairs.select("a", "b", F.col("a_.n").alias("na"), F.col("b_.n").alias("nb"), "wa", "wb")
         pairs = scratch.keep(pairs.mapInArrow(_narrow(num, den), "a long, b long"), f"{name}-pairs")
-        ids = scratch.keep(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), f"{name}-ids")
+        ids = scratch.keep(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), f"{name}-ids")
         few = ids.count() <= broadcast_ids
         texts = scratch.keep(rows.join(F.broadcast(ids) if few else ids, "id", "left_semi"), f"{name}-texts")
         left, right = texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
@@ -293,20 +300,19 @@ def jaccard_components(
         return out
 
     # each bucket's most central document against the others
-    central = index.groupBy("rep").agg((F.count(F.lit(1)) / F.first("n")).alias("share"))
-    led = index.join(central, "rep").withColumn("lead", -F.max(F.struct("share", (-F.col("rep")).alias("r"))).over(by_key)["r"])
-    star = led.where("lead != rep").select(F.least("lead", "rep").alias("a"), F.greatest("lead", "rep").alias("b")).distinct()
-    star = star.join(sketches.alias("x"), F.col("a") == F.col("x.rep")).join(sketches.alias("y"), F.col("b") == F.col("y.rep"))
-    first = links(star.where(_may_link(num, den, "x", "y")).select("a", "b"), "star")
+    lead = index.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.max(F.struct("share", (-F.col("rep")).alias("r"))).alias("best")).where("c > 1")
+    lead = dealt_anew(lead.select("key", (-F.col("best.r")).alias("lead")), "key")
+    star = index.join(lead, "key").where("lead != rep").select(F.least("lead", "rep").alias("a"), F.greatest("lead", "rep").alias("b")).distinct()
+    first = links(star, "star")
     comp = components(first).withColumnsRenamed({"node": "rep", "component": "comp"})
 
     # what is left: pairs of one bucket in different components
-    placed = sketches.join(comp, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    rest = index.join(placed.select("rep", "comp", *SKETCH), "rep")
-    rest = rest.withColumn("lo", F.min("comp").over(by_key)).withColumn("hi", F.max("comp").over(by_key)).where("lo != hi")
-    blocks = F.ceil(F.col("c") / cell).cast("int")
-    rest = rest.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = scratch.keep(index.select("key", "rep").join(comp, "rep", "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp")), "placed")
+    scratch.drop(index)
+    spans = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("c")).where("low != high")
+    spans = dealt_anew(spans.select("key", F.ceil(F.col("c") / cell).cast("int").alias("blocks")), "key")
+    rest = placed.join(spans, "key").join(reps.select("rep", "n", *SKETCH), "rep")
+    rest = rest.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     low, high = F.least("block", "other"), F.greatest("block", "other")
     rest = rest.withColumn("key", F.when(F.col("blocks") == 1, F.col("key")).otherwise(F.xxhash64("key", low, high)))
     rest = rest.select("key", "rep", "n", "comp", "block", (F.col("block") == F.col("other")).alias("diagonal"), *SKETCH)
@@ -315,16 +321,25 @@ def jaccard_components(
     second = links(cells.mapInArrow(_cross(num, den), "a long, b long").distinct(), "rest")
 
     # ids that name several texts join their classes
-    named = known.join(rep_of, ["n", "hi", "lo"]).select("id", "rep")
-    several = named.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a != z").select("id", "a")
-    same = named.join(several, "id").select("a", F.col("rep").alias("b")).where("a != b")
-    final = components(first.union(second).union(same)).withColumnsRenamed({"node": "rep", "component": "least"})
-    placed = rep_of.join(final, "rep", "left").withColumn("least", F.coalesce("least", "rep"))
-    out = meta.join(placed, ["n", "hi", "lo"], "left")
+    several = known.groupBy("id").agg(F.min(F.struct(*cls)).alias("a"), F.max(F.struct(*cls)).alias("z")).where("a != z").select("id")
+    class_of = reps.select("rep", *cls)
+    same = known.select("id", *cls).join(several, "id").join(class_of, cls).select("id", "rep")
+    same = same.join(same.groupBy("id").agg(F.min("rep").alias("a")), "id").select("a", F.col("rep").alias("b"))
+
+    # the later links join components of the first ones
+    extra = scratch.keep(second.union(same).where("a != b"), "extra")
+    final = class_of.join(comp, "rep", "left").withColumn("least", F.coalesce("comp", "rep"))
+    if not extra.isEmpty():
+        for end in ("a", "b"):
+            of = comp.withColumnRenamed("rep", end)
+            extra = extra.join(of, end, "left").withColumn(end, F.coalesce("comp", end)).drop("comp")
+        joined = components(extra).withColumnsRenamed({"node": "least", "component": "lower"})
+        final = final.join(joined, "least", "left").withColumn("least", F.coalesce("lower", "least"))
+    final = dealt_anew(final.select(*cls, "least"), *cls)
+    out = meta.select("id", *cls).join(final, cls, "left")
     out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("least", "id")).alias("component_id"))
     out = scratch.keep(out, "result", last=True)
     scratch.close()
-    frequent.unpersist()
     return out
 
 
