@@ -2,10 +2,11 @@
 
 Counts of hashed byte-exact character n-grams (1 to 3 characters, letters lower-cased by the
 case map of the Basic Latin, Latin-1, Latin Extended-A, Greek and Cyrillic blocks, other
-characters as one separator) are learned by language.  The log-probability matrix, languages by
-buckets, is broadcast; its size is fixed by ``buckets`` and checked against ``max_languages``.
-A batch is scored at once: hashes of all its positions index the matrix, and sums per text give
-the log-likelihoods.
+characters as one separator) are learned by language.  Tasks count sparsely, a language's
+log-probabilities are made in a task of its own, and the driver sees the matrix alone.  The
+matrix, languages by buckets, is broadcast; ``max_bytes`` bounds its size: for very many languages
+there are fewer buckets.  Positions of a batch are scored in blocks: their hashes index the
+matrix, and sums per text give the log-likelihoods.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -80,27 +82,28 @@ class LanguageModel:
 
 
 def _count(buckets: int, orders: tuple[int, ...]):
+    """(lang, bucket, n) of each slice of a batch; sums are left to the grouping."""
+
     def run(batches: Iterator[pa.RecordBatch]):
-        total: dict[str, np.ndarray] = {}
-        rows: dict[str, int] = {}
         for batch in batches:
             for part in tk.slices(batch, "text"):
                 low, at = _codes(part)
-                langs = part.column(2).to_pylist()
-                grams = [_grams(low, buckets, o) for o in orders]
-                live = low != 0
-                for i, lang in enumerate(langs):
-                    s, e = at[i] + 2, at[i + 1]
-                    mine = total.setdefault(lang, np.zeros(buckets, np.int64))
-                    keep = live[s:e]
-                    for g in grams:
-                        mine += np.bincount(g[s:e][keep], minlength=buckets)
-                    rows[lang] = rows.get(lang, 0) + 1
-        for lang, counts in total.items():
-            at = np.flatnonzero(counts)
-            bucket = np.concatenate([[-1], at]).astype(np.int32)
-            number = np.concatenate([[rows[lang]], counts[at]]).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(bucket), pa.string()), pa.array(bucket), pa.array(number)], names=["lang", "bucket", "n"])
+                code = part.column(2).dictionary_encode()
+                live = np.flatnonzero(low)
+                lang = np.repeat(code.indices.to_numpy(zero_copy_only=False), np.diff(np.searchsorted(live, at))).astype(np.int64) * buckets
+                key, n = np.unique(np.concatenate([lang + _grams(low, buckets, o)[live] for o in orders]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([code.dictionary.take(pa.array(key // buckets)), pa.array((key % buckets).astype(np.int32)), pa.array(n.astype(np.int64))], names=["lang", "bucket", "n"])
+
+    return run
+
+
+def _log_prob(buckets: int, smooth: float):
+    """A language's log-probabilities from its counts, at most one row per bucket."""
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        counts = np.full(buckets, smooth)
+        counts[pdf["bucket"].to_numpy()] += pdf["n"].to_numpy()
+        return pd.DataFrame({"lang": [key[0]], "row": [(np.log(counts) - np.log(counts.sum())).astype(np.float32).tobytes()]})
 
     return run
 
@@ -114,56 +117,66 @@ def learn(
     max_rows: int = 20_000,
     buckets: int = 1 << 15,
     orders: tuple[int, ...] = (1, 2, 3),
-    max_languages: int = 100,
+    max_bytes: int = 64 << 20,
     smooth: float = 0.1,
 ) -> LanguageModel:
     """Learn from rows where `train` holds and the language is not null.
 
     At most about ``max_rows`` rows, taken by a hash of the id, are used (a documented bound for
-    fitting); the whole text of each counts.  Null or empty texts teach nothing but their prior.
+    fitting), as many of each language as there are, so that rare languages keep theirs; the
+    whole text of each counts.  Priors come from all rows.  Null or empty texts teach nothing but
+    their prior.  ``buckets`` is halved while the matrix would take over ``max_bytes``.
     """
     tk.bound_batches(docs.sparkSession)
     rows = docs.where(train if train is not None else F.lit(True)).where(F.col(lang_col).isNotNull())
-    there = rows.count()
-    if there > max_rows:
-        share = int(max_rows / there * 1_000_000)
-        rows = rows.where(F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1_000_000)) < share)
     rows = rows.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    most = max_bytes // (4 << 8)
+    there = {x["lang"]: x["n"] for x in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(most + 1).collect()}
+    if len(there) > most:
+        raise ValueError(f"more than {most} languages; raise max_bytes")
+    languages = sorted(there)
+    while len(languages) * buckets * 4 > max_bytes:
+        buckets //= 2
+    if not languages:
+        return LanguageModel([], np.zeros((buckets, 0), np.float32), np.zeros(0), buckets, orders)
+    # languages below an even share leave their rest to the others
+    left, share = max_rows, 0.0
+    for k, n in enumerate(sorted(there.values())):
+        share = left / (len(there) - k)
+        if n > share:
+            break
+        left -= n
+    sizes = docs.sparkSession.createDataFrame([(x, share / n) for x, n in there.items() if n > share], "lang string, limit double")
+    draw = F.shiftrightunsigned(F.xxhash64("id"), 1) / float(1 << 63)
+    rows = rows.join(F.broadcast(sizes), "lang", "left").where(F.col("limit").isNull() | (draw < F.col("limit"))).select("id", "text", "lang")
     counts = rows.mapInArrow(_count(buckets, orders), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    languages = [x[0] for x in counts.where("bucket = -1").orderBy(F.desc("n"), "lang").select("lang").limit(max_languages + 1).collect()]
-    if len(languages) > max_languages:
-        raise ValueError(f"more than {max_languages} languages")
-    languages.sort()
-    matrix = np.zeros((buckets, len(languages)))
-    prior = np.zeros(len(languages))
-    if languages:
-        got = counts.toPandas()  # at most languages x buckets rows
-        col = got["lang"].map({x: i for i, x in enumerate(languages)}).to_numpy()
-        bucket, n = got["bucket"].to_numpy(), got["n"].to_numpy()
-        prior[col[bucket < 0]] = n[bucket < 0]
-        matrix[bucket[bucket >= 0], col[bucket >= 0]] = n[bucket >= 0]
-        matrix = np.log(matrix + smooth) - np.log((matrix + smooth).sum(axis=0))
-        prior = np.log(prior + 1) - np.log((prior + 1).sum())
-    return LanguageModel(languages, matrix.astype(np.float32), prior, buckets, orders)
+    matrix = np.full((buckets, len(languages)), -np.log(buckets), np.float32)
+    place = {x: k for k, x in enumerate(languages)}
+    for x in counts.groupBy("lang").applyInPandas(_log_prob(buckets, smooth), "lang string, row binary").collect():  # max_bytes in all
+        matrix[:, place[x["lang"]]] = np.frombuffer(x["row"], np.float32)
+    prior = np.array([there[x] + 1.0 for x in languages])
+    return LanguageModel(languages, matrix, np.log(prior) - np.log(prior.sum()), buckets, orders)
 
 
 def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]):
         model: LanguageModel = shared.value
         width = len(model.languages)
+        step = (1 << 23) // max(1, width)
         for batch in batches:
             names, scores = [], []
-            for part in tk.slices(batch, "text", (1 << 21) // max(1, width // 8)):
+            for part in tk.slices(batch, "text"):
                 low, at = _codes(part)
                 live = np.flatnonzero(low)
                 edge = np.searchsorted(live, at)
                 total = np.zeros((part.num_rows, width))
-                if len(live) and width:
-                    sums = np.zeros((len(live), width), np.float32)
-                    for order in model.orders:
-                        sums += model.log_prob[_grams(low, model.buckets, order)[live]]
-                    some = edge[1:] > edge[:-1]
-                    total[some] = np.add.reduceat(sums, edge[:-1][some], axis=0, dtype=np.float64)
+                owner = np.repeat(np.arange(part.num_rows), np.diff(edge))
+                grams = [_grams(low, model.buckets, order) for order in model.orders]
+                for k in range(0, len(live) if width else 0, step):
+                    sums = sum(model.log_prob[g[live[k : k + step]]] for g in grams)
+                    own = owner[k : k + step]
+                    first = np.flatnonzero(np.diff(own, prepend=-1))
+                    total[own[first]] += np.add.reduceat(sums, first, axis=0, dtype=np.float64)
                 letters = edge[1:] - edge[:-1]
                 for i in range(part.num_rows):
                     if not letters[i] or not width:
