@@ -2,13 +2,17 @@
 
 Writing: each task writes one archive of gzip members, one record each, under a name of its
 attempt; the driver's commit lists the files that count in a manifest, so that retried tasks
-leave nothing visible twice.  Each member carries the skip lengths of the WARC standard (extra
-field ``sl``: compressed and full size), so a reader can step over a record without inflating.
-
-Reading: archives are planned into partitions by size.  A record's first bytes are inflated and
-its headers parsed; pushed-down predicates on record type, record id and target URI are decided
-on them, and the rest of an unwanted record is skipped.  Only columns in the read schema are
-made: without a payload column no payload is decoded.
+leave nothing visible twice, and where they can be split.  Each member carries the skip lengths
+of the WARC standard (extra field ``sl``: compressed and full size), so a reader can seek over a
+record without inflating.
+
+Reading: any ``.warc`` or ``.warc.gz`` file, or a folder of them; a manifest is used where there
+is one.  Files are planned into partitions by size, files of a manifest by ranges of records.  A
+record's headers are parsed first; pushed-down predicates on record type, record id and target URI
+are decided on them, and the rest of an unwanted record is skipped: by a seek in uncompressed
+files and where skip lengths are given, else by inflating without decoding.  Only columns in the
+read schema are made: without a payload column no payload is decoded.  Text between records that
+is no record, and records without a length, are passed over up to the next record.
 
 Files go through pyarrow's file systems, which cover local, HDFS and object stores by URI.
 """
@@ -38,6 +42,7 @@ READ_SCHEMA = WRITE_SCHEMA + ", stored_bytes long, stored_sha256 string, headers
 MANIFEST = "_manifest.json"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _HEAD = 4096
+_BLOCK = 1 << 20
 
 
 def _clean(value: str) -> str:
@@ -80,33 +85,40 @@ def _record(row: dict) -> bytes:
 class _Written(WriterCommitMessage):
     file: str | None
     size: int
+    marks: list  # offsets of records, one for each stretch of about `mark` bytes
 
 
 class WarcWriter(DataSourceArrowWriter):
-    def __init__(self, path: str, level: int):
-        self.path, self.level = path, level
+    def __init__(self, path: str, level: int, mark: int = 1 << 22):
+        self.path, self.level, self.mark = path, level, mark
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> _Written:
         store, root = fs.FileSystem.from_uri(self.path)
         store.create_dir(root, recursive=True)
-        name, out, size = f"part-{uuid.uuid4().hex}.warc.gz", None, 0
+        name, out, size, marks = f"part-{uuid.uuid4().hex}.warc.gz", None, 0, [0]
         try:
             for batch in batches:
                 for row in batch.to_pylist():
                     if out is None:
                         out = store.open_output_stream(f"{root}/{name}", compression=None)
+                    if size - marks[-1] >= self.mark:
+                        marks.append(size)
                     member = _member(_record(row), self.level)
                     out.write(member)
                     size += len(member)
-        finally:
+        except BaseException:
             if out is not None:
                 out.close()
-        return _Written(name if out is not None else None, size)
+                store.delete_file(f"{root}/{name}")
+            raise
+        if out is not None:
+            out.close()
+        return _Written(name if out is not None else None, size, marks)
 
     def commit(self, messages) -> None:
         store, root = fs.FileSystem.from_uri(self.path)
         store.create_dir(root, recursive=True)
-        files = sorted((m.file, m.size) for m in messages if m is not None and m.file)
+        files = sorted((m.file, m.size, m.marks) for m in messages if m is not None and m.file)
         with store.open_output_stream(f"{root}/{MANIFEST}", compression=None) as out:
             out.write(json.dumps(files).encode())
 
@@ -119,10 +131,25 @@ class WarcWriter(DataSourceArrowWriter):
 
 @dataclass
 class _Files(InputPartition):
-    names: list
+    """Ranges (file, first byte, end byte or None) that one task reads; a range begins at a record."""
+
+    ranges: list
+
+    def __init__(self, ranges: list):
+        self.ranges = ranges
+
 
-    def __init__(self, names: list):
-        self.names = names
+def _listed(store, root: str) -> list[tuple[str, int, list]]:
+    """(file, size, offsets where it can be split) of an archive folder or file."""
+    info = store.get_file_info(root)
+    if info.type == fs.FileType.File:
+        return [(root, info.size, [0])]
+    manifest = f"{root}/{MANIFEST}"
+    if store.get_file_info(manifest).type == fs.FileType.File:
+        with store.open_input_stream(manifest, compression=None) as src:
+            return [(f"{root}/{name}", size, marks) for name, size, marks in json.loads(src.read())]
+    found = store.get_file_info(fs.FileSelector(root, recursive=True))
+    return sorted((x.path, x.size, [0]) for x in found if x.type == fs.FileType.File and x.path.lower().endswith((".warc", ".warc.gz")))
 
 
 class WarcReader(DataSourceReader):
@@ -143,27 +170,29 @@ class WarcReader(DataSourceReader):
 
     def partitions(self):
         store, root = fs.FileSystem.from_uri(self.path)
-        with store.open_input_stream(f"{root}/{MANIFEST}", compression=None) as src:
-            files = json.loads(src.read())
-        out, now, size = [], [], 0
-        for name, n in files:
-            if now and size + n > self.split_bytes:
-                out.append(_Files(now))
-                now, size = [], 0
-            now.append(name)
-            size += n
+        out, now, held = [], [], 0
+        for name, size, marks in _listed(store, root):
+            for first, end in zip(marks, [*marks[1:], size], strict=True):
+                if now and held + end - first > self.split_bytes:
+                    out.append(_Files(now))
+                    now, held = [], 0
+                if now and now[-1][0] == name and now[-1][2] == first:
+                    now[-1] = (name, now[-1][1], end)
+                else:
+                    now.append((name, first, end))
+                held += end - first
         return out + [_Files(now)] if now else out or [_Files([])]
 
     def read(self, partition):
-        store, root = fs.FileSystem.from_uri(self.path)
+        store, _ = fs.FileSystem.from_uri(self.path)
         names = self.schema.fieldNames()
         from pyspark.sql.pandas.types import to_arrow_schema
 
         kind = to_arrow_schema(self.schema)
         rows, held = [], 0
-        for file in partition.names:
-            with store.open_input_stream(f"{root}/{file}", compression=None, buffer_size=1 << 20) as src:
-                for row in _records(src, self.wanted, names):
+        for file, first, end in partition.ranges:
+            with store.open_input_file(file) as src:
+                for row in _records(src, self.wanted, names, first, end):
                     rows.append(row)
                     held += len(row.get("payload") or b"") + 200
                     if held > 1 << 22:
@@ -172,37 +201,171 @@ class WarcReader(DataSourceReader):
         yield pa.RecordBatch.from_pylist(rows, kind)
 
 
-def _records(src, wanted: dict[str, set], names: list[str]) -> Iterator[dict]:
-    body_needed = bool({"payload", "stored_bytes", "stored_sha256"} & set(names))
-    while lead := src.read(24):
-        size, _ = struct.unpack("<II", lead[16:24])
-        rest = src.read(size - 24)
-        inflate = zlib.decompressobj(-15)
-        start = inflate.decompress(rest, _HEAD)
-        while (end := start.find(b"\r\n\r\n")) < 0 and not inflate.eof:
-            start += inflate.decompress(inflate.unconsumed_tail, _HEAD)
-        head = dict(x.split(": ", 1) for x in start[:end].decode().split("\r\n")[1:])
-        row = {
-            "record_type": _plain(head["WARC-Type"]),
-            "record_id": _plain(head["WARC-Record-ID"]) if "WARC-Record-ID" in head else None,
-            "target_uri": _plain(head["WARC-Target-URI"]) if "WARC-Target-URI" in head else None,
-        }
-        if any(row[k] not in v for k, v in wanted.items()):
-            continue
-        row["refers_to"] = _plain(head["WARC-Refers-To"]) if "WARC-Refers-To" in head else None
-        row["payload_digest"] = head.get("WARC-Payload-Digest", "").removeprefix("sha256:") or None
-        row["payload_bytes"] = int(head["WARC-Payload-Length"])
-        row["headers"] = list(head.items())
-        if body_needed and row["record_type"] == "response":
-            block = start[end + 4 :] + inflate.decompress(inflate.unconsumed_tail)
-            block = block[: int(head["Content-Length"])]
-            payload = block[block.find(b"\r\n\r\n") + 4 :]
-            row["stored_bytes"] = len(payload)
-            if "stored_sha256" in names:
-                row["stored_sha256"] = hashlib.sha256(payload).hexdigest()
-            if "payload" in names:
-                row["payload"] = payload
-        yield {k: row.get(k) for k in names}
+class _Bytes:
+    """A range of a seekable file, read in blocks; a skip beyond the block is a seek."""
+
+    def __init__(self, src, first: int, end: int):
+        self.src, self.at, self.end, self.block, self.base = src, first, end, b"", first
+
+    def peek(self, n: int) -> bytes:
+        """The next n bytes, fewer at the end."""
+        n = min(n, self.end - self.at)
+        inside = self.at - self.base
+        if inside + n > len(self.block):
+            self.src.seek(self.at)
+            self.base, inside = self.at, 0
+            self.block = self.src.read(min(max(n, _BLOCK), self.end - self.at))
+        return self.block[inside : inside + n]
+
+    def read(self, n: int) -> bytes:
+        out = self.peek(n)
+        self.at += len(out)
+        return out
+
+    def skip(self, n: int) -> None:
+        self.at = min(self.end, self.at + n)
+
+    def part(self, n: int) -> _Bytes:
+        """The next n bytes as a range of their own."""
+        out = _Bytes(self.src, self.at, min(self.end, self.at + n))
+        out.block, out.base = self.block, self.base
+        return out
+
+
+class _Inflated:
+    """The text of gzip members one after another, with the calls of _Bytes; the first pieces are small, for headers alone."""
+
+    def __init__(self, raw: _Bytes):
+        self.raw, self.ready, self.inflate, self.step = raw, bytearray(), None, 1 << 11
+
+    def _more(self) -> bool:
+        if self.inflate is None:
+            if not self.raw.peek(1):
+                return False
+            self.inflate = zlib.decompressobj(31)
+        piece = self.raw.read(self.step)
+        if not piece:
+            return False
+        self.step = min(2 * self.step, 1 << 16)
+        self.ready += self.inflate.decompress(piece)
+        if self.inflate.eof:
+            self.raw.at -= len(self.inflate.unused_data)
+            self.inflate = None
+            while self.raw.peek(1) == b"\0":  # padding
+                self.raw.skip(1)
+        return True
+
+    def peek(self, n: int) -> bytes:
+        while len(self.ready) < n and self._more():
+            pass
+        return bytes(self.ready[:n])
+
+    def read(self, n: int) -> bytes:
+        out = self.peek(n)
+        del self.ready[: len(out)]
+        return out
+
+    def skip(self, n: int) -> None:
+        while n > 0 and (self.ready or self._more()):
+            gone = min(n, len(self.ready))
+            del self.ready[:gone]
+            n -= gone
+
+
+def _skip_lengths(lead: bytes) -> int | None:
+    """Compressed size of a member that gives its skip lengths first, else None."""
+    if lead[:4] == b"\x1f\x8b\x08\x04" and lead[12:14] == b"sl" and len(lead) >= 24:
+        return struct.unpack("<I", lead[16:20])[0]
+    return None
+
+
+def _headers(text: str) -> tuple[list[tuple[str, str]], dict[str, str]]:
+    """Header lines as pairs and by lower-case name; lines without a colon are left out, indented ones continue."""
+    pairs: list[tuple[str, str]] = []
+    for line in text.replace("\r\n", "\n").split("\n")[1:]:
+        if line[:1] in (" ", "\t") and pairs:
+            pairs[-1] = (pairs[-1][0], f"{pairs[-1][1]} {line.strip()}")
+        elif ":" in line:
+            name, value = line.split(":", 1)
+            pairs.append((name.strip(), value.strip(" \t")))
+    return pairs, {k.lower(): v for k, v in pairs}
+
+
+def _head(src) -> bytes | None:
+    """The header block of the next record, which is read up to its end; None at the end of the file."""
+    while True:
+        start = src.peek(10)
+        if not start:
+            return None
+        if start.startswith(b"WARC/1."):
+            break
+        line = src.peek(_HEAD)
+        at = line.find(b"WARC/1.", 1)
+        src.skip(at if at > 0 else max(1, len(line) - 6))
+    size = _HEAD
+    while True:
+        text = src.peek(size)
+        ends = [k + n for k, n in ((text.find(b"\r\n\r\n"), 4), (text.find(b"\n\n"), 2)) if k >= 0]
+        if ends:
+            return src.read(min(ends))
+        if len(text) < size:
+            return src.read(len(text))
+        size *= 2
+
+
+def _records(src, wanted: dict[str, set], names: list[str], first: int = 0, end: int | None = None) -> Iterator[dict]:
+    """Rows of the records in a range of a file, as far as the wanted names need them."""
+    raw = _Bytes(src, first, src.size() if end is None else end)
+    stream: _Bytes | _Inflated | None = None  # from the first member without skip lengths on
+    while True:
+        size = _skip_lengths(raw.peek(24)) if stream is None else None
+        if size:
+            one = _Inflated(raw.part(size))
+        else:
+            one = stream = stream or (_Inflated(raw) if raw.peek(2) == b"\x1f\x8b" else raw)
+        text = _head(one)
+        if text is None and not size:
+            return
+        row, rest = _row(one, text, wanted, names) if text is not None else (None, 0)
+        if row is not None:
+            yield row
+        if size:
+            raw.skip(size)
+        else:
+            stream.skip(rest)
+
+
+def _row(src, text: bytes, wanted: dict[str, set], names: list[str]) -> tuple[dict | None, int]:
+    """The row of a record whose headers have been read, or None, and the bytes of its block still to skip."""
+    pairs, head = _headers(text.decode("utf-8", "replace"))
+    try:
+        length = max(0, int(head["content-length"]))
+    except (KeyError, ValueError):
+        return None, 0
+    plain = lambda k: _plain(head[k]) if k in head else None
+    row = {"record_type": plain("warc-type"), "record_id": plain("warc-record-id"), "target_uri": plain("warc-target-uri")}
+    if any(row[k] not in v for k, v in wanted.items()):
+        return None, length
+    row["refers_to"] = plain("warc-refers-to")
+    row["payload_digest"] = head.get("warc-payload-digest", "").removeprefix("sha256:") or None
+    given = head.get("warc-payload-length", "")
+    row["payload_bytes"] = int(given) if given.isdigit() else None
+    row["headers"] = pairs
+    needed = bool({"payload", "stored_bytes", "stored_sha256"} & set(names)) or "payload_bytes" in names and row["payload_bytes"] is None
+    if needed and row["record_type"] != "revisit":
+        block = src.read(length)
+        length = 0
+        http = head.get("content-type", "").lower().startswith("application/http")
+        at = block.find(b"\r\n\r\n") if http else -1
+        payload = block[at + 4 :] if at >= 0 else block
+        row["stored_bytes"] = len(payload)
+        if row["payload_bytes"] is None:
+            row["payload_bytes"] = len(payload)
+        if "stored_sha256" in names:
+            row["stored_sha256"] = hashlib.sha256(payload).hexdigest()
+        if "payload" in names:
+            row["payload"] = payload
+    return {k: row.get(k) for k in names}, length
 
 
 class WarcSource(DataSource):
@@ -214,7 +377,7 @@ class WarcSource(DataSource):
         return READ_SCHEMA
 
     def reader(self, schema: StructType) -> WarcReader:
-        return WarcReader(self.options["path"], schema, int(self.options.get("splitBytes", 128 << 20)))
+        return WarcReader(self.options["path"], schema, int(self.options.get("splitBytes", 32 << 20)))
 
     def writer(self, schema: StructType, overwrite: bool) -> WarcWriter:
         return WarcWriter(self.options["path"], int(self.options.get("level", 1)))
@@ -226,11 +389,14 @@ def write_warc(records: DataFrame, path: str, level: int = 1) -> None:
     records.select(*(x.split()[0] for x in WRITE_SCHEMA.split(", "))).write.format("warc").option("level", level).mode("append").save(path)
 
 
-def read_warc(spark: SparkSession, path: str, columns: str = READ_SCHEMA) -> DataFrame:
-    """Read archives; `columns` is the part of READ_SCHEMA that is needed."""
+def read_warc(spark: SparkSession, path: str, columns: str = READ_SCHEMA, split_bytes: int = 32 << 20) -> DataFrame:
+    """Read archives; `columns` is the part of READ_SCHEMA that is needed.
+
+    Turns on the session's pushdown to Python data sources, which the reader's predicates need.
+    """
     spark.dataSource.register(WarcSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    return spark.read.format("warc").schema(columns).load(path)
+    return spark.read.format("warc").schema(columns).option("splitBytes", split_bytes).load(path)
 
 
 def page_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 100) -> DataFrame:
