@@ -35,7 +35,12 @@ def encoder(path: str):
 
 
 def document_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens) per row; a null or empty text has 0 tokens.  Strings of special tokens are plain text."""
+    """(id, n_tokens) per row; a null or empty text has 0 tokens.  Strings of special tokens are plain text.
+
+    `vocabulary` is a file of base64 tokens and ranks; executors read it by the path given, so on a
+    cluster it lies in a folder they share or comes with the job's files.  Repeated rows and null
+    ids come back as they are.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]):
         own = encoder(vocabulary)
@@ -78,9 +83,22 @@ def length_histogram(lengths: DataFrame, length_col: str = "n_tokens") -> DataFr
 
 
 def at_limits(histogram: DataFrame, limits: list[int]) -> DataFrame:
-    """(context_limit, docs_cut, tokens_kept) for each context limit, from the histogram alone."""
-    marks = histogram.select(F.explode(F.array(*(F.lit(x).cast("long") for x in limits))).alias("context_limit"), "n_tokens", "n_docs")
-    return marks.groupBy("context_limit").agg(
-        F.sum(F.when(F.col("n_tokens") > F.col("context_limit"), F.col("n_docs")).otherwise(0)).alias("docs_cut"),
-        F.sum(F.least("n_tokens", "context_limit") * F.col("n_docs")).alias("tokens_kept"),
-    )
+    """(context_limit, docs_cut, tokens_kept) for each context limit, from the suffix sums at the next longer length.
+
+    Where no text is longer, nothing is cut; an empty histogram has no tokens to keep.
+    """
+    n = F.col("n_tokens")
+    beyond = lambda x: F.min_by(F.struct("docs_from", "tokens_from"), F.when(n > x, n))
+    one = histogram.agg(F.coalesce(F.max("tokens_from"), F.lit(0)).alias("whole"), *(beyond(x).alias(f"after_{k}") for k, x in enumerate(limits)))
+    each = F.array(*(F.struct(F.lit(x).cast("long").alias("context_limit"), F.col(f"after_{k}").alias("after")) for k, x in enumerate(limits)))
+    rows = one.select("whole", F.inline(each))
+    cut = F.coalesce("after.docs_from", F.lit(0)).cast("long")
+    kept = F.col("whole") - F.coalesce("after.tokens_from", F.lit(0)) + cut * F.col("context_limit")
+    return rows.select("context_limit", cut.alias("docs_cut"), kept.cast("long").alias("tokens_kept"))
+
+
+def quantiles(histogram: DataFrame, shares: list[float]) -> DataFrame:
+    """(share, n_tokens): the least length within which at least that share of the documents lies; null without documents."""
+    within = [F.min(F.when(F.col("share_within") >= q, F.col("n_tokens"))).alias(f"q_{k}") for k, q in enumerate(shares)]
+    each = F.array(*(F.struct(F.lit(float(q)).alias("share"), F.col(f"q_{k}").alias("n_tokens")) for k, q in enumerate(shares)))
+    return histogram.agg(*within).select(F.inline(each))
