@@ -185,6 +185,99 @@ def test_warc_gzip_is_standard(spark, tmp_path):
     assert text.startswith(b"WARC/1.1\r\nWARC-Type: response") and text.endswith(b"hello\r\n\r\n")
 
 
+def foreign_records():
+    """Records as other tools write them: bare line feeds, folded and odd lines, no payload length, no HTTP, WARC/1.0."""
+    http = b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\n"
+    body = b"<html>WARC/1.0 is in the text\r\n\r\nWARC/1.0\r\n</html>" * 50
+    one = b"WARC/1.0\r\nWARC-Type: response\r\nwarc-record-id: <urn:1>\r\nWARC-Target-URI: http://x/\r\n  folded\r\nno colon here\r\nContent-Type: application/http;msgtype=response\r\nContent-Length: %d\r\n\r\n" % len(http + body) + http + body + b"\r\n\r\n"
+    two = b"WARC/1.0\nWARC-Type: warcinfo\nWARC-Record-ID: <urn:2>\nContent-Type: application/warc-fields\nContent-Length: 5\n\nab: c\n\n"
+    bad = b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: none\r\n\r\njunk\r\n\r\n"
+    three = b"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:3>\r\nWARC-Payload-Digest: sha1:ABC\r\nContent-Type: image/png\r\nContent-Length: 3\r\n\r\nx\r\n\r\n\r\n"
+    return [one, two, bad, three], {"<urn:1>": body, "<urn:2>": b"ab: c", "<urn:3>": b"x\r\n"}
+
+
+@pytest.mark.parametrize("kind", ["plain", "members", "one member"])
+def test_warc_of_other_tools(spark, tmp_path, kind):
+    import gzip
+
+    records, payload = foreign_records()
+    name = "a.warc" if kind == "plain" else "a.warc.gz"
+    text = b"".join(records) if kind == "plain" else b"".join(gzip.compress(r) for r in records) if kind == "members" else gzip.compress(b"".join(records))
+    (tmp_path / "w" / "deep").mkdir(parents=True)
+    (tmp_path / "w" / "deep" / name).write_bytes(text)
+    for path in (f"file://{tmp_path}/w", f"file://{tmp_path}/w/deep/{name}"):
+        got = {r.record_id: r for r in warc.read_warc(spark, path).collect()}
+        assert {k: bytes(r.payload) for k, r in got.items()} == payload
+        assert all(r.payload_bytes == len(payload[k]) and r.stored_sha256 == hashlib.sha256(payload[k]).hexdigest() for k, r in got.items())
+    assert got["<urn:1>"].target_uri == "http://x/ folded" and got["<urn:3>"].payload_digest == "sha1:ABC" and got["<urn:2>"].record_type == "warcinfo"
+    assert [r.record_id for r in warc.read_warc(spark, path).where("record_type = 'resource'").collect()] == ["<urn:3>"]
+
+
+def test_warc_skips_are_seeks(spark, tmp_path):
+    """Unwanted records of an own archive, and all of an uncompressed one, are stepped over: their bytes are neither read nor inflated."""
+    import glob
+    import zlib
+
+    from pyarrow import fs
+
+    rng = random.Random(1)
+    html = ["".join(rng.choice("0123456789abcdef") for _ in range(5_000_000 if k % 2 else 300)) for k in range(6)]
+    pages = spark.createDataFrame([(k, f"http://{k}", h) for k, h in enumerate(html)], "page_id long, url string, html string").coalesce(1)
+    warc.write_warc(warc.page_records(pages).coalesce(1), f"file://{tmp_path}/w")
+    file = glob.glob(f"{tmp_path}/w/*.gz")[0]
+    plain = f"{tmp_path}/p.warc"
+    with open(plain, "wb") as out:
+        raw = open(file, "rb").read()
+        while raw:
+            one = zlib.decompressobj(31)
+            out.write(one.decompress(raw))
+            raw = one.unused_data
+
+    class Counted:
+        def __init__(self, src):
+            self.src, self.n = src, 0
+
+        def read(self, n):
+            out = self.src.read(n)
+            self.n += len(out)
+            return out
+
+        def __getattr__(self, name):
+            return getattr(self.src, name)
+
+    inflated = []
+    real = warc._Inflated._more
+
+    def more(self):
+        before = len(self.ready)
+        ok = real(self)
+        inflated.append(len(self.ready) - before)
+        return ok
+
+    for path in (file, plain):
+        src = Counted(fs.LocalFileSystem().open_input_file(path))
+        whole = src.size()
+        warc._Inflated._more = more
+        try:
+            got = list(warc._records(src, {"target_uri": {"http://0", "http://4"}}, ["record_id", "payload"]))
+        finally:
+            warc._Inflated._more = real
+        assert {bytes(r["payload"]).decode() for r in got} == {html[0], html[4]}
+        assert src.n < whole / 1.2 and sum(inflated) < 100_000
+
+
+def test_warc_splits_by_record(spark, tmp_path):
+    from fernlake.llm.warc import WarcReader, page_records
+
+    rng = random.Random(2)
+    pages = spark.createDataFrame([(k, None, "".join(rng.choice("abcdefghij") for _ in range(300_000))) for k in range(40)], "page_id long, url string, html string")
+    warc.write_warc(page_records(pages).coalesce(1), f"file://{tmp_path}/w")
+    plan = WarcReader(f"file://{tmp_path}/w", warc.StructType(), 1 << 20).partitions()
+    assert len(plan) >= 2
+    got = warc.read_warc(spark, f"file://{tmp_path}/w", split_bytes=1 << 20)
+    assert got.rdd.getNumPartitions() == len(plan) and got.select("record_id").distinct().count() == got.count() == 40
+
+
 def test_chat_round_trip(spark):
     texts = ["a\\b<c>#d", "\\### Assistant: </turn> ok", "</turn>\n### user: x", "", None, "\\b\\l\\h\\\\", "é漢\U0001f600"]
     rows = [(1, k, "user" if k % 2 == 0 else "assistant", x) for k, x in enumerate(texts)] + [(2, 0, None, "alone"), (None, 0, "a: b", "z"), (None, 1, "assistant", "y")]
