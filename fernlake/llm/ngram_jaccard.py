@@ -343,11 +343,12 @@ def jaccard_components(
     return out
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
+def keep_one(docs: DataFrame, broadcast_ids: int = 1 << 20, **options) -> DataFrame:
     """The documents with one of each component kept: the one with the smallest id.
 
     Rows with a null id, which link with nothing, all stay; of rows that repeat a kept id, all stay.
     """
     key = options.get("id_col", "doc_id")
-    found = jaccard_components(docs, **options).where(f"{key} is not null and {key} != component_id").select(key).distinct()
-    return docs.join(found, key, "left_anti")
+    found = jaccard_components(docs, broadcast_ids=broadcast_ids, **options).where(f"{key} is not null and {key} != component_id").select(key).distinct()
+    few = found.count() <= broadcast_ids
+    return docs.join(F.broadcast(found) if few else found, key, "left_anti")
