@@ -766,7 +766,6 @@ def _cut(n: int, x: str, more: str) -> str:
 
 
 _SOURCE_CUT = _cut(400, "concat('[SOURCE] ', text)", "' ... [+', length(concat('[SOURCE] ', text)) - 400, ' chars SOURCE TRUNCATED]'")
-_PLAIN = r"not regexp_matches(chr(10) || text, '\n[ \t\r\f\v]*(\[SOURCE|\[RELATION\]|QUERY:|RETRIEVER RESULTS)')"
 
 
 @query("retriever_block_trim", f"select doc_id as id, case when text is not null then concat('RETRIEVER RESULTS:', chr(10), '[RELATION] a', chr(10), {_SOURCE_CUT}, chr(10), '[RELATION] b', chr(10), text) end as text from documents")
