@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernlake.llm import chat, decontaminate, embedding_dedup, langid, mixing, quality, secrets, token_counts, warc
+from fernlake.llm import chat, decontaminate, embedding_dedup, langid, mixing, packing, quality, ranked, secrets, spelling, token_counts, warc
 from fernlake.llm.ngram_jaccard import jaccard_components
 
 
@@ -141,6 +141,52 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = packing.pack(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.words(table(spark, sf_dir, "documents")))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP12_SQL = r"""
+with recursive tab as (
+  select list(c order by i) as t from (select i, list_reduce([cast(i as bigint)] || range(8)::bigint[], lambda s, k: case when s & 1 = 1 then xor(s >> 1, 3988292384) else s >> 1 end) as c from range(256) r(i))),
+run as (select coalesce(doc_id::varchar, '') as d, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')) as r from documents),
+occ as (select d, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as r, count(*) as n from run where length(r) >= 7 group by all),
+hex as (select r, n, hex(encode(d || ':' || r)) as x from occ),
+h as (select r, n, xor(4294967295::bigint, list_reduce([4294967295::bigint] || list_transform(range(1, length(x), 2), lambda i: ('0x' || substr(x, i, 2))::bigint), lambda s, b: xor(s >> 8, t[(xor(s, b) & 255) + 1]))) as h from hex, tab),
+w as (select case when h % 31 = 0 then substr(r, 1, (h % length(r))::bigint) || substr(r, (h % length(r))::bigint + 2) else r end as word, sum(n)::bigint as n from h group by 1 having length(word) >= 7 and sum(n) >= 2),
+cut as (select word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) as less from (select word, n, unnest(range(1, length(word) + 1)) as i from w)),
+near as (
+  select a.word as a, b.word as b, b.n from cut a join cut b on a.less = b.less and a.i = b.i and a.word <> b.word
+  union select c.word, w.word, w.n from cut c join w on w.word = c.less
+  union select w.word, c.word, c.n from cut c join w on w.word = c.less),
+best as (select a as word, count(*) as n_near, max(n) as top, arg_min(b, (-n, encode(b))) as form from near group by a),
+f as (select w.word, w.n, coalesce(n_near, 0) as n_near, case when top >= 10 * w.n then form end as form, case when top >= 10 * w.n then top end as form_n from w left join best using (word)),
+climb as (select word, word as at from f union all select climb.word, f.form from climb join f on f.word = climb.at where f.form is not null)
+select f.word, f.form, c.at as root, f.n, f.n_near, f.form_n
+from f join (select climb.word, climb.at from climb join f e on e.word = climb.at where e.form is null) c on c.word = f.word
+"""
+
+OP13_SQL = r"""
+with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as w from documents),
+q as (select item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as t from benchmark),
+g as (select count(*) as nd, sum(len(w))::bigint as l from d where len(w) > 0),
+tf as (select doc_id, t, count(*) as tf from (select doc_id, unnest(w) as t from d) group by all),
+df as (select t, count(*) as df from tf group by t),
+imp as (select tf.doc_id, tf.t, cast(floor(1000 * ln((2 * nd + 2) / (2 * df + 1))) as bigint) * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * len(w) * nd) // l))) as s
+  from tf join d using (doc_id) join df using (t), g where t in (select t from q)),
+sc as (select item_id, doc_id, sum(s)::bigint as score from q join imp using (t) group by all having sum(s) > 0)
+select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id) as int) as rank, doc_id, score from sc qualify rank <= 20
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard": op1_ngram_jaccard,
@@ -153,8 +199,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality": op8_quality,
         "op9_mix_sources": op9_mix_sources,
         "op10_decontaminate": op10_decontaminate,
+        "op11_packing": op11_packing,
+        "op12_spelling_variants": op12_spelling_variants,
+        "op13_ranked_search": op13_ranked_search,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard": OP1_SQL, "op4_warc": OP4_SQL, "op5_chat_format": OP5_SQL, "op7_embedding_dedup": OP7_SQL}
+    return {"op1_ngram_jaccard": OP1_SQL, "op4_warc": OP4_SQL, "op5_chat_format": OP5_SQL, "op7_embedding_dedup": OP7_SQL, "op12_spelling_variants": OP12_SQL, "op13_ranked_search": OP13_SQL}

@@ -70,10 +70,11 @@ def bytes_of(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, off - off[0]
 
 
-def words(col: pa.Array) -> Words:
+def words(col: pa.Array, separators: np.ndarray | None = None) -> Words:
+    """Words of each text; `separators` marks the bytes between words, if these are not blanks."""
     raw, off = bytes_of(col)
     low = raw + (((raw - np.uint8(65)) < 26).view(np.uint8) << np.uint8(5))
-    gap = (raw == 32) | ((raw - np.uint8(9)) < 5)
+    gap = (raw == 32) | ((raw - np.uint8(9)) < 5) if separators is None else separators[raw]
     word = ~gap
     begins = word.copy()
     begins[1:] &= gap[:-1]

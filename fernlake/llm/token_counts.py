@@ -8,44 +8,30 @@ and the quantile at it.
 
 from __future__ import annotations
 
-import base64
 from collections.abc import Iterator
-from functools import lru_cache
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fernlake.llm import encoding
 from fernlake.llm import textkernel as tk
 from fernlake.plans.scratch import Scratch
 
-#: Fixed value: the split pattern of the byte-level vocabularies.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-
-
-@lru_cache(maxsize=4)
-def encoder(path: str):
-    import tiktoken
-
-    pairs = (line.split() for line in Path(path).read_bytes().splitlines() if line)
-    ranks = {base64.b64decode(a): int(b) for a, b in pairs}
-    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-
-
-def document_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def document_tokens(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens) per row; a null or empty text has 0 tokens.  Strings of special tokens are plain text.
 
-    `vocabulary` is a file of base64 tokens and ranks; executors read it by the path given, so on a
-    cluster it lies in a folder they share or comes with the job's files.  Repeated rows and null
-    ids come back as they are.
+    `vocabulary` is a tokenizer file (default: the supplied one); executors read it by the path given,
+    so on a cluster it lies in a folder they share or comes with the job's files.  Texts of any length
+    and shape are encoded whole.  Repeated rows and null ids come back as they are.
     """
 
+    path = vocabulary or encoding.vocabulary_path()
+
     def run(batches: Iterator[pa.RecordBatch]):
-        own = encoder(vocabulary)
+        own = encoding.encoder(path)
         for batch in batches:
-            n = [len(own.encode_ordinary(t.as_py() or "")) for t in batch.column(1)]
+            n = [own.count(t.as_py() or "") for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], names=["id", "n_tokens"])
 
     tk.bound_batches(docs.sparkSession)

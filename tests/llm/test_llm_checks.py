@@ -11,7 +11,7 @@ import pytest
 import regex
 from pyspark.sql import functions as F
 
-from fernlake.llm import decontaminate, embedding_dedup, langid, mixing, quality, registry, token_counts
+from fernlake.llm import encoding, decontaminate, embedding_dedup, langid, mixing, quality, registry, token_counts
 
 SF = "/root/testdata/sf0.001"
 LARGER = "/root/testdata/sf0.01"
@@ -34,12 +34,12 @@ def bpe(text, ranks):
 
 
 def test_token_lengths_against_own_encoder(spark):
-    ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in open(token_counts.VOCABULARY, "rb").read().splitlines() if x)}
+    ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in open(encoding.vocabulary_path("byte_bpe_50k.tiktoken"), "rb").read().splitlines() if x)}
     texts = ["Plain words, 123 numbers!", "don't  stop\n\n now", "", None, "漢字 and é ß", "a" * 400, "x <|endoftext|> y", " \t\n"]
     texts += [r.text[:600] for r in spark.read.parquet(f"{SF}/documents.parquet").where("text is not null").limit(20).collect()]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.n_tokens for r in token_counts.document_tokens(df).collect()}
-    split = regex.compile(token_counts.PATTERN)
+    split = regex.compile(encoding.PATTERN)
     assert got == {k: sum(bpe(p, ranks) for p in split.findall(x or "")) for k, x in enumerate(texts)}
 
 
