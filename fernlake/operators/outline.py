@@ -1,21 +1,21 @@
 """Outlines to trees: indented lines to nodes with depth, parent and breadcrumb path.
 
-A line's depth follows from windows over (source, line_number), its parent from one fold over
-the lines in order with a stack of those still open, which takes outlines of any depth; one
-shuffle and one sort serve both.
+Lines are taken in segments, so that one long source is the work of many tasks.  Within a segment
+a line's depth follows from windows and its parent from a fold with a stack of open lines; what a
+segment leaves open is a short summary, and summaries are folded in the same way.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from fernlake.functions import text as tx
 from fernlake.plans.scratch import Scratch
+from fernlake.plans.skew import dealt_anew
+
+#: Lines that are folded together.
+SEGMENT = 512
 
 
 def outline_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -40,83 +40,134 @@ def line_features(lines: DataFrame, image_host: str | None = None, check_url: bo
     return out.withColumn("clean", clean if image_host is None else tx.mask_images(clean, F.col("raw"), image_host))
 
 
-def outline_depth(features: DataFrame) -> DataFrame:
+def _carried(headers: DataFrame) -> DataFrame:
+    """(source, segment, before, carried) of each segment but the first: header levels in earlier ones, and the last bonus there.
+
+    `headers` has source, segment, line_number and header of all lines; only sources of several segments are read on.
+    """
+    several = headers.where("segment > 0").select(F.col("source").alias("of")).distinct()
+    rows = headers.join(several, F.col("source").eqNullSafe(F.col("of")), "left_semi")
+    first = rows.where("header is not null").groupBy("source", "header").agg(F.min("segment").alias("first"))
+    levels = first.groupBy(F.col("source").alias("of")).agg(F.collect_list(F.struct("header", "first")).alias("levels"))
+    inside = F.array_sort(F.collect_list(F.when(F.col("header").isNotNull(), F.struct("line_number", "header"))))["header"]
+    each = rows.groupBy("source", "segment").agg(inside.alias("inside")).join(levels, F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
+    none = F.expr("cast(array() as array<int>)")
+    before = F.coalesce(F.transform(F.filter("levels", lambda x: x["first"] < F.col("segment")), lambda x: x["header"]), none)
+    n = F.size("inside")
+    seen = F.array_union("before", F.slice("inside", F.lit(1), F.greatest(n - 1, F.lit(0))))
+    bonus = F.when(n > 0, F.size(F.filter(seen, lambda x: x < F.element_at("inside", -1))))
+    each = each.withColumn("before", before).withColumn("bonus", bonus)
+    earlier = Window.partitionBy("source").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
+    out = each.withColumn("carried", F.last("bonus", ignorenulls=True).over(earlier)).where("segment > 0")
+    return out.select(F.col("source").alias("of"), F.col("segment").alias("at"), "before", "carried")
+
+
+def outline_depth(features: DataFrame, segment: int = SEGMENT) -> DataFrame:
     """depth = indent + bonus; rows whose raw text is empty are dropped after the headers were tracked.
 
     A header of level L has as bonus the number of distinct smaller levels before it; other
-    lines have the last header's bonus + 1, or 0 before any header.
+    lines have the last header's bonus + 1, or 0 before any header.  Windows run over segments of lines, and
+    what earlier segments of a long source hold is joined to them.
     """
-    w = Window.partitionBy("source").orderBy("line_number")
+    rows = features.withColumn("segment", F.floor(F.col("line_number") / segment))
+    carried = _carried(rows.select("source", "segment", "line_number", "header"))
+    rows = rows.join(carried, F.col("source").eqNullSafe(F.col("of")) & (F.col("segment") == F.col("at")), "left")
+    w = Window.partitionBy("source", "segment").orderBy("line_number")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    seen = F.size(F.filter(F.collect_set("header").over(before), lambda x: x < F.col("header")))
-    out = features.withColumn("bonus", F.when(F.col("header").isNotNull(), seen))
-    last = F.coalesce(F.last(F.col("bonus") + 1, ignorenulls=True).over(upto), F.lit(0))
+    levels = F.array_union(F.coalesce("before", F.expr("cast(array() as array<int>)")), F.collect_set("header").over(before))
+    seen = F.size(F.filter(levels, lambda x: x < F.col("header")))
+    out = rows.withColumn("bonus", F.when(F.col("header").isNotNull(), seen))
+    last = F.coalesce(F.last(F.col("bonus") + 1, ignorenulls=True).over(upto), F.col("carried") + 1, F.lit(0))
     out = out.withColumn("depth", F.col("indent") + F.coalesce("bonus", last))
-    return out.where("raw != ''").drop("bonus")
-
-
-def _open_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows that come by source and line, each with the nearest earlier line of smaller depth."""
-    source, depths, lines = None, [], []
-    for batch in batches:
-        names = batch.schema.names
-        parent = []
-        for s, n, d in zip(*(batch.column(names.index(c)).to_pylist() for c in ("source", "line_number", "depth")), strict=True):
-            if s != source:
-                source, depths, lines = s, [], []
-            while depths and depths[-1] >= d:
-                depths.pop()
-                lines.pop()
-            parent.append(lines[-1] if lines else None)
-            depths.append(d)
-            lines.append(n)
-        column = pa.array(parent, batch.schema.field("line_number").type)
-        yield pa.RecordBatch.from_arrays([*batch.columns, column], names=[*names, "parent_line"])
-
-
-def outline_parent(nodes: DataFrame, max_depth: int | None = None, dealt: bool = False) -> DataFrame:
+    return out.where("raw != ''").drop("bonus", "segment", "of", "at", "before", "carried")
+
+
+#: A fold over lines in order: `s` has the lines still open, `p` the parent of each line.
+_FOLD = """
+aggregate(lines, named_struct('s', cast(array() as array<struct<d:int,l:bigint>>), 'p', cast(array() as array<bigint>)),
+  (a, x) -> element_at(transform(array(filter(a.s, y -> y.d < x.depth)), open -> named_struct(
+    's', concat(open, array(named_struct('d', x.depth, 'l', cast(x.line_number as bigint)))), 'p', concat(a.p, array(try_element_at(open, -1).l)))), 1))
+"""
+
+
+def _folded(rows: DataFrame, *names: str) -> DataFrame:
+    """(source, segment, lines, open, parents) of each segment; `lines` are structs of line_number, depth and `names`."""
+    lines = F.array_sort(F.collect_list(F.struct("line_number", "depth", *names))).alias("lines")
+    out = rows.groupBy("source", "segment").agg(lines).withColumn("f", F.expr(_FOLD))
+    return out.select("source", "segment", "lines", F.col("f.s").alias("open"), F.col("f.p").alias("parents"))
+
+
+def outline_parent(nodes: DataFrame, max_depth: int | None = None, segment: int = SEGMENT, reach: int = 16) -> DataFrame:
     """parent_line: the nearest earlier line of the same source with a smaller depth.
 
-    With a small known `max_depth` one running maximum per depth finds it without leaving SQL.
-    `dealt` says that the rows of a source already lie in one partition.
+    Segments of `segment` lines are folded with a stack each.  A line without a parent in its segment is
+    looked up among the lines that earlier segments leave open: these and the lines in question form a
+    much shorter outline, which is folded in segments again, `reach` old ones to a new one, until each source is
+    one segment.  With a small known `max_depth` one running maximum per depth does it without folds.
     """
-    if max_depth is None:
-        rows = (nodes if dealt else nodes.repartition("source")).sortWithinPartitions("source", "line_number")
-        out = rows.mapInArrow(_open_lines, T.StructType([*nodes.schema.fields, T.StructField("parent_line", nodes.schema["line_number"].dataType)]))
-    else:
+    node = lambda c: F.concat_ws(":", "source", F.col(c).cast("string"))
+    named = lambda df: df.withColumn("node_id", node("line_number")).withColumn("parent_id", F.when(F.col("parent_line").isNotNull(), node("parent_line")))
+    kind = nodes.schema["line_number"].dataType
+    if max_depth is not None:
         w = Window.partitionBy("source").orderBy("line_number").rowsBetween(Window.unboundedPreceding, -1)
         terms = [F.when(F.col("depth") > k, F.max(F.when(F.col("depth") == k, F.col("line_number"))).over(w)) for k in range(max_depth)]
-        out = nodes.withColumn("parent_line", F.greatest(*terms) if len(terms) > 1 else terms[0] if terms else F.lit(None).cast("int"))
-    node = lambda c: F.concat_ws(":", "source", F.col(c).cast("string"))
-    return out.withColumn("node_id", node("line_number")).withColumn("parent_id", F.when(F.col("parent_line").isNotNull(), node("parent_line")))
+        return named(nodes.withColumn("parent_line", F.greatest(*terms) if len(terms) > 1 else terms[0] if terms else F.lit(None).cast(kind)))
+    spark = nodes.sparkSession
+    others = [c for c in nodes.columns if c not in ("source", "line_number", "depth")]
+    with Scratch(spark) as scratch:
+        first = _folded(nodes.withColumn("segment", F.floor(F.col("line_number") / segment)), *others)
+        cur = scratch.keep(first, "segments")
+        pair = F.arrays_zip(F.col("lines").alias("line"), F.col("parents").alias("parent_line"))
+        flat = cur.select("source", "segment", F.inline(pair))
+        out = flat.select("source", F.col("line.*"), F.col("parent_line").cast(kind).alias("parent_line"))
+        found = None
+        seeking = flat.where("parent_line is null and segment > 0").select("source", "segment", F.col("line.line_number").cast("long").alias("line_number"), F.col("line.depth").alias("depth"))
+        while not seeking.limit(1).isEmpty():
+            left_open = cur.select("source", "segment", F.inline("open")).select("source", "segment", F.col("l").alias("line_number"), F.col("d").alias("depth"), F.lit(False).alias("seeks"))
+            rows = seeking.withColumn("seeks", F.lit(True)).unionByName(left_open).groupBy("source", "segment", "line_number", "depth").agg(F.max("seeks").alias("seeks"))
+            cur = scratch.keep(_folded(rows.withColumn("segment", F.floor(F.col("segment") / reach)), "seeks"), "open")
+            flat = cur.select("source", "segment", F.inline(F.arrays_zip(F.col("lines").alias("line"), F.col("parents").alias("parent_line")))).where("line.seeks")
+            got = flat.where("parent_line is not null").select(F.col("source").alias("of"), F.col("line.line_number").alias("at"), F.col("parent_line").alias("far"))
+            found = got if found is None else found.union(got)
+            seeking = flat.where("parent_line is null and segment > 0").select("source", "segment", F.col("line.line_number").alias("line_number"), F.col("line.depth").alias("depth"))
+        if found is not None:
+            far = F.col("source").eqNullSafe(F.col("of")) & (F.col("line_number") == F.col("at"))
+            out = out.join(found, far, "left").withColumn("parent_line", F.coalesce("parent_line", F.col("far").cast(kind))).drop("of", "at", "far")
+        return scratch.keep(named(out.select(*nodes.columns, "parent_line")), "nodes", last=True)
 
 
 def outline_path(nodes: DataFrame) -> DataFrame:
     """crumbs, text and path: source, the ancestors' clean texts and the own, without '...' items.
 
-    Level by level, children of finished rows only, until a level is empty: a parent's line comes
-    before its child's, so this ends.  The whole is split on '>' again.
+    A node's piece of path grows by that of the ancestor it has reached, which then points twice as far
+    up; the number of rounds is logarithmic in the greatest depth.  The whole is split on '>' again.
     """
     spark = nodes.sparkSession
     with Scratch(spark) as scratch:
-        base = scratch.keep(nodes, "nodes")
-        names = base.columns
-        done = scratch.keep(base.where("parent_id is null").withColumn("chain", F.array("source", "clean")), "level")
-        parts = [done]
-        while True:
-            up = parts[-1].select(F.col("node_id").alias("parent_id"), F.col("chain").alias("above"))
-            level = scratch.keep(base.join(up, "parent_id").withColumn("chain", F.concat("above", F.array("clean"))).select(*names, "chain"), "level")
-            if level.limit(1).isEmpty():
+        own = F.filter(F.array("clean"), lambda x: x.isNull() | (x != "..."))
+        base = scratch.keep(nodes.select("node_id", "source", F.col("parent_id").alias("above"), own.alias("piece")), "pieces")
+        # a parent's depth is the smaller one, so that chains have no more nodes than there are depths
+        deepest = nodes.agg(F.max(F.col("depth") - F.lit(0))).first()[0] if "depth" in nodes.columns else None
+        span, done = 1, [base.where("above is null")]
+        cur = base.where("above is not null")
+        while deepest is None or span <= deepest:
+            if deepest is None and cur.limit(1).isEmpty():
                 break
-            parts.append(level)
-        whole = parts[0]
-        for p in parts[1:]:
-            whole = whole.unionByName(p)
-        crumbs = F.array_join(F.filter("chain", lambda x: x != "..."), " > ")
+            up = dealt_anew(base.select(F.col("node_id").alias("above"), F.col("above").alias("beyond"), F.col("piece").alias("head")), "above")
+            new = cur.join(up, "above").select("node_id", "source", F.col("beyond").alias("above"), F.concat("head", "piece").alias("piece"))
+            new = scratch.keep(new, "pieces")
+            done.append(new.where("above is null"))
+            cur = new.where("above is not null")
+            base, span = base.where("above is null").unionByName(new), 2 * span
+        whole = done[0]
+        for d in done[1:]:
+            whole = whole.unionByName(d)
+        chain = F.concat(F.filter(F.array("source"), lambda x: x.isNull() | (x != "...")), "piece")
+        crumbs = F.array_join(chain, " > ")
         split = tx.node_text_split(crumbs)
-        out = whole.withColumn("text", split["text"]).withColumn("path", split["path"]).drop("chain")
-        return scratch.keep(out, "paths", last=True)
+        paths = whole.select(F.col("node_id").alias("__id"), split["text"].alias("text"), split["path"].alias("path"))
+        return scratch.keep(nodes.join(paths, F.col("node_id") == F.col("__id")).drop("__id"), "paths", last=True)
 
 
 def child_lists(nodes: DataFrame) -> DataFrame:
@@ -171,7 +222,7 @@ def parsed_links(nodes: DataFrame, linked: DataFrame) -> DataFrame:
 
 def build_nodes(lines: DataFrame, image_host: str | None = None) -> DataFrame:
     """Lines to nodes with depth and parent."""
-    return outline_parent(outline_depth(line_features(lines.repartition("source"), image_host)), dealt=True)
+    return outline_parent(outline_depth(line_features(lines, image_host)))
 
 
 def ingest_pipeline(lines: DataFrame, linked: DataFrame | None = None, stored: DataFrame | None = None, image_host: str | None = None) -> DataFrame:
