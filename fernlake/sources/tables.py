@@ -19,26 +19,57 @@ RUN_SCHEMA = (
 def scan_outline_files(spark: SparkSession, root: str, pattern: str = "*.md") -> DataFrame:
     """(source, line_number, line, file) of all matching files below a folder; source is the file's stem.
 
-    A file is one row, so of at most 2 GB.  Of a file that is no valid UTF-8 the lines before the
+    Lines end at \\n, \\r\\n or \\r; a file has one line more than ends, but an empty one has none.  Large
+    files are cut where Spark splits them, and lines are numbered from the counts of earlier
+    parts; only a stretch without \\n has to be in one task.  Of a file that is no valid UTF-8 the lines before the
     first bad one are kept; `broken_files` names such files.
     """
-    files = _file_lines(spark, root, pattern)
-    good = F.when(F.col("bad") > 0, F.slice("lines", F.lit(1), F.col("bad") - 1)).otherwise(F.col("lines"))
-    return files.select("source", F.posexplode(good).alias("line_number", "line"), "file")
+    lines = _file_lines(spark, root, pattern)
+    bad = lines.where("not valid").groupBy(F.col("key").alias("of")).agg(F.min("line_number").alias("bad"))
+    good = lines.join(bad, F.col("key") == F.col("of"), "left").where("bad is null or line_number < bad")
+    return good.select(F.regexp_extract("file", r"([^/]*?)(\.[^./]*)?$", 1).alias("source"), F.col("line_number").cast("int").alias("line_number"), "line", "file")
 
 
 def broken_files(spark: SparkSession, root: str, pattern: str = "*.md") -> DataFrame:
-    """(file, line_number) of the first line that cannot be read, of each file that has one."""
-    return _file_lines(spark, root, pattern).where("bad > 0").select("file", (F.col("bad") - 1).cast("int").alias("line_number"))
+    """(file, line_number, byte) of the first line that cannot be read, and where it begins, of each file that has one."""
+    bad = _file_lines(spark, root, pattern).where("not valid")
+    first = bad.groupBy("file").agg(F.min(F.struct("line_number", "byte")).alias("x"))
+    return first.select("file", F.col("x.line_number").cast("int").alias("line_number"), F.col("x.byte").alias("byte"))
 
 
 def _file_lines(spark: SparkSession, root: str, pattern: str) -> DataFrame:
-    # bytes, since a reader of text would replace bad ones unseen; splitting replaces them by the mark
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
-    text = F.col("content").cast("string")
-    files = files.select(F.split(text, "\r\n|\r|\n", -1).alias("lines"), F.is_valid_utf8(text).alias("valid"), F.col("path").alias("file"))
-    bad = F.when(~F.col("valid"), F.array_position(F.transform("lines", lambda x: x.contains("�")), F.lit(True)).cast("int"))
-    return files.select(F.regexp_extract("file", r"([^/]*?)(\.[^./]*)?$", 1).alias("source"), "lines", bad.alias("bad"), "file")
+    """(key, file, line_number, line, byte, valid) of all lines; `byte` is where a line begins."""
+    read = lambda kind: spark.read.format(kind).option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
+    files = read("binaryFile").load(root).select(F.col("_metadata.file_path").alias("key"), F.col("path").alias("file"), "length")
+    # records end at \n alone, so that their bytes add up; ids ascend by one within a file's block
+    records = read("text").option("lineSep", "\n").load(root)
+    records = records.select(F.col("_metadata.file_path").alias("key"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), "value")
+    records = Scratch(spark).keep(records, "records", last=True)
+    # a bad byte survives as a character of its own in this encoding
+    bytes_ = lambda c: F.decode(c.cast("binary"), "ISO-8859-1")
+    back = lambda c: F.encode(c, "ISO-8859-1").cast("string")
+    size = F.octet_length("value") + 1
+    n = F.octet_length("value") - F.octet_length(F.replace("value", F.lit("\r"), F.lit(""))) + 1
+    n = n - F.endswith("value", F.lit("\r")).cast("int")
+    sums = records.groupBy("key", "block").agg(F.sum(size).alias("bytes"), F.sum(n).alias("lines"), F.max("id").alias("last"))
+    before = Window.partitionBy("key").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("key")
+    of_file = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    blocks = sums.select("key", "block", of_file("bytes").alias("bytes_before"), of_file("lines").alias("lines_before"), F.max("last").over(whole).alias("last"), F.sum("bytes").over(whole).alias("all_bytes"))
+    within = Window.partitionBy("key", "block").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
+    rows = records.join(blocks, ["key", "block"]).join(files, "key")
+    rows = rows.withColumn("line_before", F.col("lines_before") + F.coalesce(F.sum(n).over(within), F.lit(0))).withColumn("byte_before", F.col("bytes_before") + F.coalesce(F.sum(size).over(within), F.lit(0)))
+    # the last record ends with the file, or at a last \n, behind which an empty line follows
+    open_end = (F.col("id") == F.col("last")) & (F.col("all_bytes") > F.col("length"))
+    closed = F.col("id") == F.col("last")
+    text = F.when(F.is_valid_utf8("value"), F.col("value")).otherwise(bytes_(F.col("value")))
+    text = F.when(~open_end & F.endswith(text, F.lit("\r")), F.left(text, F.length(text) - 1)).otherwise(text)
+    parts = F.split(text, "\r", -1)
+    rows = rows.withColumn("valid", F.is_valid_utf8("value")).withColumn("parts", F.when(closed & ~open_end, F.concat(parts, F.array(F.lit("")))).otherwise(parts))
+    each = rows.select("key", "file", "valid", "line_before", "byte_before", "parts", F.posexplode("parts").alias("at", "part"))
+    line = F.when(F.col("valid"), F.col("part")).otherwise(back(F.col("part")))
+    earlier = F.aggregate(F.slice("parts", F.lit(1), F.col("at")), F.lit(0), lambda a, x: a + F.when(F.col("valid"), F.octet_length(x)).otherwise(F.length(x)) + 1)
+    return each.select("key", "file", (F.col("line_before") + F.col("at")).alias("line_number"), line.alias("line"), (F.col("byte_before") + F.when(F.col("at") == 0, 0).otherwise(earlier)).alias("byte"), (F.col("valid") | F.is_valid_utf8(line)).alias("valid"))
 
 
 def scan_runs_json(spark: SparkSession, path: str, schema: str = RUN_SCHEMA, key: str = "_id", multi_line: bool = True) -> DataFrame:

@@ -53,12 +53,32 @@ def test_broken_files_keep_earlier_lines(spark, tmp_path):
     (tmp_path / "good.md").write_bytes("a\r\né\rc\n".encode())
     (tmp_path / "deep" / "bad.md").write_bytes(b"one\ntwo\nth\xff\xferee\nfour")
     (tmp_path / "worst.md").write_bytes(b"\xff\nx")
+    (tmp_path / "marks.md").write_bytes("a \ufffd b\r\rc\n".encode() + b"x\rgood\rb\xe9d\rlost\r\nlost")
+    (tmp_path / "empty.md").write_bytes(b"")
+    (tmp_path / "open end.md").write_bytes(b"x\r")
     (tmp_path / "other.txt").write_text("no")
     got = {}
     for r in tables.scan_outline_files(spark, str(tmp_path)).collect():
         got.setdefault(r.source, {})[r.line_number] = r.line
-    assert got == {"good": {0: "a", 1: "é", 2: "c", 3: ""}, "bad": {0: "one", 1: "two"}}
-    assert {r.file.rsplit("/", 1)[1]: r.line_number for r in tables.broken_files(spark, str(tmp_path)).collect()} == {"bad.md": 2, "worst.md": 0}
+    assert got == {
+        "good": {0: "a", 1: "é", 2: "c", 3: ""}, "bad": {0: "one", 1: "two"}, "marks": {0: "a \ufffd b", 1: "", 2: "c", 3: "x", 4: "good"},
+        "open end": {0: "x", 1: ""},
+    }
+    broken = {r.file.rsplit("/", 1)[1]: (r.line_number, r.byte) for r in tables.broken_files(spark, str(tmp_path)).collect()}
+    assert broken == {"bad.md": (2, 8), "worst.md": (0, 0), "marks.md": (5, 18)}
+
+
+def test_large_files_are_cut(spark, tmp_path):
+    """A file is read in several tasks, and its lines are numbered across them."""
+    (tmp_path / "long.md").write_text("".join(f"line {k}\n" for k in range(60_000)), newline="")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 4
+        rows = tables.scan_outline_files(spark, str(tmp_path))
+        assert rows.where("line = concat('line ', line_number)").count() == 60_000 and rows.count() == 60_001
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
 def test_very_deep_lines(spark):
