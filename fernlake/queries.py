@@ -884,13 +884,15 @@ def _(spark, d):
     e = t(spark, d, "events").select(F.expr("event_id % 1000").alias("id"), F.col("event_id").alias("version"), F.col("event_type").alias("name"), F.col("ts").cast("timestamp").alias("start_time"))
     e.repartition(4, "version").write.parquet(s.path("runs"))
     src = spark.readStream.schema("id long, version long, name string, start_time timestamp").option("maxFilesPerTrigger", 2).parquet(s.path("runs"))
-    rows = streams.incremental_runs(src, "2024-01-16 00:00:00").select("id", "version", "name")
-    q = rows.writeStream.foreachBatch(streams.upsert_sink(s.path("table"), "id", "version")).option("checkpointLocation", s.path("state")).trigger(availableNow=True).start()
+    rows = streams.deduplicated(streams.incremental_runs(src, "2024-01-16 00:00:00"), ["id", "version"], "start_time", "1 day").select("id", "version", "name")
+    table = streams.VersionedTable(spark, s.path("table"), "id", "version")
+    q = rows.writeStream.foreachBatch(table.sink).option("checkpointLocation", s.path("state")).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.parquet(s.path("table")).select("id", "version", "name")
+    table.compact()
+    return table.read().select("id", "version", "name")
 
 
-_LATENCY_SQL = f"with {fx.RUNS_SQL} select date_trunc('day', start_time)::timestamp as day, name, count(latency) as n, round(sum(latency), 6) as total, min(latency) as least, max(latency) as most from runs where run_type = 'tool' group by all"
+_LATENCY_SQL = f"with {fx.RUNS_SQL} select date_trunc('day', start_time)::timestamp as day, name, count(latency) as n, round(sum(latency), 6) as total, min(latency) as least, max(latency) as most, quantile_disc(latency, 0.5) as median from runs where run_type = 'tool' and latency is not null group by all"
 
 
 @query("run_latency_stream", _LATENCY_SQL)
@@ -899,15 +901,16 @@ def _(spark, d):
     s = Scratch(spark)
     fx.runs(spark, d).select("run_type", "name", "latency", "start_time").write.parquet(s.path("runs"))
     src = spark.readStream.schema("run_type string, name string, latency double, start_time timestamp_ntz").parquet(s.path("runs"))
-    rows = streams.run_latency_stream(src).drop("median").withColumn("id", F.concat_ws("|", F.col("day").cast("string"), "name"))
-    q = rows.writeStream.outputMode("update").foreachBatch(streams.upsert_sink(s.path("table"), "id", "n")).option("checkpointLocation", s.path("state")).trigger(availableNow=True).start()
+    rows = streams.run_latency_stream(src).drop("rank_error").withColumn("id", F.concat_ws("|", F.col("day").cast("string"), "name"))
+    table = streams.VersionedTable(spark, s.path("table"), "id", "n")
+    q = rows.writeStream.outputMode("update").foreachBatch(table.sink).option("checkpointLocation", s.path("state")).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(rows.schema).parquet(s.path("table")).drop("id", "bucket")
+    return table.read().drop("id")
 
 
 @query("run_latency_batch", _LATENCY_SQL)
 def _(spark, d):
-    return streams.run_latency_stream(fx.runs(spark, d)).drop("median")
+    return streams.run_latency_stream(fx.runs(spark, d)).drop("rank_error")
 
 
 @query("sql_functions", ORACLES["smart_truncate"].replace(" as text from p", " as cut, value from p").replace("h as (select doc_id, text,", f"h as (select doc_id, text, {fx.d_clean('text')} as value,"))

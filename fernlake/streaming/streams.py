@@ -6,15 +6,13 @@ without an end event appears in the batch twin at once, in the stream when its a
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import uuid
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from fernlake.plans.scratch import Scratch
-from fernlake.sources.tables import upsert_by_id
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 EVENT_SCHEMA = "thread_id long, ts timestamp, seq long, type string, agent string, chunk string"
 
@@ -32,56 +30,100 @@ def token_accumulate(events: DataFrame) -> DataFrame:
     return rows.where("type = 'token'").groupBy("thread_id", "agent", "run_no").agg(F.array_join(part["chunk"], "").alias("response"), F.count(F.lit(1)).alias("n_chunks"))
 
 
-def _accumulate(idle_ms: int):
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        run_no, seqs, chunks, last = state.get if state.exists else (0, [], [], 0)
-        seqs, chunks, out = list(seqs), list(chunks), []
-
-        def close() -> None:
-            if seqs:
-                order = sorted(range(len(seqs)), key=seqs.__getitem__)
-                out.append((key[0], key[1], run_no, "".join(chunks[k] for k in order), len(order)))
-            seqs.clear()
-            chunks.clear()
-
-        if state.hasTimedOut:
-            close()
-            state.remove()
-        else:
-            # a key's events of one micro-batch come in several frames, in no order
-            rows = pd.concat(list(frames)).sort_values("seq")
-            for seq, kind, chunk in rows[["seq", "type", "chunk"]].itertuples(index=False):
-                if kind == "start":
-                    close()
-                    run_no += 1
-                elif kind == "token":
-                    seqs.append(int(seq))
-                    chunks.append(chunk or "")
-                elif kind == "end":
-                    close()
-            last = max(last, int(rows["ts"].max().timestamp() * 1000))
-            state.update((run_no, seqs, chunks, last))
-            state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + idle_ms)
-        yield pd.DataFrame(out, columns=["thread_id", "agent", "run_no", "response", "n_chunks"])
-
-    return run
+class _Runs(StatefulProcessor):
+    """State of a (thread, agent): the number of its last run, and the chunks of that run as a list that is appended to."""
+
+    def __init__(self, idle_ms: int, growing: bool):
+        self.idle_ms, self.growing = idle_ms, growing
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.run = handle.getValueState("run", "run_no long, n long, last long, timer long")
+        self.chunks = handle.getListState("chunks", "seq long, chunk string")
+
+    def _rows(self, key: tuple, out: list) -> pd.DataFrame:
+        names = ["thread_id", "agent", "run_no", "response", "n_chunks"] + ["finished"] * self.growing
+        return pd.DataFrame([(*key, *x[: len(names) - 2]) for x in out], columns=names)
+
+    def _close(self, run_no: int, n: int, fresh: list, out: list) -> None:
+        if self.growing:
+            out.append((run_no, _joined(fresh), n + len(fresh), True))
+        elif n or fresh:
+            whole = (list(self.chunks.get()) if n else []) + fresh
+            out.append((run_no, _joined(whole), len(whole), True))
+        if n and not self.growing:
+            self.chunks.clear()
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        run_no, n, last, timer = self.run.get() if self.run.exists() else (0, 0, 0, 0)
+        out, fresh = [], []
+        # a key's events of one micro-batch come in several frames, in no order
+        batch = pd.concat(list(rows)).sort_values("seq")
+        for seq, kind, chunk in batch[["seq", "type", "chunk"]].itertuples(index=False):
+            if kind == "token":
+                fresh.append((int(seq), chunk or ""))
+                continue
+            if kind in ("start", "end") and (n or fresh):
+                self._close(run_no, n, fresh, out)
+                n, fresh = 0, []
+            run_no += kind == "start"
+        if fresh and self.growing:
+            out.append((run_no, _joined(fresh), n + len(fresh), False))
+        elif fresh:
+            self.chunks.appendList(fresh)
+        n += len(fresh)
+        last = max(last, int(batch["ts"].max().timestamp() * 1000))
+        if n and not timer:
+            timer = max(last, timerValues.getCurrentWatermarkInMs()) + self.idle_ms
+            self.handle.registerTimer(timer)
+        self.run.update((run_no, n, last, timer))
+        yield self._rows(key, out)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        run_no, n, last, _ = self.run.get()
+        out, timer = [], 0
+        if n and last + self.idle_ms > expiredTimerInfo.getExpiryTimeInMs():
+            timer = last + self.idle_ms
+            self.handle.registerTimer(timer)
+        elif n:
+            self._close(run_no, n, [], out)
+            n = 0
+        self.run.update((run_no, n, last, timer))
+        yield self._rows(key, out)
+
+    def close(self) -> None:
+        pass
+
+
+def _joined(chunks: list) -> str:
+    return "".join(c for _, c in sorted(chunks))
+
+
+def _run_stream(events: DataFrame, late: str, idle_ms: int, growing: bool) -> DataFrame:
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    columns = "thread_id long, agent string, run_no long, response string, n_chunks long" + ", finished boolean" * growing
+    runs = events.withWatermark("ts", late).groupBy("thread_id", "agent")
+    return runs.transformWithStateInPandas(_Runs(idle_ms, growing), columns, "Append", "EventTime")
 
 
 def token_accumulate_stream(events: DataFrame, late: str = "10 minutes", idle_ms: int = 3_600_000) -> DataFrame:
     """Stream: each run's response at its end event, at the next start, or when its agent has been idle.
 
-    State is the open run of a (thread, agent), its chunks by seq.  It goes when the watermark
-    (`late` behind the latest event) is `idle_ms` past its last event; a run left open is then
-    given out, and runs that follow are numbered from 1 again.
+    Chunks of an open run are appended to its state as they come.  A run left open is given out when the watermark
+    (`late` behind the latest event) is `idle_ms` past its last event.  The run number of a
+    (thread, agent) is kept, so that runs after idle time are numbered on, as in the batch twin.  The session's
+    state store becomes RocksDB, which list state and timers need.
+    """
+    return _run_stream(events, late, idle_ms, False)
+
+
+def token_growth_stream(events: DataFrame, late: str = "10 minutes", idle_ms: int = 3_600_000) -> DataFrame:
+    """Stream: what each micro-batch adds to a response as it grows, and a last row when it is finished.
+
+    `response` holds the new chunks alone, joined by seq, and `n_chunks` counts all so far; a run's parts in
+    order make up its response.  State is two counters and two times, no chunks.
     """
-    return (
-        events.withWatermark("ts", late)
-        .groupBy("thread_id", "agent")
-        .applyInPandasWithState(
-            _accumulate(idle_ms), "thread_id long, agent string, run_no long, response string, n_chunks long", "run_no long, seqs array<long>, chunks array<string>, last long",
-            "append", GroupStateTimeout.EventTimeTimeout,
-        )
-    )
+    return _run_stream(events, late, idle_ms, True)
 
 
 def agent_status(events: DataFrame) -> DataFrame:
@@ -105,38 +147,93 @@ def incremental_runs(runs: DataFrame, until: str, window: str = "1 day", overlap
     return runs.where((F.col("start_time").cast("timestamp") >= since) & (F.col("start_time").cast("timestamp") < stop))
 
 
-def upsert_sink(path: str, key: str, version: str, buckets: int = 16) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink that keeps one row per key, the one of the greatest version, in buckets of keys.
+def deduplicated(rows: DataFrame, keys: list[str], time: str, late: str = "10 minutes") -> DataFrame:
+    """A stream without the repeats of its keys that come within `late`, as overlapping exports send them; a batch without any."""
+    if not rows.isStreaming:
+        return rows.dropDuplicates(keys)
+    return rows.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
 
-    Only the buckets that a batch touches are read and written again.  A batch that is written
-    twice, after a failure or from a new checkpoint, changes nothing.  Rows of one key are never
-    spread, so readers see each bucket before or after a batch.
-    """
-
-    def write(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        with Scratch(spark) as scratch:
-            new = scratch.keep(batch.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")), "batch")
-            touched = [x["bucket"] for x in new.select("bucket").distinct().collect()]  # `buckets` numbers at most
-            if not touched:
-                return
-            hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            there = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
-            old = spark.read.schema(new.schema).parquet(path).where(F.col("bucket").isin(touched)) if there else new.limit(0)
-            merged = scratch.keep(upsert_by_id(old, new, key, version), "merged")
-            merged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
-    return write
+class VersionedTable:
+    """A table of one row per key, the one of the greatest version, kept as batches that are only added.
 
+    ``sink`` is for foreachBatch: a batch is written aside and becomes visible by one rename.  A batch
+    that comes twice changes nothing: under the same `writer`, a name for one stream and its
+    checkpoint, it is left out, and else its rows have the versions of those that are there.  ``read`` takes the latest
+    version of each key over all batches; of equal versions the later batch counts.  ``compact`` merges
+    what there is into one base, aside; a reader uses the newest base and later batches.  What a base
+    replaces stays for readers at work until ``clear``.  A write costs as much as its batch.
+    """
 
-def run_latency_stream(runs: DataFrame, window: str = "1 day", late: str = "1 hour") -> DataFrame:
-    """Latency of tool runs by tumbling window, kept current as runs arrive; the median is approximate.
-
-    In update mode a window's row is given out at each change and its state goes with the watermark.
+    def __init__(self, spark: SparkSession, path: str, key: str, version: str, writer: str | None = None):
+        self.spark, self.path, self.key, self.version = spark, path.rstrip("/"), key, version
+        self.writer = writer or uuid.uuid4().hex
+
+    def _fs(self, name: str = ""):
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+        return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), at
+
+    def _parts(self) -> list[tuple[int, str, str]]:
+        """(number, kind, name) of the visible batches and bases, one name a batch until they are cleared."""
+        fs, at = self._fs()
+        names = [x.getPath().getName() for x in fs.listStatus(at)] if fs.exists(at) else []
+        return sorted((int(n.split("-")[1]), n.split("-")[0], n) for n in names if n.startswith(("batch-", "base-")))
+
+    def _current(self) -> tuple[list[str], int]:
+        parts = self._parts()
+        base = max((k for k, kind, _ in parts if kind == "base"), default=-1)
+        return [n for k, kind, n in parts if k > base or (k == base and kind == "base")], max((k for k, _, _ in parts), default=-1)
+
+    def _add(self, rows: DataFrame, name: str) -> None:
+        """Write aside, then make visible."""
+        aside = f"_{name}-{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.path}/{aside}")
+        (fs, start), (_, end) = self._fs(aside), self._fs(name)
+        if not fs.rename(start, end):
+            raise OSError(f"could not add {name}")
+
+    def sink(self, batch: DataFrame, epoch: int) -> None:
+        ending = f"-{self.writer}-{epoch}"
+        if any(n.endswith(ending) for _, _, n in self._parts()):
+            return
+        number = self._current()[1] + 1
+        self._add(batch.withColumn("__batch", F.lit(number).cast("long")), f"batch-{number}{ending}")
+
+    def _latest(self, names: list[str]) -> DataFrame:
+        rows = self.spark.read.option("mergeSchema", "true").parquet(*(f"{self.path}/{n}" for n in names))
+        best = F.max_by(F.struct(*rows.columns), F.struct(self.version, "__batch"))
+        return rows.groupBy(F.col(self.key).alias("__key")).agg(best.alias("r")).select("r.*")
+
+    def read(self) -> DataFrame:
+        """One row per key as of now; batches that come later are not seen.  Rows whose version is null come last."""
+        return self._latest(self._current()[0]).drop("__batch")
+
+    def compact(self) -> None:
+        names, last = self._current()
+        if len(names) > 1:
+            self._add(self._latest(names), f"base-{last}")
+
+    def clear(self) -> None:
+        """Delete what the newest base replaces, but each writer's last batch, by which a repeat is known."""
+        parts = self._parts()
+        keep = set(self._current()[0]) | set({n.split("-")[2]: n for _, kind, n in parts if kind == "batch"}.values())
+        for _, _, name in parts:
+            if name not in keep:
+                fs, at = self._fs(name)
+                fs.delete(at, True)
+
+
+def run_latency_stream(runs: DataFrame, window: str = "1 day", late: str = "1 hour", k: int = 4096) -> DataFrame:
+    """Latency of tool runs by tumbling window, kept current as runs arrive.
+
+    The median (of an even number the lower middle value) comes from a mergeable sketch of about `k` values as state: exact up to `k`
+    runs, beyond within `rank_error` of the middle rank, as a share of the runs, at 99 % confidence.  In update mode a
+    window's row is given out at each change and its state goes with the watermark.
     """
     rows = runs.where("run_type = 'tool' and latency is not null").withColumn("at", F.col("start_time").cast("timestamp"))
     if rows.isStreaming:
         rows = rows.withWatermark("at", late)
     x = F.col("latency")
-    out = rows.groupBy(F.window("at", window).alias("w"), "name").agg(F.count(x).alias("n"), F.round(F.sum(x), 6).alias("total"), F.min(x).alias("least"), F.max(x).alias("most"), F.percentile_approx(x, 0.5).alias("median"))
-    return out.select(F.col("w.start").cast("timestamp_ntz").alias("day"), "name", "n", "total", "least", "most", "median")
+    out = rows.groupBy(F.window("at", window).alias("w"), "name").agg(F.count(x).alias("n"), F.round(F.sum(x), 6).alias("total"), F.min(x).alias("least"), F.max(x).alias("most"), F.kll_sketch_agg_double(x, F.lit(k)).alias("sketch"))
+    error = F.when(F.col("n") <= k, 0.0).otherwise(F.lit(2.296 / k**0.9723))
+    return out.select(F.col("w.start").cast("timestamp_ntz").alias("day"), "name", "n", "total", "least", "most", F.kll_sketch_get_quantile_double("sketch", F.lit(0.5)).alias("median"), error.alias("rank_error"))
