@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fernlake.functions import text as tx
 from fernlake.operators.components import components
 from fernlake.operators.outline import child_lists
 from fernlake.plans.scratch import Scratch
+from fernlake.plans.skew import dealt_anew
 
 DECISION = "struct<to_merge:array<array<string>>,to_remove:array<string>,triplets:array<struct<subject:string,subject_type:string,predicate:string,object:string,object_type:string,subject_source_id:string,object_source_id:string>>>"
 
@@ -78,17 +79,34 @@ def subtree_blocks(subtrees: DataFrame) -> DataFrame:
     return each.groupBy("component_id").agg(F.array_join(whole["block"], "\n\n").alias("block"))
 
 
+def _shaped() -> Column:
+    """Whether a text is a JSON object whose known fields are of their types; an absent or null field is an empty one."""
+    kind = lambda path: F.expr(f"schema_of_variant(try_variant_get(v, '{path}', 'variant'))")
+    texts = ("ARRAY<STRING>", "ARRAY<VOID>", "VOID")
+    ok = F.expr("v is not null") & F.expr("schema_of_variant(v)").startswith("OBJECT<") & F.coalesce(kind("$.to_remove").isin(*texts), F.lit(True))
+    ok = ok & F.coalesce(kind("$.to_merge").isin("ARRAY<ARRAY<STRING>>", "ARRAY<ARRAY<VOID>>", *texts[1:]), F.lit(True))
+    t = kind("$.triplets")
+    return ok & F.coalesce(t.isin("ARRAY<VOID>", "VOID") | t.rlike("^ARRAY<OBJECT<([a-z_]+: (STRING|VOID)(, )?)*>>$"), F.lit(True))
+
+
+def _judged(decisions: DataFrame) -> DataFrame:
+    rows = decisions.withColumn("bare", tx.fence_strip(F.col("decision_json"))).withColumn("v", F.expr("try_parse_json(bare)"))
+    return rows.withColumn("good", F.coalesce(_shaped(), F.lit(False))).drop("v")
+
+
 def parse_decisions(decisions: DataFrame) -> DataFrame:
-    """(component_id, decision); rows whose JSON is invalid are left out."""
-    parsed = F.from_json(tx.fence_strip(F.col("decision_json")), DECISION)
-    ok = F.expr("try_parse_json(bare) is not null")
-    rows = decisions.withColumn("bare", tx.fence_strip(F.col("decision_json"))).where(ok)
-    return rows.select("component_id", parsed.alias("decision")).where("decision is not null")
+    """(component_id, decision); rows that are no JSON, or JSON of another shape, are left out.
+
+    A decision is an object: `to_remove` lists labels, `to_merge` lists lists of labels, `triplets`
+    lists objects of texts.  Absent fields are empty; unknown ones are ignored.
+    """
+    parsed = F.from_json("bare", DECISION)
+    return _judged(decisions).where("good").select("component_id", parsed.alias("decision"))
 
 
 def rejected_decisions(decisions: DataFrame) -> DataFrame:
-    rows = decisions.withColumn("bare", tx.fence_strip(F.col("decision_json")))
-    return rows.where("try_parse_json(bare) is null").select("component_id", "decision_json")
+    """(component_id, decision_json) of the rows that `parse_decisions` leaves out."""
+    return _judged(decisions).where(~F.col("good")).select("component_id", "decision_json")
 
 
 def removed_nodes(parsed: DataFrame, subtrees: DataFrame) -> DataFrame:
@@ -165,23 +183,31 @@ def reparent(nodes: DataFrame, redirects: DataFrame) -> DataFrame:
     A node that took in some of its own ancestors takes the place of the topmost of them.
     """
     to = redirects.select(F.col("old_id").alias("parent_id"), F.col("new_id").alias("__new"))
-    up = nodes.select(F.col("node_id").alias("at"), F.col("parent_id").alias("above"))
+    kind = nodes.schema["node_id"].dataType.simpleString()
     with Scratch(nodes.sparkSession) as scratch:
-        # climb from the nodes that took in an inner node, as long as there is an ancestor
         inner = nodes.select(F.col("parent_id").alias("old_id")).distinct()
-        took = redirects.join(inner, "old_id", "left_semi").select(F.col("new_id").alias("node_id"), F.col("new_id").alias("at")).distinct()
-        climb = scratch.keep(took.join(up, "at").select("node_id", F.col("above").alias("at")), "climb")
-        tops = []
-        while not (climb := climb.where("at is not null")).isEmpty():
-            here = redirects.select(F.col("old_id").alias("at"), F.col("new_id").alias("node_id"))
-            tops.append(scratch.keep(climb.join(here, ["at", "node_id"]).join(up, "at").select("node_id", F.lit(len(tops)).alias("height"), "above"), "tops"))
-            climb = scratch.keep(climb.join(up, "at").select("node_id", F.col("above").alias("at")), "climb")
+        took = redirects.join(inner, "old_id", "left_semi").select(F.col("new_id").alias("node_id")).distinct()
+        tops = None
+        if not took.limit(1).isEmpty():
+            # (at, above, tops) of each inner node: `tops` maps a node to what lies above the topmost one it took in, of `at` and its
+            # ancestors below `above`; by doubling, `above` moves twice as far up each round
+            into = redirects.select(F.col("old_id").alias("at"), F.col("new_id").alias("into"))
+            links = nodes.select(F.col("node_id").alias("at"), F.col("parent_id").alias("above")).join(inner.withColumnRenamed("old_id", "at"), "at", "left_semi").join(into, "at", "left")
+            none = F.expr(f"cast(map() as map<{kind},struct<above:{kind}>>)")
+            tops = F.when(F.col("into").isNotNull(), F.create_map("into", F.struct("above"))).otherwise(none)
+            links = scratch.keep(links.select("at", "above", tops.alias("tops")), "links")
+            while not links.where("above is not null").limit(1).isEmpty():
+                up = dealt_anew(links.select(F.col("at").alias("above"), F.col("above").alias("beyond"), F.col("tops").alias("higher")), "above")
+                far = links.join(up, "above", "left")
+                both = F.when(F.col("higher").isNull(), F.col("tops")).otherwise(F.map_concat("higher", F.map_filter("tops", lambda k, v: ~F.map_contains_key("higher", k))))
+                new = scratch.keep(far.select("at", F.col("beyond").alias("above"), both.alias("tops")), "links")
+                scratch.drop(links)
+                links = new
+            start = nodes.select("node_id", F.col("parent_id").alias("at")).join(took, "node_id", "left_semi").where("at is not null")
+            tops = start.join(dealt_anew(links, "at"), "at").select("node_id", F.col("tops")[F.col("node_id")].alias("t")).where("t is not null")
         out = nodes.join(redirects.select(F.col("old_id").alias("node_id")), "node_id", "left_anti")
-        if tops:
-            whole = tops[0]
-            for t in tops[1:]:
-                whole = whole.union(t)
-            top = whole.groupBy("node_id").agg(F.max_by("above", "height").alias("above"), F.lit(True).alias("__top"))
+        if tops is not None:
+            top = tops.select("node_id", F.col("t.above").alias("above"), F.lit(True).alias("__top"))
             out = out.join(top, "node_id", "left").withColumn("parent_id", F.when(F.col("__top"), F.col("above")).otherwise(F.col("parent_id"))).drop("above", "__top")
         out = out.join(to, "parent_id", "left").withColumn("parent_id", F.coalesce("__new", "parent_id")).select(*nodes.columns)
         return scratch.keep(out, "nodes", last=True)
@@ -218,26 +244,57 @@ def upsert_triplets(triplets: DataFrame) -> DataFrame:
     return rel.distinct()
 
 
+def _touching(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, src, rel, dst): the edges at some nodes, by each end that is among them."""
+    end = lambda c: F.struct(F.col(c).alias("node"), "src", "rel", "dst")
+    return edges.select(F.inline(F.array(end("src"), end("dst")))).join(nodes, "node", "left_semi")
+
+
+def _first_edges(edges: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
+    """The first distinct edges at each of some nodes; all but `most` of a hub's are left out before the shuffle by node."""
+    order = Window.partitionBy("node").orderBy("src", "rel", "dst")
+    once = _touching(edges, nodes).distinct()
+    return once.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most).drop("n")
+
+
 def khop_relations(seeds: DataFrame, edges: DataFrame, depth: int = 2, limit: int | None = 30, forbidden: str = "MENTIONS", ignore_rels: tuple[str, ...] = ()) -> DataFrame:
     """Relations on undirected paths of length 1..depth from each seed, without forbidden relations.
 
-    `seeds` has query_id, seed_no, seed.  Per query at most `limit` rows, in order of seed, src, rel,
-    dst; `ignore_rels` are dropped after the limit.  The ball around a seed grows by one
-    frontier join a step; edges are those that touch a node within depth - 1.
+    `seeds` has query_id, seed_no, seed.  Per query at most `limit` rows, in order of seed_no, src, rel,
+    dst; `ignore_rels` are dropped after the limit.  With a limit, only what can be among a query's
+    first rows is expanded: a seed is left out when the edges at earlier seeds alone
+    reach the limit; of the nodes within depth - 1 those count whose first edges are the `limit` least,
+    and of these the first `limit` edges each.  So a hub near a seed stays closed but for its first edges, and
+    no copy of the edges is made.
     """
-    spark = seeds.sparkSession
+    spark, keys = seeds.sparkSession, ["query_id", "seed_no", "seed"]
+    use = edges.where(F.col("rel") != forbidden).select("src", "rel", "dst")
+    nodes = lambda df, c="node": df.select(F.col(c).alias("node")).distinct()
     with Scratch(spark) as scratch:
-        use = scratch.keep(edges.where(F.col("rel") != forbidden).select("src", "rel", "dst").distinct(), "edges")
-        near = use.select(F.col("src").alias("node"), F.col("dst").alias("to")).union(use.select("dst", "src")).distinct()
-        keys = ["query_id", "seed_no", "seed"]
-        ball = scratch.keep(seeds.select(*keys, F.col("seed").alias("node")), "ball")
+        start = scratch.keep(seeds.select(*keys).distinct(), "seeds")
+        if limit is not None:
+            degree = _first_edges(use, nodes(start, "seed"), limit).groupBy(F.col("node").alias("seed")).agg(F.count(F.lit(1)).alias("degree"))
+            placed = start.join(degree, "seed")
+            before = Window.partitionBy("query_id").orderBy("seed_no").rowsBetween(Window.unboundedPreceding, -1)
+            enough = placed.groupBy("query_id", "seed_no").agg(F.sum("degree").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+            enough = enough.where(F.col("before") < limit).select(F.col("query_id").alias("q"), F.col("seed_no").alias("s"))
+            start = placed.join(enough, F.col("query_id").eqNullSafe(F.col("q")) & F.col("seed_no").eqNullSafe(F.col("s")), "left_semi").select(*keys)
+        ball = scratch.keep(start.withColumn("node", F.col("seed")), "ball")
         edge = ball
         for _ in range(depth - 1):
+            near = _touching(use, nodes(edge)).select("node", F.when(F.col("src") == F.col("node"), F.col("dst")).otherwise(F.col("src")).alias("to")).distinct()
             step = edge.join(near, "node").select(*keys, F.col("to").alias("node")).distinct()
             edge = scratch.keep(step.join(ball, [*keys, "node"], "left_anti"), "frontier")
-            ball = scratch.keep(ball.unionByName(edge), "ball")
-        touch = ball.join(use.withColumnRenamed("src", "node").withColumn("src", F.col("node")), "node").select(*keys, "src", "rel", "dst")
-        touch = touch.union(ball.join(use.withColumnRenamed("dst", "node").withColumn("dst", F.col("node")), "node").select(*keys, "src", "rel", "dst")).distinct()
+            ball = ball.unionByName(edge)
+        if limit is None:
+            touch = ball.join(_touching(use, nodes(ball)), "node")
+        else:
+            first = _touching(use, nodes(ball)).groupBy("node").agg(F.min(F.struct("src", "rel", "dst")).alias("first"))
+            order = Window.partitionBy("query_id", "seed_no").orderBy("first")
+            near = ball.join(first, "node").withColumn("n", F.dense_rank().over(order)).where(F.col("n") <= limit).select(*keys, "node")
+            near = scratch.keep(near, "near")
+            touch = near.join(_first_edges(use, nodes(near), limit), "node")
+        touch = touch.select(*keys, "src", "rel", "dst").distinct()
         if limit is not None:
             order = Window.partitionBy("query_id").orderBy("seed_no", "src", "rel", "dst")
             touch = touch.withColumn("n", F.row_number().over(order)).where(F.col("n") <= limit).drop("n")
@@ -299,7 +356,7 @@ def curate_graph(nodes: DataFrame, decisions: DataFrame) -> dict[str, DataFrame]
 
     `nodes` has the columns of the outline with `child_ids` where wanted.  Texts of several
     merge groups that end in one node are joined in the order of the groups.  Decisions that are
-    no valid JSON are rejected, their components stay as they are.  `totals` counts decisions,
+    no valid JSON, or of another shape, are rejected, their components stay as they are.  `totals` counts decisions,
     rejects and, where decisions have a column `tokens`, their tokens.
     """
     spark = nodes.sparkSession
@@ -320,8 +377,7 @@ def curate_graph(nodes: DataFrame, decisions: DataFrame) -> dict[str, DataFrame]
     kept = scratch.keep(kept, "kept", last=True)
     rejects = rejected_decisions(decisions)
     tokens = F.sum("tokens") if "tokens" in decisions.columns else F.max(F.lit(None))
-    bad = F.expr("try_parse_json(bare) is null")
-    totals = decisions.withColumn("bare", tx.fence_strip(F.col("decision_json"))).agg(F.count(F.lit(1)).alias("decisions"), F.count_if(bad).alias("rejects"), tokens.cast("long").alias("tokens"))
+    totals = _judged(decisions).agg(F.count(F.lit(1)).alias("decisions"), F.count_if(~F.col("good")).alias("rejects"), tokens.cast("long").alias("tokens"))
     return {
         "nodes": kept, "children": child_lists(kept), "entities": upsert_entities(triplets), "relations": upsert_triplets(triplets), "redirects": redirects,
         "rejects": rejects, "totals": totals,

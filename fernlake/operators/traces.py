@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from fernlake.functions import text as tx
 from fernlake.plans.scratch import Scratch
+from fernlake.plans.selection import with_median
 from fernlake.plans.skew import dealt_anew, numbered
 
 #: Prompt headers and the section each opens.
@@ -91,30 +92,31 @@ def tool_runs_for_step(runs: DataFrame, nodes: DataFrame, keep_unknown: bool = F
     return both.select("llm_run_id", "tool_run_id", F.row_number().over(order).alias("seq"))
 
 
-def _stats():
+def _latency(rows: DataFrame, *keys: str) -> DataFrame:
     r = lambda c: F.round(c, 6)
     x = F.col("latency")
-    return [
-        F.count(x).alias("n"), r(F.sum(x)).alias("total"), r(F.avg(x)).alias("mean"), r(F.median(x)).alias("median"), F.min(x).alias("least"), F.max(x).alias("most"),
-    ]
+    stats = [F.count(x).alias("n"), r(F.sum(x)).alias("total"), r(F.avg(x)).alias("mean"), F.min(x).alias("least"), F.max(x).alias("most")]
+    return with_median(rows, list(keys), "latency", stats).select(*keys, "n", "total", "mean", r(F.col("median")).alias("median"), "least", "most")
 
 
 def latency_by_node(runs: DataFrame) -> DataFrame:
-    """Latency statistics of LLM runs by their own node label."""
-    return runs.where("run_type = 'llm' and latency is not null").groupBy(F.coalesce("node", F.lit("unknown")).alias("node")).agg(*_stats())
+    """Latency statistics of LLM runs by their own node label; the median is exact, however many runs a label has."""
+    rows = runs.where("run_type = 'llm' and latency is not null")
+    return _latency(rows.select(F.coalesce("node", F.lit("unknown")).alias("node"), "latency"), "node")
 
 
 def latency_by_tool(runs: DataFrame) -> DataFrame:
-    return runs.where("run_type = 'tool' and latency is not null").groupBy(F.col("name").alias("tool")).agg(*_stats())
+    """Latency statistics of tool runs by name, with exact medians."""
+    return _latency(runs.where("run_type = 'tool' and latency is not null").select(F.col("name").alias("tool"), "latency"), "tool")
 
 
 def latency_overall(runs: DataFrame) -> DataFrame:
-    """Both breakdowns and the total in one pass by grouping sets; scope is node, tool or all."""
+    """Both breakdowns and the total; scope is node, tool or all."""
     rows = runs.where("run_type in ('llm', 'tool') and latency is not null")
-    rows = rows.withColumn("scope", F.when(F.col("run_type") == "llm", "node").otherwise("tool"))
-    rows = rows.withColumn("label", F.when(F.col("run_type") == "llm", F.coalesce("node", F.lit("unknown"))).otherwise(F.col("name")))
-    g = rows.groupingSets([["scope", "label"], []], "scope", "label").agg(*_stats(), F.grouping("scope").alias("whole"))
-    return g.select(F.when(F.col("whole") == 1, "all").otherwise(F.col("scope")).alias("scope"), F.when(F.col("whole") == 1, "all").otherwise(F.col("label")).alias("label"), "n", "total", "mean", "median", "least", "most")
+    llm = F.col("run_type") == "llm"
+    own = F.struct(F.when(llm, "node").otherwise("tool").alias("scope"), F.when(llm, F.coalesce("node", F.lit("unknown"))).otherwise(F.col("name")).alias("label"))
+    whole = F.struct(F.lit("all").alias("scope"), F.lit("all").alias("label"))
+    return _latency(rows.select("latency", F.inline(F.array(own, whole))), "scope", "label")
 
 
 def block_dedup(blocks: DataFrame, preview: int = 90, stretch: int = 100_000) -> DataFrame:
@@ -155,19 +157,26 @@ def retriever_block_trim(texts: DataFrame, most: int = 400, id_col: str = "id",
     return out.union(texts.where(F.col(text_col).isNull()).select(id_col, text_col))
 
 
+#: What is read of a run's messages and of its first generation.
+MESSAGE = "struct<type:string,id:array<string>,content:string,kwargs:struct<content:string>>"
+OUTPUT = "struct<generations:array<array<struct<text:string,message:struct<content:string,kwargs:struct<content:string,tool_calls:array<struct<name:string,args:string>>>>>>>>"
+
+
 def extract_messages(runs: DataFrame, col: str = "inputs") -> DataFrame:
-    """system and human texts of an LLM run's input messages, nested or flat, of either form; the last of each wins."""
-    msg = "struct<type:string,id:array<string>,content:string,kwargs:struct<content:string>>"
-    nested = F.from_json(F.get_json_object(col, "$.messages[0]"), f"array<{msg}>")
-    flat = F.from_json(F.get_json_object(col, "$.messages"), f"array<{msg}>")
-    messages = F.when(F.get_json_object(col, "$.messages[0]").startswith("["), nested).otherwise(flat)
+    """system and human texts of an LLM run's input messages, nested or flat, of either form; the last of each wins.
+
+    The object is parsed once, down to its messages as texts, and each message once.
+    """
+    out = runs.withColumn("__raw", F.from_json(col, "struct<messages:array<string>>")["messages"])
+    lead = F.get("__raw", F.lit(0))
+    flat = F.transform("__raw", lambda m: F.from_json(m, MESSAGE))
+    out = out.withColumn("messages", F.when(lead.startswith("["), F.from_json(lead, f"array<{MESSAGE}>")).otherwise(flat))
     kind = lambda m: F.when(m["type"] == "constructor", F.array_join(m["id"], ".")).otherwise(m["type"])
     text = lambda m: F.when(m["type"] == "constructor", m["kwargs"]["content"]).otherwise(m["content"])
     last = lambda test: F.coalesce(text(F.try_element_at(F.filter("messages", test), F.lit(-1))), F.lit(""))
-    out = runs.withColumn("messages", messages)
     system = last(lambda m: kind(m).contains("SystemMessage") | (kind(m) == "system"))
     human = last(lambda m: kind(m).contains("HumanMessage") | kind(m).isin("human", "user"))
-    return out.withColumn("system_text", system).withColumn("human_text", human).drop("messages")
+    return out.withColumn("system_text", system).withColumn("human_text", human).drop("messages", "__raw")
 
 
 def split_sections(prompts: DataFrame, col: str = "human_text") -> DataFrame:
@@ -192,26 +201,32 @@ def split_sections(prompts: DataFrame, col: str = "human_text") -> DataFrame:
     return out.withColumn("user_last", pick("user_last")).withColumn("user_prev", pick("user_prev")).drop("hits", "parts")
 
 
+def _generation(runs: DataFrame, col: str) -> DataFrame:
+    """The runs with their first generation as `__g`, from one parse; its tool calls keep the order of their arguments."""
+    outer = F.get(F.from_json(col, OUTPUT)["generations"], F.lit(0))
+    return runs.withColumn("__g", F.get(outer, F.lit(0)))
+
+
 def extract_response(runs: DataFrame, col: str = "outputs") -> DataFrame:
     """Text of the first generation; empty where there is none."""
-    g = "$.generations[0][0]"
-    inner = F.coalesce(F.nullif(F.get_json_object(col, f"{g}.message.kwargs.content"), F.lit("")), F.get_json_object(col, f"{g}.message.content"))
-    plain = F.when(F.get_json_object(col, f"{g}.message").isNull(), F.get_json_object(col, f"{g}.text"))
-    return runs.withColumn("response", F.coalesce(inner, plain, F.lit("")))
+    g = F.col("__g")
+    inner = F.coalesce(F.nullif(g["message"]["kwargs"]["content"], F.lit("")), g["message"]["content"])
+    plain = F.when(g["message"].isNull(), g["text"])
+    return _generation(runs, col).withColumn("response", F.coalesce(inner, plain, F.lit(""))).drop("__g")
 
 
 def extract_tool_calls(runs: DataFrame, col: str = "outputs", most: int = 600) -> DataFrame:
     """tool_calls: one line per structured call with its arguments cut."""
-    calls = F.from_json(F.get_json_object(col, "$.generations[0][0].message.kwargs.tool_calls"), "array<struct<name:string,args:string>>")
+    calls = F.col("__g")["message"]["kwargs"]["tool_calls"]
     line = lambda x: F.concat(F.lit("TOOL CALL: "), F.coalesce(x["name"], F.lit("?")), F.lit("("), tx.truncate_marked(F.coalesce(x["args"], F.lit("{}")), most), F.lit(")"))
-    return runs.withColumn("tool_calls", F.coalesce(F.array_join(F.transform(calls, line), "\n"), F.lit("")))
+    return _generation(runs, col).withColumn("tool_calls", F.coalesce(F.array_join(F.transform(calls, line), "\n"), F.lit(""))).drop("__g")
 
 
 def routing_decisions(runs: DataFrame, col: str = "response") -> DataFrame:
     """(next_step, reasoning) of responses that are routing JSON, fenced or plain; others are left out."""
     bare = tx.fence_strip(F.col(col))
-    rows = runs.withColumn("next_step", F.get_json_object(bare, "$.next_step")).withColumn("reasoning", F.get_json_object(bare, "$.reasoning"))
-    return rows.where("next_step is not null")
+    rows = runs.withColumn("__d", F.from_json(bare, "struct<next_step:string,reasoning:string>"))
+    return rows.withColumn("next_step", F.col("__d.next_step")).withColumn("reasoning", F.col("__d.reasoning")).drop("__d").where("next_step is not null")
 
 
 def tool_run_table(runs: DataFrame, most_input: int = 600, most_output: int = 4000) -> DataFrame:

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from fernlake.operators import conversation, graph, retrieval, traces
 from fernlake.operators.components import components
@@ -99,15 +100,6 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got == want
 
 
-def test_upsert_sink(spark, tmp_path):
-    from fernlake.streaming import streams
-
-    sink = streams.upsert_sink(str(tmp_path), "id", "v")
-    sink(spark.createDataFrame([(1, 1), (2, 1)], "id long, v long"), 0)
-    sink(spark.createDataFrame([(2, 2), (3, 1)], "id long, v long"), 1)
-    assert sorted(map(tuple, spark.read.parquet(str(tmp_path)).drop("bucket").collect())) == [(1, 1), (2, 2), (3, 1)]
-
-
 def test_embed_default(spark):
     got = {r.k: r.embedding for r in retrieval.embed_batch(spark.createDataFrame([(1, "a b b"), (2, None)], "k long, text string"), dims=8).collect()}
     assert abs(sum(x * x for x in got[1]) - 1) < 1e-9 and got[2] == [0.0] * 8
@@ -128,3 +120,50 @@ def test_latency_stream_equals_batch(spark, tmp_path):
     q.awaitTermination()
     key = lambda r: (r.day, r.name, r.n, r.total, r.least, r.most)
     assert sorted(map(key, spark.table("latencies").collect())) == sorted(map(key, streams.run_latency_stream(runs).collect()))
+
+
+def brute_khop(seeds, edges, depth, limit):
+    use = {e for e in edges if e[1] != "MENTIONS"}
+    near = {}
+    for a, _, b in use:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    out = []
+    for q in sorted({s[0] for s in seeds}):
+        rows = set()
+        for _, no, seed in (s for s in seeds if s[0] == q):
+            ball = {seed}
+            for _ in range(depth - 1):
+                ball |= {x for n in ball for x in near.get(n, ())}
+            rows |= {(no, a, r, b, seed) for a, r, b in use if a in ball or b in ball}
+        rows = sorted(rows)
+        out += [(q, no, seed, a, r, b) for no, a, r, b, seed in (rows if limit is None else rows[:limit])]
+    return sorted(out)
+
+
+@pytest.mark.parametrize(("depth", "limit"), [(1, 4), (2, 5), (2, None), (3, 9), (2, 400)])
+def test_khop_against_brute_force(spark, depth, limit):
+    rng = random.Random(depth)
+    edges = [(f"n{rng.randrange(40)}", rng.choice(["A", "B", "MENTIONS"]), f"n{rng.randrange(40)}") for _ in range(70)]
+    edges += [("hub", "A", f"h{k}") for k in range(200)] + [(f"n{k}", "A", "hub") for k in range(3)] + edges[:10]
+    seeds = [(q, no, f"n{rng.randrange(44)}") for q in range(6) for no in range(4)] + [(7, 0, "hub"), (8, 0, "nowhere"), (8, 1, "n1"), (9, 0, "h5")]
+    got = graph.khop_relations(spark.createDataFrame(seeds, "query_id long, seed_no long, seed string"), spark.createDataFrame(edges, "src string, rel string, dst string"), depth, limit)
+    assert sorted(map(tuple, got.select("query_id", "seed_no", "seed", "src", "rel", "dst").collect())) == brute_khop(seeds, edges, depth, limit)
+
+
+def test_a_hub_stays_closed(spark):
+    """Of a node with many edges only the first ones reach the last join."""
+    edges = spark.range(300_000).select(F.lit("hub").alias("src"), F.lit("A").alias("rel"), F.concat(F.lit("x"), F.lpad(F.col("id").cast("string"), 7, "0")).alias("dst"))
+    edges = edges.union(spark.createDataFrame([("s", "A", "hub")], "src string, rel string, dst string"))
+    first = graph._first_edges(edges, spark.createDataFrame([("hub",), ("s",)], "node string"), 30)
+    assert first.count() == 31
+    got = graph.khop_relations(spark.createDataFrame([(1, 0, "s")], "query_id long, seed_no long, seed string"), edges)
+    assert [r.dst for r in got.orderBy("src", "rel", "dst").collect()] == [f"x{k:07d}" for k in range(30)]
+
+
+def test_decisions_of_another_shape_are_rejected(spark):
+    good = ['{"to_remove": ["a"], "to_merge": [["a", "b"]], "triplets": []}', "```json\n{}\n```", '{"to_remove": null, "other": 3}', '{"triplets": [{"subject": "x", "object": null}]}', '{"to_merge": [[]]}']
+    bad = ["[]", "3", '{"to_merge": "x"}', '{"to_remove": [1]}', '{"to_merge": ["a"]}', '{"triplets": ["x"]}', "{bad", '"text"', "", None, '{"triplets": {"a": 1}}']
+    df = spark.createDataFrame([(f"g{k}", x) for k, x in enumerate(good)] + [(f"b{k}", x) for k, x in enumerate(bad)], "component_id string, decision_json string")
+    assert {r.component_id for r in graph.parse_decisions(df).collect()} == {f"g{k}" for k in range(len(good))}
+    assert {r.component_id for r in graph.rejected_decisions(df).collect()} == {f"b{k}" for k in range(len(bad))}
