@@ -32,6 +32,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 FORGE = re.compile(r"gh[pousr]_[A-Za-z0-9]{36}(?![A-Za-z0-9])")
 REGISTRY = re.compile(r"npm_[A-Za-z0-9]{36}(?![A-Za-z0-9])")
+RUN = re.compile(r"[A-Za-z0-9_-]*")
 JWT = re.compile(r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
 PEM = re.compile(r"-----BEGIN ([A-Z]+ )*PRIVATE KEY-----")
 CARD = re.compile(r"(?:card|visa|mastercard)(?: number| no\.?)?\s*[:=]\s*(\d(?:[ -]?\d){12,18})(?!\d)", re.IGNORECASE | re.ASCII)
@@ -100,6 +101,9 @@ def scan(text: str | None, auto: ahocorasick.Automaton) -> list[tuple[int, int,
             free[kind] = m.end()
             if check(m):
                 spans.append((at, KINDS.index(kind), m.end()))
+        elif kind == "jwt" and text.startswith("eyJ", at):
+            # what follows this run of characters is no second part, for no start within it
+            free[kind] = RUN.match(text, at).end()
     spans += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     spans.sort()
     return spans
