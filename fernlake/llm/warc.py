@@ -12,7 +12,9 @@ record's headers are parsed first; pushed-down predicates on record type, record
 are decided on them, and the rest of an unwanted record is skipped: by a seek in uncompressed
 files and where skip lengths are given, else by inflating without decoding.  Only columns in the
 read schema are made: without a payload column no payload is decoded.  Text between records that
-is no record, and records without a length, are passed over up to the next record.
+is no record, and records without a length, are passed over up to the next record.  A damaged gzip
+member costs its own record; reading goes on at the next member, and a column `damage` in the
+read schema adds a row that names the file and offset of each.
 
 Files go through pyarrow's file systems, which cover local, HDFS and object stores by URI.
 """
@@ -21,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import struct
 import uuid
 import zlib
@@ -36,6 +39,7 @@ from pyspark.sql.types import StructType
 
 from fernlake.llm import textkernel as tk
 from fernlake.plans.scratch import Scratch
+from fernlake.plans.skew import dealt_anew
 
 WRITE_SCHEMA = "record_id string, record_type string, target_uri string, refers_to string, payload_digest string, payload_bytes long, payload binary"
 READ_SCHEMA = WRITE_SCHEMA + ", stored_bytes long, stored_sha256 string, headers map<string,string>"
@@ -43,6 +47,8 @@ MANIFEST = "_manifest.json"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _HEAD = 4096
 _BLOCK = 1 << 20
+_LONGEST_HEAD = 1 << 22
+_MARK = re.compile(rb"WARC/\d")
 
 
 def _clean(value: str) -> str:
@@ -192,7 +198,7 @@ class WarcReader(DataSourceReader):
         rows, held = [], 0
         for file, first, end in partition.ranges:
             with store.open_input_file(file) as src:
-                for row in _records(src, self.wanted, names, first, end):
+                for row in _records(src, self.wanted, names, first, end, file):
                     rows.append(row)
                     held += len(row.get("payload") or b"") + 200
                     if held > 1 << 22:
@@ -237,17 +243,31 @@ class _Inflated:
 
     def __init__(self, raw: _Bytes):
         self.raw, self.ready, self.inflate, self.step = raw, bytearray(), None, 1 << 11
+        self.member, self.whole = raw.at, 0  # where the member begins; bytes ready before it
+        self.damage: list[int] = []
+        self.stopped = False
 
     def _more(self) -> bool:
+        if self.stopped:
+            return False
         if self.inflate is None:
             if not self.raw.peek(1):
                 return False
             self.inflate = zlib.decompressobj(31)
+            self.member, self.whole = self.raw.at, len(self.ready)
         piece = self.raw.read(self.step)
         if not piece:
             return False
         self.step = min(2 * self.step, 1 << 16)
-        self.ready += self.inflate.decompress(piece)
+        try:
+            self.ready += self.inflate.decompress(piece)
+        except zlib.error:
+            # what the damaged member gave goes; nothing more is read before resume()
+            self.damage.append(self.member)
+            del self.ready[max(0, self.whole) :]
+            self.inflate, self.stopped, self.raw.at = None, True, self.member + 1
+            _seek_member(self.raw)
+            return False
         if self.inflate.eof:
             self.raw.at -= len(self.inflate.unused_data)
             self.inflate = None
@@ -260,17 +280,36 @@ class _Inflated:
             pass
         return bytes(self.ready[:n])
 
+    def _used(self, n: int) -> None:
+        del self.ready[:n]
+        self.whole -= n
+
     def read(self, n: int) -> bytes:
         out = self.peek(n)
-        del self.ready[: len(out)]
+        self._used(len(out))
         return out
 
     def skip(self, n: int) -> None:
         while n > 0 and (self.ready or self._more()):
             gone = min(n, len(self.ready))
-            del self.ready[:gone]
+            self._used(gone)
             n -= gone
 
+    def resume(self) -> list[int]:
+        """Go on behind damage; the offsets of the damaged members."""
+        found, self.damage, self.stopped = self.damage, [], False
+        return found
+
+
+def _seek_member(raw: _Bytes) -> None:
+    """Skip to the next mark of a gzip member, or to the end."""
+    while block := raw.peek(_BLOCK):
+        at = block.find(b"\x1f\x8b\x08")
+        if at >= 0:
+            raw.skip(at)
+            return
+        raw.skip(max(1, len(block) - 2))
+
 
 def _skip_lengths(lead: bytes) -> int | None:
     """Compressed size of a member that gives its skip lengths first, else None."""
@@ -292,29 +331,30 @@ def _headers(text: str) -> tuple[list[tuple[str, str]], dict[str, str]]:
 
 
 def _head(src) -> bytes | None:
-    """The header block of the next record, which is read up to its end; None at the end of the file."""
+    """The header block of the next record of any version, which is read up to its end; None at the end of what can be read."""
     while True:
         start = src.peek(10)
         if not start:
             return None
-        if start.startswith(b"WARC/1."):
-            break
-        line = src.peek(_HEAD)
-        at = line.find(b"WARC/1.", 1)
-        src.skip(at if at > 0 else max(1, len(line) - 6))
-    size = _HEAD
-    while True:
-        text = src.peek(size)
-        ends = [k + n for k, n in ((text.find(b"\r\n\r\n"), 4), (text.find(b"\n\n"), 2)) if k >= 0]
-        if ends:
-            return src.read(min(ends))
-        if len(text) < size:
-            return src.read(len(text))
-        size *= 2
-
-
-def _records(src, wanted: dict[str, set], names: list[str], first: int = 0, end: int | None = None) -> Iterator[dict]:
-    """Rows of the records in a range of a file, as far as the wanted names need them."""
+        if not _MARK.match(start):
+            line = src.peek(_HEAD)
+            at = _MARK.search(line, 1)
+            src.skip(at.start() if at else max(1, len(line) - 6))
+            continue
+        size = _HEAD
+        while size <= _LONGEST_HEAD:
+            text = src.peek(size)
+            ends = [k + n for k, n in ((text.find(b"\r\n\r\n"), 4), (text.find(b"\n\n"), 2)) if k >= 0]
+            if ends:
+                return src.read(min(ends))
+            if len(text) < size:
+                return src.read(len(text))
+            size *= 2
+        src.skip(6)  # no header ends so late
+
+
+def _records(src, wanted: dict[str, set], names: list[str], first: int = 0, end: int | None = None, file: str = "") -> Iterator[dict]:
+    """Rows of the records in a range of a file, as far as the wanted names need them; with `damage` among them, damaged members too."""
     raw = _Bytes(src, first, src.size() if end is None else end)
     stream: _Bytes | _Inflated | None = None  # from the first member without skip lengths on
     while True:
@@ -324,15 +364,20 @@ def _records(src, wanted: dict[str, set], names: list[str], first: int = 0, end:
         else:
             one = stream = stream or (_Inflated(raw) if raw.peek(2) == b"\x1f\x8b" else raw)
         text = _head(one)
-        if text is None and not size:
+        hurt = isinstance(one, _Inflated) and one.stopped
+        if text is None and not size and not hurt:
             return
         row, rest = _row(one, text, wanted, names) if text is not None else (None, 0)
         if row is not None:
             yield row
         if size:
             raw.skip(size)
-        else:
-            stream.skip(rest)
+        elif rest:
+            one.skip(rest)
+        if isinstance(one, _Inflated) and one.stopped and (size or not one.ready):
+            bad = one.resume()
+            if "damage" in names and not wanted:
+                yield from ({k: f"{file}@{at}" if k == "damage" else None for k in names} for at in bad)
 
 
 def _row(src, text: bytes, wanted: dict[str, set], names: list[str]) -> tuple[dict | None, int]:
@@ -354,6 +399,8 @@ def _row(src, text: bytes, wanted: dict[str, set], names: list[str]) -> tuple[di
     needed = bool({"payload", "stored_bytes", "stored_sha256"} & set(names)) or "payload_bytes" in names and row["payload_bytes"] is None
     if needed and row["record_type"] != "revisit":
         block = src.read(length)
+        if len(block) < length and isinstance(src, _Inflated) and src.stopped:
+            return None, 0  # the rest of the record is damaged
         length = 0
         http = head.get("content-type", "").lower().startswith("application/http")
         at = block.find(b"\r\n\r\n") if http else -1
@@ -411,7 +458,7 @@ def page_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", F.sha2("payload", 256))
     keys = rows.where(F.col("payload_bytes") >= least).select("id", "payload_digest")
     first = keys.groupBy("payload_digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    again = keys.join(first.select("payload_digest", "first"), "payload_digest").where("id != first").distinct()
+    again = keys.join(dealt_anew(first.select("payload_digest", "first"), "payload_digest"), "payload_digest").where("id != first").distinct()
     out = rows.join(again, ["id", "payload_digest"], "left")
     revisit = F.col("first").isNotNull()
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.col(c).cast("string"), F.lit(">"))
