@@ -122,7 +122,7 @@ def learn(
 ) -> LanguageModel:
     """Learn from rows where `train` holds and the language is not null.
 
-    At most about ``max_rows`` rows, taken by a hash of the id, are used (a documented bound for
+    At most about ``max_rows`` rows, taken by a hash of the id (of the text where it is null), are used (a documented bound for
     fitting), as many of each language as there are, so that rare languages keep theirs; the
     whole text of each counts.  Priors come from all rows.  Null or empty texts teach nothing but
     their prior.  ``buckets`` is halved while the matrix would take over ``max_bytes``.
@@ -147,7 +147,7 @@ def learn(
             break
         left -= n
     sizes = docs.sparkSession.createDataFrame([(x, share / n) for x, n in there.items() if n > share], "lang string, limit double")
-    draw = F.shiftrightunsigned(F.xxhash64("id"), 1) / float(1 << 63)
+    draw = F.shiftrightunsigned(F.when(F.col("id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("id")), 1) / float(1 << 63)
     rows = rows.join(F.broadcast(sizes), "lang", "left").where(F.col("limit").isNull() | (draw < F.col("limit"))).select("id", "text", "lang")
     counts = rows.mapInArrow(_count(buckets, orders), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     matrix = np.full((buckets, len(languages)), -np.log(buckets), np.float32)
@@ -183,11 +183,11 @@ def _score(shared):
                         names.append(UNKNOWN)
                         scores.append(0.0)
                         continue
-                    # the mean per letter, over about one word, keeps the posterior from saturating
-                    z = total[i] / letters[i] * min(letters[i], 12) + model.prior
-                    best = int(np.argmax(z))
+                    best = int(np.argmax(total[i] + model.prior))
                     names.append(model.languages[best])
-                    scores.append(float(1.0 / np.exp(z - z[best]).sum()))
+                    # for the score alone, the mean per letter over about one word keeps the posterior from saturating
+                    z = total[i] / letters[i] * min(letters[i], 12) + model.prior
+                    scores.append(float(np.exp(z[best] - z.max()) / np.exp(z - z.max()).sum()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["id", "lang_pred", "score"])
 
     return run
