@@ -145,7 +145,7 @@ def fit(
 
     ``max_rows`` bounds what is fitted: about half of it from each class, taken by a hash of the
     id, and of these as many as have ``max_pairs`` (text, bucket) pairs in all, 8 bytes each.  Rows
-    with a null label teach nothing; a row with a null id is drawn like any other; repeated rows
+    with a null label teach nothing; a row with a null id is drawn by its text; repeated rows
     are drawn together.  Without rows of both classes the model gives every text the share of class
     1 among the labelled rows (0.5 without any).
     """
@@ -159,10 +159,13 @@ def fit(
     if not n1 or n1 == n:
         return flat
     # the share of a class that is drawn is never rounded to none
-    rows = rows.withColumn("draw", F.shiftrightunsigned(F.xxhash64("id", F.lit(seed)), 1) / float(1 << 63))
+    rows = rows.withColumn("draw", F.shiftrightunsigned(F.when(F.col("id").isNull(), F.xxhash64("text", F.lit(seed))).otherwise(F.xxhash64("id", F.lit(seed))), 1) / float(1 << 63))
     limits = {k: max_rows / 2 / v for k, v in there.items()}
     # the first condition names no label, so it reaches the scan of the texts, before any join with labels
-    rows = rows.where(F.col("draw") < max(limits.values())).where(F.col("draw") < F.when(F.col("label") == 1, limits[1]).otherwise(limits[0]))
+    limit = F.when(F.col("label") == 1, limits[1]).otherwise(limits[0])
+    rows = rows.where(F.col("draw") < max(limits.values())).where(F.col("draw") < limit)
+    # in units of its class's limit, so that a cut at max_pairs takes both classes alike
+    rows = rows.withColumn("draw", F.col("draw") / limit)
     counts = rows.mapInArrow(_counts(buckets), "id string, label int, draw double, bucket array<int>, weight array<float>")
     one = counts.repartition(1).sortWithinPartitions("draw", "id", "label").mapInArrow(_train(max_pairs, buckets, dim, epochs, rate, seed), "delta binary, bias double").first()
     if one is None:
