@@ -14,6 +14,7 @@ source, however large, passes through one task.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -102,7 +103,7 @@ def mix(
 
     Reading in the order of `position` (slot, then place in the block) gives the mixture.
     Sources without a weight of their own have ``default_weight``; a null source is a source of
-    its own, "(none)".  Rows that repeat an id or have none are placed one by one.  An empty table gives an
+    its own, "(none)".  Rows that repeat an id or have none are placed one by one; weights count by their ratio alone.  An empty table gives an
     empty result.  Columns of the input that bear an output name are replaced.  The plan of at most ``max_sources`` sources and ``max_total`` slots a period
     is all that reaches the driver or is broadcast.
     """
@@ -116,6 +117,8 @@ def mix(
     if len(sizes) > max_sources:
         raise ValueError(f"more than {max_sources} sources; group them first")
     use = {s: int(weights.get(s, default_weight)) for s in sizes}
+    common = math.gcd(*use.values()) if use else 1
+    use = {s: w // common for s, w in use.items()}
     if sum(use.values()) > max_total:
         raise ValueError(f"weights sum to more than {max_total}; scale them down")
     if not sizes:
@@ -124,7 +127,8 @@ def mix(
     table = table.select(F.struct("*").alias("__t"))
 
     buckets = int(max(sizes.values()) ** 0.5) + 1
-    draw = F.xxhash64(F.col("__id").cast("string"), F.lit(seed))
+    # rows without an id are told apart by all they hold
+    draw = F.when(F.col("__id").isNull(), F.xxhash64(*(c for c in keep if not docs.schema[c].dataType.simpleString().startswith(("map", "variant"))), F.lit(seed))).otherwise(F.xxhash64(F.col("__id").cast("string"), F.lit(seed)))
     rows = rows.withColumn("__draw", draw).withColumn("__bucket", F.pmod("__draw", F.lit(buckets)))
     before = Window.partitionBy("mix_source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = rows.groupBy("mix_source", "__bucket").agg(F.count(F.lit(1)).alias("__n"))
