@@ -25,12 +25,13 @@ def embed_batch(rows: DataFrame, embed: Callable | None = None, dims: int = 64,
     """The rows with an `embedding`.
 
     `embed` maps a pandas Series of texts to a Series of lists and runs on Arrow batches; without
-    one, the default is a hashed count of words in SQL, of unit length.
+    one, the default is a count of words by slot in SQL, of unit length; a word's slot comes from
+    its MD5, so that any engine finds the same.  A null or wordless text has zeros.
     """
     if embed is not None:
         return rows.withColumn("embedding", F.pandas_udf(embed, "array<double>")(F.col(text_col)))
     words = F.filter(F.split(F.lower(F.coalesce(text_col, F.lit(""))), r"[ \t\r\n\f\x0B]+"), lambda w: w != "")
-    slots = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(dims)).cast("int"))
+    slots = F.transform(words, lambda w: (F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % dims).cast("int"))
     # one-element arrays hold a value for the lambda inside, which would compute it again at each step
     held = lambda x, f: F.element_at(F.transform(F.array(x), f), 1)
     every = F.sequence(F.lit(0), F.lit(dims - 1))

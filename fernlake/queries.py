@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from fernlake.functions import register
 from fernlake.functions import text as tx
-from fernlake.operators import conversation, graph, outline, retrieval, traces
+from fernlake.operators import conversation, graph, outline, retrieval, traces, vector_index
 from fernlake.plans import fixtures as fx
 from fernlake.plans.scratch import Scratch
 from fernlake.sources import tables
@@ -316,9 +316,9 @@ def _(spark, d):
     return outline.prune_empty_leaves(_emptied(spark, d)).select("node_id", "parent_id", "text")
 
 
-@query("ingest_pipeline", f"with {fx.PATHS_SQL}, p3 as (select * replace (case when text = '' and has_unparsed_url then raw else text end as text) from paths), kept as (select * from p3 where not (text = '' and not has_unparsed_url and node_id not in (select parent_id from p3 where parent_id is not null))) select k.node_id, k.text, array_to_string(k.path, '|') as path, count(c.node_id) as n_children from kept k left join kept c on c.parent_id = k.node_id group by all")
+@query("ingest_pipeline", f"with {fx.with_gaps(fx.PATHS_SQL)}, p3 as (select * replace (case when text = '' and has_unparsed_url then raw else text end as text) from paths), kept as (select * from p3 where not (text = '' and not has_unparsed_url and node_id not in (select parent_id from p3 where parent_id is not null))) select k.node_id, k.text, array_to_string(k.path, '|') as path, count(c.node_id) as n_children from kept k left join kept c on c.parent_id = k.node_id group by all")
 def _(spark, d):
-    return outline.ingest_pipeline(fx.lines(spark, d)).select("node_id", "text", F.array_join("path", "|").alias("path"), "n_children")
+    return outline.ingest_pipeline(fx.lines(spark, d, fx.GAPS)).select("node_id", "text", F.array_join("path", "|").alias("path"), "n_children")
 
 
 @query("ingest_grafted", f"""with {_LINKED_SQL}, whole as (
@@ -338,10 +338,12 @@ def _(spark, d):
     return graph.implicit_edges(nodes(spark, d))
 
 
-@query("drop_isolates", f"with {fx.EDGES_SQL} select 'p' || p_partkey as node_id from part where 'p' || p_partkey in (select src from edges union select dst from edges)")
+@query("drop_isolates", f"with {fx.EDGES_SQL}, u as (select * from edges where rel = 'USES'), n as (select 'p' || p_partkey as node_id from part union all select 'c' || c_custkey from customer) select node_id from n where node_id in (select src from u union select dst from u)")
 def _(spark, d):
+    """Parts, and customers without an order, have no edge of this kind."""
     parts = t(spark, d, "part").select(F.concat(F.lit("p"), "p_partkey").alias("node_id"))
-    return graph.drop_isolates(parts, fx.edges(spark, d))
+    customers = t(spark, d, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("node_id"))
+    return graph.drop_isolates(parts.union(customers), fx.edges(spark, d).where("rel = 'USES'"))
 
 
 @query("connected_components", f"with {fx.PLACED_SQL} select node_id, component_id from placed")
@@ -550,9 +552,13 @@ def _backlog(spark, d):
     return retrieval.embedding_backlog(docs, t(spark, d, "embeddings").select(F.col("vec_id").alias("item_id")), t(spark, d, "part").select(F.col("p_partkey").alias("item_id"), F.col("p_name").alias("text")))
 
 
-@query("embed_batch")
+@query("embed_batch", r"""with b as (select row_number() over () as rid, item_id, text from (select doc_id as item_id, text from documents where doc_id not in (select vec_id from embeddings) union all select p_partkey, p_name from part)),
+ w as (select rid, item_id, unnest(string_split_regex(lower(coalesce(text, '')), '[ \t\r\n\f\v]+')) as w from b), c as (select rid, item_id, ('0x' || left(md5(w), 8))::bigint % 64 as slot, count(*) as n from w where w <> '' group by all),
+ s as (select rid, sqrt(sum(n * n)) as norm from c group by rid) select item_id, slot, round(n / norm, 6) as weight from c join s using (rid)""")
 def _(spark, d):
-    return retrieval.embed_batch(_backlog(spark, d)).select("item_id", F.array_join(F.transform("embedding", lambda x: F.round(x, 6).cast("string")), ",").alias("embedding"))
+    """The slots of each embedding that are not zero."""
+    got = retrieval.embed_batch(_backlog(spark, d)).select("item_id", F.posexplode("embedding").alias("slot", "x"))
+    return got.where("x > 0").select("item_id", "slot", F.round("x", 6).alias("weight"))
 
 
 _TOPK = """cand as (select q.vec_id as query_id, v.vec_id as item_id, round(list_cosine_similarity(cast(q.embedding as double[]), cast(v.embedding as double[])), 6) as score from embeddings q join embeddings v on v.vec_id <> q.vec_id where q.vec_id % 20 = 0),
@@ -569,6 +575,14 @@ def _(spark, d):
     return _hits(spark, d)
 
 
+@query("vector_topk_indexed", f"with {_TOPK} select query_id, item_id, score, rank from hits")
+def _(spark, d):
+    """The same from an inverted file, whose bounds make it exact."""
+    e = t(spark, d, "embeddings")
+    index = vector_index.build_index(e.select(F.col("vec_id").alias("item_id"), "embedding"), lists=32)
+    return vector_index.search(index, e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), exact=True)
+
+
 @query("vector_context", f"""with {fx.EDGES_SQL}, {_TOPK}, seeds as (select query_id, rank as seed_no, 'c' || item_id as seed, score from hits),
 use_ as (select src, rel, dst from edges where rel <> 'MENTIONS'), near as (select src as a, dst as b from use_ union select dst, src from use_),
 ball as (select query_id, seed_no, seed, seed as node from seeds union select s.query_id, s.seed_no, s.seed, n.b from seeds s join near n on n.a = s.seed),
@@ -623,9 +637,13 @@ _CLIPPED = f"""h as (select request_id, kind, rank, query_no, body, left(body, 1
  clipped as (select request_id, kind, rank, query_no, case when body is null or length(body) <= 1200 then body else concat(rtrim(case when a * 10 >= 7200 then left(head, a + 1) when b * 10 >= 7200 then left(head, b + 1) when c * 10 >= 7200 then left(head, c + 1) when e * 10 >= 7200 then left(head, e + 1) else head end, {fx.W}), ' …[truncated]') end as body from p)"""
 
 
-@query("evidence_dedup", f"with {fx.EVIDENCE_SQL}, {_CLIPPED} select request_id, kind, rank from clipped qualify row_number() over (partition by request_id, kind, case when kind = 'SOURCE' then left(body, 120) else body end order by query_no, rank) = 1")
+_MEETING = fx.EVIDENCE_SQL.replace("doc_id % 50 as request_id", "doc_id % 2 as request_id")
+
+
+@query("evidence_dedup", f"with {_MEETING}, {_CLIPPED} select request_id, kind, rank from clipped qualify row_number() over (partition by request_id, kind, case when kind = 'SOURCE' then left(body, 120) else body end order by query_no, rank) = 1")
 def _(spark, d):
-    return retrieval.evidence_dedup(fx.evidence(spark, d)).select("request_id", "kind", "rank")
+    """Two requests, so that copies of a text meet in one."""
+    return retrieval.evidence_dedup(fx.evidence(spark, d).withColumn("request_id", F.expr("request_id % 2"))).select("request_id", "kind", "rank")
 
 
 @query("evidence_dedup_all", f"with {fx.EVIDENCE_SQL}, {_CLIPPED} select request_id, kind, rank, body from clipped qualify row_number() over (partition by request_id, kind, case when kind = 'SOURCE' then left(body, 120) else body end order by query_no, rank) = 1")

@@ -9,8 +9,6 @@ from fernlake import catalog
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 NAMES = list(catalog.queries())
-#: Queries without SQL; test_whole_inputs.py holds them against brute force.
-BRUTE = {"embed_batch"}
 
 
 @pytest.fixture(scope="module")
@@ -20,8 +18,6 @@ def con():
 
 @pytest.mark.parametrize("name", NAMES)
 def test_query(spark, con, name):
-    if name in BRUTE:
-        return
     df = catalog.queries()[name](spark, SF)
     sql = catalog.oracle_sql()[name]
     assert oracle.compare(con, df, sql) == ""
