@@ -49,11 +49,11 @@ def test_random_outlines(spark):
         assert sorted(by.get(s, [])) == model(ls), s
 
 
-def test_one_shuffle_and_no_python(spark):
+def test_no_python_and_windows_by_segment(spark):
     lines = spark.createDataFrame([("a", 0, "# x")], "source string, line_number int, line string")
-    plan = outline.outline_parent(outline.outline_depth(outline.line_features(lines)), 4)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 1
-    assert "Python" not in plan
+    plan = outline.outline_depth(outline.line_features(lines))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "InArrow" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+    assert "Window [collect_set(header" in plan and "[source#" in plan and "segment#" in plan
 
 
 def test_text_cases(spark):
