@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fernlake.plans.scratch import Scratch
+from fernlake.sources.json_records import json_lines, json_records
 
 #: Schema of exported run records.
 RUN_SCHEMA = (
@@ -59,8 +60,8 @@ def _file_lines(spark: SparkSession, root: str, pattern: str) -> DataFrame:
     within = Window.partitionBy("key", "block").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
     rows = records.join(blocks, ["key", "block"]).join(files, "key")
     rows = rows.withColumn("line_before", F.col("lines_before") + F.coalesce(F.sum(n).over(within), F.lit(0))).withColumn("byte_before", F.col("bytes_before") + F.coalesce(F.sum(size).over(within), F.lit(0)))
-    # the last record ends with the file, or at a last \n, behind which an empty line follows
-    open_end = (F.col("id") == F.col("last")) & (F.col("all_bytes") > F.col("length"))
+    # the last record ends with the file, or at a last \n, behind which an empty line follows; the reader drops a byte order mark of three bytes
+    open_end = (F.col("id") == F.col("last")) & (F.pmod(F.col("all_bytes") - F.col("length"), F.lit(3)) == 1)
     closed = F.col("id") == F.col("last")
     text = F.when(F.is_valid_utf8("value"), F.col("value")).otherwise(bytes_(F.col("value")))
     text = F.when(~open_end & F.endswith(text, F.lit("\r")), F.left(text, F.length(text) - 1)).otherwise(text)
@@ -73,11 +74,24 @@ def _file_lines(spark: SparkSession, root: str, pattern: str) -> DataFrame:
 
 
 def scan_runs_json(spark: SparkSession, path: str, schema: str = RUN_SCHEMA, key: str = "_id", multi_line: bool = True) -> DataFrame:
-    """Run records of one JSON array (or of JSON lines), one per id: the last by export time, then by all fields."""
-    rows = spark.read.schema(schema).option("multiLine", multi_line).json(path)
-    order = [F.desc_nulls_last("exported_at")] if "exported_at" in rows.columns else []
-    order += [F.desc(F.to_json(F.struct("*")))]
-    return rows.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("__n = 1").drop("__n")
+    """Run records of JSON arrays (or of JSON lines), one per id: the last in the file, of several files in the last by path.
+
+    Large files, arrays on one line included, are read by many tasks.  What is no JSON object is left
+    out, see `broken_runs`; a field of another type is null.  Records without an id count as one id.
+    """
+    rows = _run_texts(spark, path, multi_line).where("good").select("file", "block", "place", F.from_json("text", schema).alias("run"))
+    last = rows.groupBy(F.col(f"run.`{key}`").alias("id")).agg(F.max_by("run", F.struct("file", "block", "place")).alias("run"))
+    return last.select("run.*")
+
+
+def broken_runs(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """(file, block, place, text) of what `scan_runs_json` leaves out; the text is null where a file breaks off."""
+    return _run_texts(spark, path, multi_line).where("not good").select("file", "block", "place", "text")
+
+
+def _run_texts(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
+    rows = json_records(spark, path) if multi_line else json_lines(spark, path)
+    return rows.withColumn("good", F.col("whole") & F.json_object_keys("text").isNotNull())
 
 
 def serialize_nested(df: DataFrame) -> DataFrame:
@@ -135,3 +149,15 @@ def written_outlines(docs: DataFrame, per_file: int = 50) -> tuple[SparkSession,
     rows = docs.withColumn("part", F.floor(F.col("doc_id") / per_file)).repartition("part").sortWithinPartitions("part", "doc_id")
     rows.select("part", F.col("text").alias("value")).write.partitionBy("part").text(path)
     return spark, path
+
+
+def written_arrays(rows: DataFrame, key: str, *order: str, files: int = 16) -> tuple[SparkSession, str]:
+    """Write rows as JSON arrays in the shared folder, for a scan to read back: a file per hash of `key`, in the given order."""
+    spark = rows.sparkSession
+    path = Scratch(spark).path("arrays")
+    texts = rows.select(F.pmod(F.xxhash64(key), F.lit(files)).alias("part"), key, *order, F.to_json(F.struct(*(c for c in rows.columns if c not in order))).alias("json"))
+    n = F.row_number().over(Window.partitionBy("part").orderBy(*order, key))
+    lines = texts.select("part", n.alias("n"), F.concat(F.when(n == 1, "[").otherwise(", "), "json").alias("value"))
+    ends = texts.groupBy("part").agg((F.count(F.lit(1)) + 1).cast("int").alias("n")).withColumn("value", F.lit("]"))
+    lines.union(ends).repartition("part").sortWithinPartitions("part", "n").select("part", "value").write.partitionBy("part").text(path)
+    return spark, path

@@ -120,3 +120,13 @@ def test_trimmed_nulls_stay(spark):
     df = spark.createDataFrame([(1, None), (2, "[SOURCE] " + "x" * 500)], "id long, text string")
     got = {r.id: r.text for r in traces.retriever_block_trim(df).collect()}
     assert got[1] is None and got[2].endswith("chars SOURCE TRUNCATED]")
+
+
+def test_byte_order_mark(spark, tmp_path):
+    """A file's last line end opens a line whether or not the file begins with a byte order mark."""
+    (tmp_path / "marked.md").write_bytes(b"\xef\xbb\xbf- a\n- b\n")
+    (tmp_path / "open.md").write_bytes(b"\xef\xbb\xbf- a\n- b")
+    got = {}
+    for r in tables.scan_outline_files(spark, str(tmp_path)).collect():
+        got.setdefault(r.source, {})[r.line_number] = r.line
+    assert got == {"marked": {0: "- a", 1: "- b", 2: ""}, "open": {0: "- a", 1: "- b"}}
