@@ -9,10 +9,13 @@ from fernlake.functions import text as tx
 from fernlake.operators.components import components
 from fernlake.operators.outline import child_lists
 from fernlake.plans.scratch import Scratch
-from fernlake.plans.skew import dealt_anew
+from fernlake.plans.skew import dealt_anew, numbered
 
 DECISION = "struct<to_merge:array<array<string>>,to_remove:array<string>,triplets:array<struct<subject:string,subject_type:string,predicate:string,object:string,object_type:string,subject_source_id:string,object_source_id:string>>>"
 
+#: Lines of a stretch within which leaves are numbered by one task.
+SPAN = 4096
+
 
 def implicit_edges(nodes: DataFrame) -> DataFrame:
     """CHILD edges from parent to child and PARENT edges back, from the parent column."""
@@ -56,15 +59,18 @@ def assert_single_parent(edges: DataFrame) -> DataFrame:
 def tail_subtrees(nodes: DataFrame, placed: DataFrame) -> DataFrame:
     """Leaves grouped by parent: component, subtree and leaf numbers and the label of each leaf.
 
-    `nodes` has node_id, parent_id, line_number, clean; `placed` is (node_id, component_id).
+    `nodes` has node_id, parent_id, line_number, clean; `placed` is (node_id, component_id).  Parents and
+    leaves are numbered in stretches of lines, so that no task holds a component or a parent's children.
     """
     inner = nodes.where("parent_id is not null").select(F.col("parent_id").alias("node_id")).distinct()
     leaf = nodes.where("parent_id is not null").join(inner, "node_id", "left_anti").join(placed, "node_id")
-    first = Window.partitionBy("component_id", "parent_id")
-    leaf = leaf.withColumn("first_line", F.min("line_number").over(first))
-    by_parent = Window.partitionBy("component_id").orderBy("first_line", "parent_id")
-    inside = Window.partitionBy("component_id", "parent_id").orderBy("line_number", "node_id")
-    out = leaf.withColumn("subtree_no", F.dense_rank().over(by_parent) - 1).withColumn("leaf_no", F.row_number().over(inside) - 1)
+    leaf = leaf.select("component_id", "node_id", "parent_id", "line_number", "clean")
+    stretch = lambda c: F.floor(F.col(c) / SPAN)
+    parents = leaf.groupBy("component_id", "parent_id").agg(F.min("line_number").alias("first_line"))
+    parents = numbered(parents, "subtree_no", ["component_id"], stretch("first_line"), "first_line", "parent_id")
+    parents = dealt_anew(parents.select("component_id", "parent_id", F.expr("int(subtree_no - 1)").alias("subtree_no")), "component_id", "parent_id")
+    out = numbered(leaf, "leaf_no", ["component_id", "parent_id"], stretch("line_number"), "line_number", "node_id").withColumn("leaf_no", F.expr("int(leaf_no - 1)"))
+    out = out.join(parents, ["component_id", "parent_id"])
     label = F.concat(F.lit("subtree_"), F.col("subtree_no"), F.lit("_leaf_"), F.col("leaf_no"))
     return out.select("component_id", "subtree_no", "leaf_no", "node_id", "parent_id", "line_number", "clean", label.alias("label"))
 

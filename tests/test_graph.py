@@ -167,3 +167,25 @@ def test_decisions_of_another_shape_are_rejected(spark):
     df = spark.createDataFrame([(f"g{k}", x) for k, x in enumerate(good)] + [(f"b{k}", x) for k, x in enumerate(bad)], "component_id string, decision_json string")
     assert {r.component_id for r in graph.parse_decisions(df).collect()} == {f"g{k}" for k in range(len(good))}
     assert {r.component_id for r in graph.rejected_decisions(df).collect()} == {f"b{k}" for k in range(len(bad))}
+
+
+def test_subtrees_of_one_large_component(spark):
+    """One component of many parents, one of which has most leaves; several sources share line numbers."""
+    rng = random.Random(4)
+    rows = [("root", None, 0, "root")]
+    for k in range(300):
+        rows.append((f"p{k}", "root", rng.randrange(20_000), f"parent {k}"))
+    for k in range(6_000):
+        rows.append((f"n{k}", "p7" if k % 2 else f"p{rng.randrange(280)}", rng.randrange(20_000), f"leaf {k}"))
+    nodes = spark.createDataFrame(rows, "node_id string, parent_id string, line_number int, clean string")
+    got = {r.node_id: (r.subtree_no, r.leaf_no, r.label) for r in graph.tail_subtrees(nodes, nodes.select("node_id", F.lit("c").alias("component_id"))).collect()}
+    inner = {p for _, p, _, _ in rows if p}
+    children = {}
+    for node, parent, line, _ in rows:
+        if parent and node not in inner:
+            children.setdefault(parent, []).append((line, node))
+    want = {}
+    for s, parent in enumerate(sorted(children, key=lambda p: (min(children[p])[0], p))):
+        for n, (_, node) in enumerate(sorted(children[parent])):
+            want[node] = (s, n, f"subtree_{s}_leaf_{n}")
+    assert got == want
