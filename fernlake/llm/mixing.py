@@ -23,15 +23,22 @@ from pyspark.sql import functions as F
 NO_SOURCE = "(none)"
 OUTPUT = ("mix_source", "block", "slot", "release", "deadline", "position")
 
-#: One period: in slot t the released source with the earliest deadline (ties: first in order) runs.
-_PERIOD = """
+#: One period: in slot t the released source with the earliest deadline (ties: first in order) runs.  Slots are folded
+#: in stretches of 512, whose lists are joined at the end, so that the work is linear in the slots.
+_STRETCH = """
 aggregate(
-  sequence(0L, total - 1L),
-  named_struct('k', transform(a, x -> 0L), 'o', cast(array() as array<struct<i:int,k:bigint>>)),
-  (s, t) -> element_at(transform(
-    array(array_min(transform(s.k, (k, i) -> if((k * total) div a[i] <= t, named_struct('due', ((k + 1) * total + a[i] - 1) div a[i], 'i', i), null)))),
-    c -> named_struct('k', transform(s.k, (k, i) -> if(i = c.i, k + 1L, k)), 'o', concat(s.o, array(named_struct('i', c.i, 'k', s.k[c.i]))))), 1),
-  s -> s.o)
+  sequence(lo, least(lo + 511L, total - 1L)),
+  named_struct('k', s.k, 'o', cast(array() as array<struct<i:int,k:bigint>>)),
+  (u, t) -> element_at(transform(
+    array(array_min(transform(u.k, (k, i) -> if((k * total) div a[i] <= t, named_struct('due', ((k + 1) * total + a[i] - 1) div a[i], 'i', i), null)))),
+    c -> named_struct('k', transform(u.k, (k, i) -> if(i = c.i, k + 1L, k)), 'o', concat(u.o, array(named_struct('i', c.i, 'k', u.k[c.i]))))), 1))
+"""
+_PERIOD = f"""
+aggregate(
+  sequence(0L, total - 1L, 512L),
+  named_struct('k', transform(a, x -> 0L), 'o', cast(array() as array<array<struct<i:int,k:bigint>>>)),
+  (s, lo) -> element_at(transform(array({_STRETCH}), f -> named_struct('k', f.k, 'o', concat(s.o, array(f.o)))), 1),
+  s -> flatten(s.o))
 """
 
 
@@ -97,7 +104,7 @@ def mix(
     id_col: str = "doc_id",
     seed: int = 3,
     max_sources: int = 500,
-    max_total: int = 20_000,
+    max_total: int = 200_000,
 ) -> DataFrame:
     """The rows with `mix_source`, `block`, `slot`, `release`, `deadline` and `position`; none is dropped or repeated.
 

@@ -118,3 +118,16 @@ def test_long_texts_follow_the_likelihood(spark):
     model.prior = np.log(np.where(np.array(model.languages) == "es", 1.0 - 1e-4, 1e-4))
     tests = spark.createDataFrame([(1, "a casa e grande e bonita nao " * 40), (2, "la casa es grande y bonita " * 40)], "doc_id long, text string")
     assert {r.doc_id: r.lang_pred for r in langid.identify(tests, model).collect()} == {1: "pt", 2: "es"}
+
+
+def test_period_of_many_slots(spark):
+    """A period well beyond a stretch of the fold, against earliest deadline first slot by slot."""
+    a = {"a": 17_001, "b": 12_011, "c": 1_303, "d": 1, "e": 8}
+    total = sum(a.values())
+    got = {r.source: list(r.slots) for r in mixing.schedule_table(spark, [mixing.Phase(0, 1, a, dict.fromkeys(a, 0))]).collect()}
+    done, want = dict.fromkeys(a, 0), {x: [] for x in a}
+    for t in range(total):
+        _, x = min((-(-(done[x] + 1) * total // a[x]), x) for x in a if done[x] * total // a[x] <= t)
+        want[x].append(t)
+        done[x] += 1
+    assert got == want
