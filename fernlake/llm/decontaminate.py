@@ -3,9 +3,10 @@
 1. The vocabulary is that of the benchmark; document frequencies of its words are counted over
    all documents.  A benchmark of more than ``max_items`` items or ``max_vocab`` words is
    searched in parts, one pass over the documents each.
-2. TF-IDF passages of the benchmark and of a bounded sample of documents are factored by a
-   distributed randomised SVD: tasks hold passages, only vocabulary-by-rank products travel.
-   The rank grows until the latent space keeps ``energy`` of the benchmark's own passages.
+2. TF-IDF passages of the benchmark and of all documents are factored by a distributed
+   randomised SVD.  One pass over the documents sums the products of the words' weights in their
+   passages (the Gram matrix, a sparse table of one row per vocabulary word); each power step
+   reads that table, and only vocabulary-by-rank products travel.  The rank grows until the latent space keeps ``energy`` of the benchmark's own passages.
 3. Every window of every document (two neighbouring blocks of words) is projected and compared
    with all benchmark passages by cosine.  A window whose weight on the vocabulary promises less
    than ``margin`` of the threshold is passed over (a margin of 0 tries all).
@@ -17,8 +18,9 @@
    length.  Here only the passage's own words weigh, each by its frequency, so a verbatim
    copy has cosine 1 whatever the corpus.
 
-The document side is one map over the rows: nothing is shuffled but the hits, so hot sources,
-long texts and shared passages cost what their words cost.
+The document side is maps over the rows: nothing is shuffled but word frequencies, word pairs that
+a task has summed, and the hits, so hot sources, long texts and shared passages cost what their
+words cost.
 """
 
 from __future__ import annotations
@@ -27,7 +29,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,10 +37,9 @@ from fernlake.llm import textkernel as tk
 from fernlake.plans.scratch import Scratch
 
 BLOCK = 32
-ROWS = 512
 #: Rare words of a passage that a stretch must hold to be tried; any number finds the same.
 SEEDS = 5
-#: (stretch, passage) counts and seed entries held at once
+#: (stretch, passage) counts and seed entries held at once; a quarter of it for passage entries, word pairs and cells of the Gram matrix
 CELLS = 1 << 22
 
 
@@ -139,78 +139,127 @@ def _frequencies(shared):
     return run
 
 
-def _passage_rows(shared):
-    """TF-IDF passages of sampled documents as (vocabulary index, weight) lists, unit length."""
+def _passages(w: tk.Words, col: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """TF-IDF passages of a batch of texts, unit length: word and weight of all entries by passage, and entries by passage."""
+    words = len(idf) - 1
+    count = np.diff(w.at)
+    passages = -(-count // (2 * BLOCK))
+    first = np.repeat(np.cumsum(passages) - passages, count)
+    passage = first + (np.arange(len(col)) - np.repeat(w.at[:-1], count)) // (2 * BLOCK)
+    key, tf = np.unique(passage * (words + 1) + col, return_counts=True)
+    passage, c = key // (words + 1), key % (words + 1)
+    other = c == words
+    v = tf * idf[c]
+    norm = np.sqrt(np.bincount(passage, np.where(other, tf * idf[-1] ** 2, v * v)))
+    some = ~other & (norm[passage] > 0)
+    passage, c, v = passage[some], c[some], v[some]
+    size = np.bincount(passage)
+    return c, v / norm[passage], size[size > 0]
+
+
+def _products(c: np.ndarray, v: np.ndarray, size: np.ndarray, words: int) -> Iterator[pa.RecordBatch]:
+    """Sums over passages of the products of two words' weights, by word pair with a <= b.
+
+    Words rise within a passage.  Rows of the matrix are taken in strips of a bounded number of cells.
+    """
+    end = np.repeat(np.cumsum(size), size)
+    order = np.argsort(c, kind="stable")
+    strip = max(1, CELLS // 4 // max(1, words))
+    edge = np.searchsorted(c[order], np.arange(0, words + strip, strip))
+    for k in range(len(edge) - 1):
+        e = order[edge[k] : edge[k + 1]]
+        if not len(e):
+            continue
+        low = k * strip
+        m = end[e] - e
+        upto = np.append(0, np.cumsum(m))
+        total = np.zeros(strip * words)
+        i = 0
+        while i < len(e):
+            j = max(i + 1, int(np.searchsorted(upto, upto[i] + CELLS // 4, side="right")) - 1)
+            one = np.repeat(e[i:j], m[i:j])
+            two = one + np.arange(len(one)) - np.repeat(upto[i:j] - upto[i], m[i:j])
+            total += np.bincount((c[one] - low) * words + c[two], v[one] * v[two], minlength=len(total))
+            i = j
+        at = np.flatnonzero(total)
+        arrays = [pa.array(low + at // words, pa.int32()), pa.array(at % words, pa.int32()), pa.array(total[at])]
+        yield pa.RecordBatch.from_arrays(arrays, names=["a", "b", "v"])
+
+
+def _gram(shared):
+    """Word-pair sums of the passages of whole documents; a task holds a bounded number of entries, and a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         vocab, table, idf = shared.value
+        held: list = []
+
+        def flush():
+            if held:
+                c, v, size = (np.concatenate(x) for x in zip(*held, strict=True))
+                held.clear()
+                yield from _products(c, v, size, len(vocab))
+
         for batch in batches:
             for part in tk.slices(batch, "text"):
                 w = tk.words(part.column(1))
-                col = _columns(w.hash, vocab, table)
-                cols, weights = [], []
-                for i in range(part.num_rows):
-                    mine = col[w.at[i] : w.at[i + 1]]
-                    for k in range(0, len(mine), 2 * BLOCK):
-                        c, n = np.unique(mine[k : k + 2 * BLOCK], return_counts=True)
-                        v = n * idf[c]
-                        other = c == len(vocab)
-                        norm = np.sqrt((v[~other] ** 2).sum() + (n[other] * idf[-1] ** 2).sum())
-                        if norm and (~other).any():
-                            cols.append(c[~other])
-                            weights.append(v[~other] / norm)
-                yield pa.RecordBatch.from_arrays([pa.array(cols, pa.list_(pa.int32())), pa.array(weights, pa.list_(pa.float64()))], names=["col", "weight"])
+                held.append(_passages(w, _columns(w.hash, vocab, table), idf))
+                if sum(len(x[0]) for x in held) >= CELLS // 4:
+                    yield from flush()
+        yield from flush()
 
     return run
 
 
-def _gram(shared):
-    """Partial products A'(A X) of a task's passages, in row blocks of the vocabulary."""
+def _gram_of_lists(words: int):
+    """Word-pair sums of passages given as lists."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            c, v = (np.asarray(batch.column(k).flatten()) for k in (0, 1))
+            yield from _products(c.astype(np.int64), v, np.asarray(batch.column(0).value_lengths()), words)
+
+    return run
+
+
+def _gram_rows(pairs: DataFrame) -> DataFrame:
+    """One row per word, of all its products, from word pairs with a <= b of any number of tasks."""
+    sums = pairs.groupBy("a", "b").agg(F.sum("v").alias("v"))
+    one = F.struct(F.col("a").alias("word"), F.col("b").alias("other"), "v")
+    two = F.struct(F.col("b").alias("word"), F.col("a").alias("other"), "v")
+    both = sums.select(F.inline(F.when(F.col("a") == F.col("b"), F.array(one)).otherwise(F.array(one, two))))
+    rows = both.groupBy("word").agg(F.collect_list(F.struct("other", "v")).alias("x"))
+    return rows.select("word", F.col("x.other").alias("col"), F.col("x.v").alias("weight"))
+
+
+def _times(shared):
+    """The product of each row of the Gram matrix and a matrix."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         x = shared.value
-        total = np.zeros_like(x)
         for batch in batches:
-            cols, weights = batch.column(0), batch.column(1)
-            size = np.asarray(cols.value_lengths())
-            if not len(size):
-                continue
-            c, v = np.asarray(cols.flatten()), np.asarray(weights.flatten())
-            owner = np.repeat(np.arange(len(size)), size)
-            y = np.zeros((len(size), x.shape[1]))
-            np.add.at(y, owner, x[c] * v[:, None])
-            np.add.at(total, c, y[owner] * v[:, None])
-        for k in range(0, len(total), ROWS):
-            part = total[k : k + ROWS]
-            if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([k // ROWS], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["block", "part"])
+            c, v = (np.asarray(batch.column(k).flatten()) for k in (1, 2))
+            at = np.append(0, np.cumsum(np.asarray(batch.column(1).value_lengths())))
+            parts = [(v[i:j] @ x[c[i:j]]).tobytes() for i, j in zip(at[:-1], at[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(parts, pa.binary())], names=["word", "part"])
 
     return run
 
 
-def randomised_svd(passages: DataFrame, size: int, rank: int, power: int = 2, extra: int = 8, seed: int = 5) -> np.ndarray:
-    """Leading right singular vectors of a table of passages over `size` words.
+def randomised_svd(gram: DataFrame, size: int, rank: int, power: int = 2, extra: int = 8, seed: int = 5) -> np.ndarray:
+    """Leading right singular vectors of passages over `size` words, by the rows of their Gram matrix.
 
-    Range finder with power steps on the Gram operator; each step is one pass over the passages
-    in which tasks return one vocabulary-by-rank product, summed by row on the executors.
+    Range finder with power steps on the Gram operator; each step is one pass over its rows, of
+    which tasks return one product each.
     """
-    spark = passages.sparkSession
+    spark = gram.sparkSession
     width = min(size, rank + extra)
     q = np.random.default_rng(seed).normal(size=(size, width))
-    schema = "block int, part binary"
-
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(x) for x in pdf["part"])
-        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "part": [total.tobytes()]})
-
     for _ in range(power):
         q, _ = np.linalg.qr(q)
         shared = spark.sparkContext.broadcast(q)
-        sums = passages.mapInArrow(_gram(shared), schema).groupBy("block").applyInPandas(add, schema)
         new = np.zeros_like(q)
-        for x in sums.collect():  # vocabulary by rank in all
-            part = np.frombuffer(x["part"]).reshape(-1, width)
-            new[x["block"] * ROWS : x["block"] * ROWS + len(part)] += part
+        for x in gram.mapInArrow(_times(shared), "word int, part binary").collect():  # vocabulary by rank in all
+            new[x["word"]] = np.frombuffer(x["part"])
         shared.destroy()
         q = new
     u, _, _ = np.linalg.svd(q, full_matrices=False)
@@ -430,7 +479,6 @@ def contaminated(
     answer_words: int = 4,
     energy: float = 0.98,
     max_rank: int = 256,
-    sample_docs: int = 2000,
     max_items: int = 8192,
     max_vocab: int = 1 << 15,
     margin: float = 0.9,
@@ -443,14 +491,14 @@ def contaminated(
     Without an answer column an item's last ``answer_words`` words are its answer.  Null and
     wordless texts on either side match nothing; an item of very few words is held by every text
     that has its share of them.  A pair of ids is returned once, whatever rows repeat them.  Other
-    columns are not read.  ``sample_docs`` bounds the documents the latent space is fitted on;
-    frequencies and the search cover all.  An item's id is an integer.
+    columns are not read.  Frequencies, the latent space and the search cover all documents.  An
+    item's id is an integer.
     ``max_items`` and ``max_vocab`` bound what one part of the benchmark puts in memory (about
     100 MB); they change no document's search but for the latent space's cosine.
     """
     schema = f"id {docs.schema[id_col].dataType.simpleString()}, item_id long, cosine double, lcs double, answer_found boolean"
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    found = [rows.mapInArrow(_search(ready), schema) for ready in _parts(rows, benchmark, item_col, item_text_col, answer_col, cosine, lcs, paraphrase, answer_words, energy, max_rank, sample_docs, max_items, max_vocab, margin, seed)]
+    found = [rows.mapInArrow(_search(ready), schema) for ready in _parts(rows, benchmark, item_col, item_text_col, answer_col, cosine, lcs, paraphrase, answer_words, energy, max_rank, max_items, max_vocab, margin, seed)]
     if not found:
         return docs.sparkSession.createDataFrame([], schema).withColumnRenamed("id", id_col)
     whole = found[0]
@@ -462,7 +510,7 @@ def contaminated(
 
 def _parts(
     rows: DataFrame, benchmark: DataFrame, item_col: str = "item_id", item_text_col: str = "text", answer_col: str | None = None, cosine: float = 0.3, lcs: float = 0.6, paraphrase: float = 0.5,
-    answer_words: int = 4, energy: float = 0.98, max_rank: int = 256, sample_docs: int = 2000, max_items: int = 8192, max_vocab: int = 1 << 15, margin: float = 0.9, seed: int = 5,
+    answer_words: int = 4, energy: float = 0.98, max_rank: int = 256, max_items: int = 8192, max_vocab: int = 1 << 15, margin: float = 0.9, seed: int = 5,
 ) -> Iterator:
     """A broadcast index for each part of the benchmark; a part that is too large is split by a hash."""
     spark = rows.sparkSession
@@ -475,7 +523,7 @@ def _parts(
     while todo:
         parts, k = todo.pop()
         part = items.where(F.pmod(part_of, F.lit(parts)) == k).limit(max_items + 1).toArrow()
-        index = None if part.num_rows > max_items else _index(rows, part, cosine, lcs, paraphrase, answer_words, energy, max_rank, sample_docs, max_vocab, margin, seed)
+        index = None if part.num_rows > max_items else _index(rows, part, cosine, lcs, paraphrase, answer_words, energy, max_rank, max_vocab, margin, seed)
         if index is None:
             todo += [(2 * parts, k), (2 * parts, k + parts)]
         elif index.item:
@@ -483,7 +531,7 @@ def _parts(
 
 
 def _index(
-    rows: DataFrame, items: pa.Table, cosine: float, lcs: float, paraphrase: float, answer_words: int, energy: float, max_rank: int, sample_docs: int, max_vocab: int, margin: float, seed: int
+    rows: DataFrame, items: pa.Table, cosine: float, lcs: float, paraphrase: float, answer_words: int, energy: float, max_rank: int, max_vocab: int, margin: float, seed: int
 ) -> Index | None:
     """What the search for these items needs; None if they have too many words for one part."""
     spark = rows.sparkSession
@@ -529,18 +577,17 @@ def _index(
         sparse.append((c, v))
         reach[c] = np.maximum(reach[c], v)
     with Scratch(spark) as scratch:
-        draw = F.shiftrightunsigned(F.xxhash64(F.col("id").cast("string"), F.lit(seed)), 1) / float(1 << 63)
         model = spark.sparkContext.broadcast((vocab, table, idf))
-        kind = "col array<int>, weight array<double>"
-        drawn = rows.where(draw < sample_docs / there).mapInArrow(_passage_rows(model), kind)
-        # the benchmark's passages weigh as much as the sample, since it is they that are looked for
-        scale = np.sqrt(max(1.0, sample_docs / len(words)))
+        kind = "a int, b int, v double"
+        # the benchmark's passages weigh as much as the documents, since it is they that are looked for
+        scale = np.sqrt(max(1.0, there / len(words)))
         own = pa.table({"col": pa.array([c for c, _ in sparse], pa.list_(pa.int32())), "weight": pa.array([v * scale for _, v in sparse], pa.list_(pa.float64()))})
-        passages = scratch.keep(drawn.union(spark.createDataFrame(own, kind)), "passages").coalesce(8)
+        own = spark.createDataFrame(own, "col array<int>, weight array<double>").mapInArrow(_gram_of_lists(len(vocab)), kind)
+        gram = scratch.keep(_gram_rows(rows.mapInArrow(_gram(model), kind).union(own)), "gram")
         model.destroy()
         rank = min(64, len(vocab))
         while True:
-            basis = randomised_svd(passages, len(vocab), rank, seed=seed)
+            basis = randomised_svd(gram, len(vocab), rank, seed=seed)
             latent = np.stack([v @ basis[c] for c, v in sparse])
             held = (latent**2).sum(axis=1)
             if np.quantile(held, 0.02) >= energy or rank >= min(max_rank, len(vocab)):
