@@ -5,11 +5,12 @@ each word (with word ends marked), hashed to a fixed number of buckets.  Each bu
 average of its features' vectors, and a softmax layer over two classes gives the probability.
 Words keep their case, since shouting is a sign of quality.
 
-Training runs on a bounded number of labelled rows: executors turn their whole texts into
-bucket counts, and numpy runs stochastic gradient descent over these in one task of its own, so
-that the driver sees the model alone.  Scoring needs one number per bucket, because the output
-layer is linear in the average: the difference of the two class logits of each bucket is
-broadcast (8 bytes x buckets, a fixed size).
+Training covers every labelled row.  Executors turn the whole texts into bucket counts, which are
+written once, dealt at random into parts.  In each epoch numpy runs stochastic gradient descent
+over each part in a task of its own, from the same model, and the parts' models are averaged by
+how often each part holds a bucket; so the driver sees the model alone.  Scoring needs one number
+per bucket, because the output layer is linear in the average: the difference of the two class
+logits of each bucket is broadcast (8 bytes x buckets, a fixed size).
 """
 
 from __future__ import annotations
@@ -18,11 +19,17 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fernlake.llm import textkernel as tk
+from fernlake.plans.scratch import Scratch
+
+#: Labelled rows of a part, about, and buckets of a block of a model that is summed at once
+PART_ROWS = 8192
+BLOCK = 512
 
 _M1, _M2, _M3 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D)
 
@@ -90,125 +97,194 @@ def _counts(buckets: int):
         for batch in batches:
             for part in tk.slices(batch, "text"):
                 f, at = features(part, buckets)
-                found, weight = [], []
+                found, times = [], []
                 for i in range(part.num_rows):
                     b, n = np.unique(f[at[i] : at[i + 1]], return_counts=True)
                     found.append(b)
-                    weight.append(n / max(1, n.sum()))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(2), part.column(3), pa.array(found, pa.list_(pa.int32())), pa.array(weight, pa.list_(pa.float32()))],
-                    names=["id", "label", "draw", "bucket", "weight"],
-                )
+                    times.append(n)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int32())), pa.array(times, pa.list_(pa.int32()))], names=["label", "bucket", "n"])
 
     return run
 
 
-def _train(max_pairs: int, *settings):
-    """One task: train on the rows, which come in the order of their draw, while their pairs fit; the model's numbers."""
+def _rows(batches: Iterator[pa.RecordBatch], max_pairs: int | None) -> Iterator[tuple]:
+    """(label, size, bucket, weight) of the rows of each batch, while their pairs fit; a row's weights sum to 1."""
+    held = 0
+    for batch in batches:
+        size = np.asarray(batch.column(1).value_lengths()).astype(np.int64)
+        rows = len(size) if max_pairs is None else int(np.searchsorted(np.cumsum(size), max_pairs - held, side="right"))
+        part = batch.slice(0, rows)
+        size = size[:rows]
+        held += int(size.sum())
+        n = np.asarray(part.column(2).flatten()).astype(np.float64)
+        owner = np.repeat(np.arange(rows), size)
+        yield np.asarray(part.column(0)).astype(np.float64), size, np.asarray(part.column(1).flatten()), n / np.bincount(owner, n, minlength=rows)[owner]
+        if rows < batch.num_rows:
+            return
+
+
+def _heard(max_pairs: int | None, buckets: int):
+    """Rows that hold each bucket; those of class 0 and 1 follow as two more."""
 
     def run(batches: Iterator[pa.RecordBatch]):
-        bucket, weight, label, size, held = [], [], [], [np.zeros(1, np.int64)], 0
-        for batch in batches:
-            n = np.asarray(batch.column(3).value_lengths()).astype(np.int64)
-            rows = int(np.searchsorted(np.cumsum(n), max_pairs - held, side="right"))
-            part = batch.slice(0, rows)
-            bucket.append(np.asarray(part.column(3).flatten()))
-            weight.append(np.asarray(part.column(4).flatten()))
-            label.append(np.asarray(part.column(1)).astype(np.float64))
-            size.append(n[:rows])
-            held += int(n[:rows].sum())
-            if rows < batch.num_rows:
-                break
-        label = np.concatenate(label) if label else np.zeros(0)
-        if len(label) and 0 < label.mean() < 1:
-            model = train_sgd(np.concatenate(bucket), np.concatenate(weight), np.cumsum(np.concatenate(size)), label, *settings)
-            yield pa.RecordBatch.from_arrays([pa.array([model.delta.tobytes()], pa.binary()), pa.array([model.bias])], names=["delta", "bias"])
+        total = np.zeros(buckets + 2, np.int64)
+        for label, _, bucket, _ in _rows(batches, max_pairs):
+            total[:buckets] += np.bincount(bucket, minlength=buckets)
+            total[buckets:] += np.bincount(label.astype(np.int64), minlength=2)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], names=["bucket", "n"])
 
     return run
 
 
+@dataclass
+class Network:
+    vectors: np.ndarray  # buckets x dim
+    out: np.ndarray  # dim x 2
+    bias: np.ndarray
+
+
+def _epoch(shared, max_pairs: int | None):
+    """One epoch of a part: its rows and buckets times its model, in blocks; block -1 is the output layer."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        net, gain, balance, epoch, epochs, part_rows, rate, seed = shared.value
+        net = Network(net.vectors.copy(), net.out.copy(), net.bias.copy())
+        buckets, done = len(gain), 0
+        heard = np.zeros(buckets)
+        for label, size, bucket, weight in _rows(batches, max_pairs):
+            heard += np.bincount(bucket, minlength=buckets)
+            at = np.append(0, np.cumsum(size))
+            train_sgd(net, bucket, weight, at, label, gain, balance, lambda k, before=done: rate * (1 - (epoch + min(1.0, (before + k) / part_rows)) / epochs), [seed, epoch, done])
+            done += len(label)
+        if done:
+            last = np.append(np.append(net.out.ravel(), net.bias) * done, done)
+            blocks, parts = [-1], [last.astype(np.float32).tobytes()]
+            sums = np.column_stack([net.vectors * heard[:, None], heard]).astype(np.float32)
+            for k in range(0, buckets, BLOCK):
+                blocks.append(k // BLOCK)
+                parts.append(sums[k : k + BLOCK].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array(parts, pa.binary())], names=["block", "part"])
+
+    return run
+
+
+def _average(pdf: pd.DataFrame) -> pd.DataFrame:
+    total = sum(np.frombuffer(x, np.float32).astype(np.float64) for x in pdf["part"])
+    return pd.DataFrame({"block": [pdf["block"].iloc[0]], "part": [total.tobytes()]})
+
+
 def fit(
     rows: DataFrame,
     label_col: str,
     id_col: str = "doc_id",
     text_col: str = "text",
     train: Column | None = None,
-    max_rows: int = 3000,
-    max_pairs: int = 1 << 24,
+    labels: DataFrame | None = None,
+    max_rows: int | None = None,
+    max_pairs: int | None = None,
     buckets: int = 1 << 15,
     dim: int = 8,
     epochs: int = 12,
     rate: float = 4.0,
     seed: int = 7,
 ) -> QualityModel:
-    """Fit on rows whose label is 0 or 1.
+    """Fit on all rows whose label is 0 or 1.
+
+    With a table ``labels`` the label is its column, joined to the rows by the id; ``train`` then
+    reads the rows alone.  Rows with a null label teach nothing.
 
-    ``max_rows`` bounds what is fitted: about half of it from each class, taken by a hash of the
-    id, and of these as many as have ``max_pairs`` (text, bucket) pairs in all, 8 bytes each.  Rows
-    with a null label teach nothing; a row with a null id is drawn by its text; repeated rows
-    are drawn together.  Without rows of both classes the model gives every text the share of class
-    1 among the labelled rows (0.5 without any).
+    A caller may bound what is fitted: by ``max_rows``, about half of it from each class, taken by
+    a hash of the id (of the text, if the id is null; repeated rows are drawn together), and by
+    ``max_pairs``, as many of these as have so many (text, bucket) pairs in all, in one task.
+
+    Without rows of both classes the model gives every text the share of class 1 among the labelled
+    rows (0.5 without any).
     """
-    tk.bound_batches(rows.sparkSession)
-    rows = rows.where(train if train is not None else F.lit(True)).where(F.col(label_col).isin(0, 1))
-    rows = rows.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("int").alias("label"))
-    there = {x["label"]: x["count"] for x in rows.groupBy("label").count().collect()}
+    spark = rows.sparkSession
+    tk.bound_batches(spark)
+    rows = rows.where(train if train is not None else F.lit(True))
+    known = F.col(label_col).isin(0, 1)
+    labels = None if labels is None else labels.select(id_col, label_col).where(known)
+    labelled = rows.where(known) if labels is None else rows.join(labels, id_col)
+    there = {int(x[label_col]): x["count"] for x in labelled.groupBy(label_col).count().collect()}
     n1, n = there.get(1, 0), sum(there.values())
     share = np.clip(n1 / n, 1e-6, 1 - 1e-6) if n else 0.5
     flat = QualityModel(np.zeros(buckets), float(np.log(share / (1 - share))), buckets)
     if not n1 or n1 == n:
         return flat
-    # the share of a class that is drawn is never rounded to none
-    rows = rows.withColumn("draw", F.shiftrightunsigned(F.when(F.col("id").isNull(), F.xxhash64("text", F.lit(seed))).otherwise(F.xxhash64("id", F.lit(seed))), 1) / float(1 << 63))
-    limits = {k: max_rows / 2 / v for k, v in there.items()}
-    # the first condition names no label, so it reaches the scan of the texts, before any join with labels
-    limit = F.when(F.col("label") == 1, limits[1]).otherwise(limits[0])
-    rows = rows.where(F.col("draw") < max(limits.values())).where(F.col("draw") < limit)
-    # in units of its class's limit, so that a cut at max_pairs takes both classes alike
-    rows = rows.withColumn("draw", F.col("draw") / limit)
-    counts = rows.mapInArrow(_counts(buckets), "id string, label int, draw double, bucket array<int>, weight array<float>")
-    one = counts.repartition(1).sortWithinPartitions("draw", "id", "label").mapInArrow(_train(max_pairs, buckets, dim, epochs, rate, seed), "delta binary, bias double").first()
-    if one is None:
-        return flat
-    return QualityModel(np.frombuffer(one["delta"]), one["bias"], buckets)
-
-
-def train_sgd(bucket, weight, at, label, buckets: int, dim: int, epochs: int, rate: float, seed: int, batch: int = 16) -> QualityModel:
-    """Mini-batch SGD over averaged embeddings and a two-class softmax; classes weigh the same."""
-    rng = np.random.default_rng(seed)
-    vectors = rng.uniform(-1.0 / dim, 1.0 / dim, (buckets, dim))
-    out, bias = rng.normal(0, 0.1, (dim, 2)), np.zeros(2)
-    share = label.mean()
-    balance = np.where(label == 1, 0.5 / share, 0.5 / (1 - share))
-    n, step, total = len(label), 0, epochs * ((len(label) + batch - 1) // batch)
+    # both sides of the join are dealt into the parts of the training, so that no text is shuffled twice
+    parts = max(1, round(n / PART_ROWS)) if max_rows is None and max_pairs is None else 1
+    if labels is not None:
+        labelled = rows.repartition(parts, id_col).join(labels.repartition(parts, id_col), id_col)
+    text, key = F.col(text_col).cast("string"), F.col(id_col).cast("string")
+    hashed = F.when(key.isNull(), F.xxhash64(text, F.lit(seed))).otherwise(F.xxhash64(key, F.lit(seed)))
+    drawn = labelled.select(F.col(label_col).cast("int").alias("label"), text.alias("text"), key.alias("id"), (F.shiftrightunsigned(hashed, 1) / float(1 << 63)).alias("draw"))
+    if max_rows is not None:
+        # the share of a class that is drawn is never rounded to none
+        limit = F.when(F.col("label") == 1, max_rows / 2 / there[1]).otherwise(max_rows / 2 / there[0])
+        # in units of its class's limit, so that a cut at max_pairs takes both classes alike
+        drawn = drawn.where(F.col("draw") < limit).withColumn("draw", F.col("draw") / limit)
+    if labels is None or parts == 1:
+        drawn = drawn.repartition(parts, "draw") if parts > 1 else drawn.repartition(1)
+    with Scratch(spark) as scratch:
+        counts = drawn.sortWithinPartitions("draw", "id", "label").select("label", "text").mapInArrow(_counts(buckets), "label int, bucket array<int>, n array<int>")
+        counts = scratch.keep(counts, "counts").coalesce(parts)
+        total = np.zeros(buckets + 2)
+        for x in counts.mapInArrow(_heard(max_pairs, buckets), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+            total[x["bucket"]] = x["n"]
+        heard, classes = total[:buckets], total[buckets:]
+        if not classes.all():
+            return flat
+        rng = np.random.default_rng(seed)
+        net = Network(rng.uniform(-1.0 / dim, 1.0 / dim, (buckets, dim)), rng.normal(0, 0.1, (dim, 2)), np.zeros(2))
+        # frequent buckets dominate an average; steps on a bucket are scaled by its rarity
+        gain = 1.0 / np.sqrt(1.0 + heard / max(1.0, heard.mean()))
+        schema = "block int, part binary"
+        for epoch in range(epochs):
+            shared = spark.sparkContext.broadcast((net, gain, 0.5 * classes.sum() / classes, epoch, epochs, classes.sum() / parts, rate, seed))
+            sums = counts.mapInArrow(_epoch(shared, max_pairs), schema).groupBy("block").applyInPandas(_average, schema).collect()
+            for x in sums:  # one model in all
+                part = np.frombuffer(x["part"])
+                if x["block"] < 0:
+                    net.out, net.bias = part[: 2 * dim].reshape(dim, 2) / part[-1], part[2 * dim : -1] / part[-1]
+                    continue
+                part = part.reshape(-1, dim + 1)
+                some = np.flatnonzero(part[:, -1])
+                net.vectors[x["block"] * BLOCK + some] = part[some, :-1] / part[some, -1:]
+            shared.destroy()
+    return QualityModel(net.vectors @ (net.out[:, 1] - net.out[:, 0]), float(net.bias[1] - net.bias[0]), buckets)
+
+
+def train_sgd(net: Network, bucket, weight, at, label, gain, balance, rate, seed, batch: int = 16) -> None:
+    """Mini-batch SGD over averaged embeddings and a two-class softmax, in place; classes weigh the same.
+
+    `rate` gives the rate of a step by the number of rows before it.
+    """
+    vectors, out, bias = net.vectors, net.out, net.bias
+    buckets, dim = vectors.shape
     onehot = np.stack([1 - label, label], axis=1)
-    # frequent buckets dominate an average; steps on a bucket are scaled by its rarity
-    heard = np.bincount(bucket, minlength=buckets)
-    gain = 1.0 / np.sqrt(1.0 + heard / max(1.0, heard.mean()))
-    for _ in range(epochs):
-        order = rng.permutation(n)
-        for k in range(0, n, batch):
-            rows = order[k : k + batch]
-            lens = at[rows + 1] - at[rows]
-            pos = np.repeat(at[rows] - np.cumsum(lens) + lens, lens) + np.arange(lens.sum())
-            b, w = bucket[pos], weight[pos][:, None]
-            owner = np.repeat(np.arange(len(rows)), lens)
-            mean = np.zeros((len(rows), dim))
-            np.add.at(mean, owner, vectors[b] * w) if len(b) < 64 else _sum_rows(mean, owner, vectors[b] * w, lens)
-            z = mean @ out + bias
-            z -= z.max(axis=1, keepdims=True)
-            p = np.exp(z)
-            p /= p.sum(axis=1, keepdims=True)
-            grad = (p - onehot[rows]) * balance[rows][:, None] / len(rows)
-            lr = rate * (1 - step / total)
-            step += 1
-            back = grad @ out.T
-            out -= lr * (mean.T @ grad)
-            bias -= lr * 0.1 * grad.sum(axis=0)
-            delta = back[owner] * w * (lr * 64)
-            for d in range(dim):
-                vectors[:, d] -= np.bincount(b, delta[:, d], minlength=buckets) * gain
-    return QualityModel(vectors @ (out[:, 1] - out[:, 0]), float(bias[1] - bias[0]), buckets)
+    order = np.random.default_rng(seed).permutation(len(label))
+    for k in range(0, len(label), batch):
+        rows = order[k : k + batch]
+        lens = at[rows + 1] - at[rows]
+        pos = np.repeat(at[rows] - np.cumsum(lens) + lens, lens) + np.arange(lens.sum())
+        b, w = bucket[pos], weight[pos][:, None]
+        owner = np.repeat(np.arange(len(rows)), lens)
+        mean = np.zeros((len(rows), dim))
+        np.add.at(mean, owner, vectors[b] * w) if len(b) < 64 else _sum_rows(mean, owner, vectors[b] * w, lens)
+        z = mean @ out + bias
+        z -= z.max(axis=1, keepdims=True)
+        p = np.exp(z)
+        p /= p.sum(axis=1, keepdims=True)
+        grad = (p - onehot[rows]) * balance[label[rows].astype(np.int64)][:, None] / len(rows)
+        lr = rate(k)
+        back = grad @ out.T
+        out -= lr * (mean.T @ grad)
+        bias -= lr * 0.1 * grad.sum(axis=0)
+        delta = back[owner] * w * (lr * 64)
+        for d in range(dim):
+            vectors[:, d] -= np.bincount(b, delta[:, d], minlength=buckets) * gain
 
 
 def _sum_rows(mean: np.ndarray, owner: np.ndarray, values: np.ndarray, lens: np.ndarray) -> None:

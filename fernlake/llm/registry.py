@@ -112,9 +112,8 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_model(spark: SparkSession, sf_dir: str, train=None) -> quality.QualityModel:
-    labels = table(spark, sf_dir, "labels").select("doc_id", "quality").where("quality is not null")
-    rows = table(spark, sf_dir, "documents").select("doc_id", "text").join(labels, "doc_id")
-    return quality.fit(rows, "quality", train=train)
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.fit(rows, "quality", train=train, labels=table(spark, sf_dir, "labels"))
 
 
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
