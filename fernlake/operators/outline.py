@@ -3,11 +3,15 @@
 Lines are taken in segments, so that one long source is the work of many tasks.  Within a segment
 a line's depth follows from windows and its parent from a fold with a stack of open lines; what a
 segment leaves open is a short summary, and summaries are folded in the same way.
+
+``build_nodes`` writes one table, of segments with their lines as they came, and depths and ancestors as
+numbers.  Texts, paths and counts are worked out as that table is read, so that no text is written or
+shuffled a second time but in sources of several segments.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fernlake.functions import text as tx
@@ -33,15 +37,22 @@ def line_features(lines: DataFrame, image_host: str | None = None, check_url: bo
 
     A line that is nothing but an image of `image_host` gets a mark as its text; without a host none does.
     """
-    out = drop_blank_rules(lines).withColumn("indent", tx.indent_level(F.col("line"))).withColumn("header", tx.header_level(F.col("line")))
+    return _described(drop_blank_rules(lines), image_host, check_url)
+
+
+def _described(rows: DataFrame, image_host: str | None, check_url: bool = True) -> DataFrame:
+    out = rows.withColumn("indent", tx.indent_level(F.col("line"))).withColumn("header", tx.header_level(F.col("line")))
     out = out.withColumn("has_unparsed_url", F.col("line").contains("http") if check_url else F.lit(False))
-    out = out.withColumn("raw", tx.strip_bullets(F.col("line")))
-    clean = tx.clean_text(F.col("raw"))
-    return out.withColumn("clean", clean if image_host is None else tx.mask_images(clean, F.col("raw"), image_host))
+    return out.withColumn("raw", tx.strip_bullets(F.col("line"))).withColumn("clean", _clean(F.col("raw"), image_host))
+
+
+def _clean(raw: Column, image_host: str | None) -> Column:
+    clean = tx.clean_text(raw)
+    return clean if image_host is None else tx.mask_images(clean, raw, image_host)
 
 
 def _carried(headers: DataFrame) -> DataFrame:
-    """(source, segment, before, carried) of each segment but the first: header levels in earlier ones, and the last bonus there.
+    """(source, segment, before, carried): header levels in earlier segments, and the last bonus there.
 
     `headers` has source, segment, line_number and header of all lines; only sources of several segments are read on.
     """
@@ -58,7 +69,7 @@ def _carried(headers: DataFrame) -> DataFrame:
     bonus = F.when(n > 0, F.size(F.filter(seen, lambda x: x < F.element_at("inside", -1))))
     each = each.withColumn("before", before).withColumn("bonus", bonus)
     earlier = Window.partitionBy("source").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
-    out = each.withColumn("carried", F.last("bonus", ignorenulls=True).over(earlier)).where("segment > 0")
+    out = each.withColumn("carried", F.last("bonus", ignorenulls=True).over(earlier))
     return out.select(F.col("source").alias("of"), F.col("segment").alias("at"), "before", "carried")
 
 
@@ -70,7 +81,7 @@ def outline_depth(features: DataFrame, segment: int = SEGMENT) -> DataFrame:
     what earlier segments of a long source hold is joined to them.
     """
     rows = features.withColumn("segment", F.floor(F.col("line_number") / segment))
-    carried = _carried(rows.select("source", "segment", "line_number", "header"))
+    carried = _carried(rows.select("source", "segment", "line_number", "header")).where("at > 0")
     rows = rows.join(carried, F.col("source").eqNullSafe(F.col("of")) & (F.col("segment") == F.col("at")), "left")
     w = Window.partitionBy("source", "segment").orderBy("line_number")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
@@ -83,11 +94,18 @@ def outline_depth(features: DataFrame, segment: int = SEGMENT) -> DataFrame:
     return out.where("raw != ''").drop("bonus", "segment", "of", "at", "before", "carried")
 
 
-#: A fold over lines in order: `s` has the lines still open, `p` the parent of each line.
+#: A fold over lines in order: `s` has the lines still open, `p` the parent of each line and `a` the places of its ancestors in `lines`.
 _FOLD = """
-aggregate(lines, named_struct('s', cast(array() as array<struct<d:int,l:bigint>>), 'p', cast(array() as array<bigint>)),
+aggregate(lines, named_struct('s', cast(array() as array<struct<d:int,l:bigint,i:int>>), 'p', cast(array() as array<bigint>), 'a', cast(array() as array<array<int>>)),
   (a, x) -> element_at(transform(array(filter(a.s, y -> y.d < x.depth)), open -> named_struct(
-    's', concat(open, array(named_struct('d', x.depth, 'l', cast(x.line_number as bigint)))), 'p', concat(a.p, array(try_element_at(open, -1).l)))), 1))
+    's', concat(open, array(named_struct('d', x.depth, 'l', cast(x.line_number as bigint), 'i', size(a.p)))), 'p', concat(a.p, array(try_element_at(open, -1).l)), 'a', concat(a.a, array(open.i)))), 1))
+"""
+
+#: What is added to the indent of each line: by the levels seen and the last header's bonus, as in `outline_depth`.
+_ADDED = """
+aggregate(lines, named_struct('v', coalesce(before, cast(array() as array<int>)), 'b', coalesce(carried + 1, 0), 'd', cast(array() as array<int>)),
+  (a, x) -> element_at(transform(array(if(x.header is null, a.b, size(filter(a.v, y -> y < x.header)))), own -> named_struct(
+    'v', if(x.header is null, a.v, array_union(a.v, array(x.header))), 'b', if(x.header is null, a.b, own + 1), 'd', concat(a.d, array(x.indent + own)))), 1)).d
 """
 
 
@@ -98,55 +116,168 @@ def _folded(rows: DataFrame, *names: str) -> DataFrame:
     return out.select("source", "segment", "lines", F.col("f.s").alias("open"), F.col("f.p").alias("parents"))
 
 
+def _far(scratch: Scratch, cur: DataFrame, reach: int) -> DataFrame | None:
+    """(of, at, far): the parent of each line that has one in an earlier segment, by source and line number; None without such lines.
+
+    `cur` holds folded segments.  A line without a parent in its segment is looked up among the lines that
+    earlier segments leave open: these and the lines in question form a much shorter outline, which is folded
+    in segments again, `reach` old ones to a new one, until each source is one segment.
+    """
+    found = None
+    rows = cur.select("source", "segment", F.inline(F.arrays_zip(F.col("lines.line_number").alias("line_number"), F.col("lines.depth").alias("depth"), F.col("parents").alias("parent_line"))))
+    seeking = rows.where("parent_line is null and segment > 0").select("source", "segment", F.col("line_number").cast("long").alias("line_number"), "depth")
+    while not seeking.limit(1).isEmpty():
+        left_open = cur.select("source", "segment", F.inline("open")).select("source", "segment", F.col("l").alias("line_number"), F.col("d").alias("depth"), F.lit(False).alias("seeks"))
+        rows = seeking.withColumn("seeks", F.lit(True)).unionByName(left_open).groupBy("source", "segment", "line_number", "depth").agg(F.max("seeks").alias("seeks"))
+        cur = scratch.keep(_folded(rows.withColumn("segment", F.floor(F.col("segment") / reach)), "seeks"), "open")
+        flat = cur.select("source", "segment", F.inline(F.arrays_zip(F.col("lines").alias("line"), F.col("parents").alias("parent_line")))).where("line.seeks")
+        got = flat.where("parent_line is not null").select(F.col("source").alias("of"), F.col("line.line_number").alias("at"), F.col("parent_line").alias("far"))
+        found = got if found is None else found.union(got)
+        seeking = flat.where("parent_line is null and segment > 0").select("source", "segment", F.col("line.line_number").alias("line_number"), F.col("line.depth").alias("depth"))
+    return found
+
+
+def _named(nodes: DataFrame) -> DataFrame:
+    node = lambda c: F.concat_ws(":", "source", F.col(c).cast("string"))
+    return nodes.withColumn("node_id", node("line_number")).withColumn("parent_id", F.when(F.col("parent_line").isNotNull(), node("parent_line")))
+
+
 def outline_parent(nodes: DataFrame, max_depth: int | None = None, segment: int = SEGMENT, reach: int = 16) -> DataFrame:
     """parent_line: the nearest earlier line of the same source with a smaller depth.
 
-    Segments of `segment` lines are folded with a stack each.  A line without a parent in its segment is
-    looked up among the lines that earlier segments leave open: these and the lines in question form a
-    much shorter outline, which is folded in segments again, `reach` old ones to a new one, until each source is
-    one segment.  With a small known `max_depth` one running maximum per depth does it without folds.
+    Segments of `segment` lines are folded with a stack each; what they leave open is folded again (`_far`).
+    With a small known `max_depth` one running maximum per depth does it without folds.
     """
-    node = lambda c: F.concat_ws(":", "source", F.col(c).cast("string"))
-    named = lambda df: df.withColumn("node_id", node("line_number")).withColumn("parent_id", F.when(F.col("parent_line").isNotNull(), node("parent_line")))
     kind = nodes.schema["line_number"].dataType
     if max_depth is not None:
         w = Window.partitionBy("source").orderBy("line_number").rowsBetween(Window.unboundedPreceding, -1)
         terms = [F.when(F.col("depth") > k, F.max(F.when(F.col("depth") == k, F.col("line_number"))).over(w)) for k in range(max_depth)]
-        return named(nodes.withColumn("parent_line", F.greatest(*terms) if len(terms) > 1 else terms[0] if terms else F.lit(None).cast(kind)))
+        return _named(nodes.withColumn("parent_line", F.greatest(*terms) if len(terms) > 1 else terms[0] if terms else F.lit(None).cast(kind)))
     spark = nodes.sparkSession
     others = [c for c in nodes.columns if c not in ("source", "line_number", "depth")]
     with Scratch(spark) as scratch:
-        first = _folded(nodes.withColumn("segment", F.floor(F.col("line_number") / segment)), *others)
-        cur = scratch.keep(first, "segments")
-        pair = F.arrays_zip(F.col("lines").alias("line"), F.col("parents").alias("parent_line"))
-        flat = cur.select("source", "segment", F.inline(pair))
+        cur = scratch.keep(_folded(nodes.withColumn("segment", F.floor(F.col("line_number") / segment)), *others), "segments")
+        flat = cur.select("source", "segment", F.inline(F.arrays_zip(F.col("lines").alias("line"), F.col("parents").alias("parent_line"))))
         out = flat.select("source", F.col("line.*"), F.col("parent_line").cast(kind).alias("parent_line"))
-        found = None
-        seeking = flat.where("parent_line is null and segment > 0").select("source", "segment", F.col("line.line_number").cast("long").alias("line_number"), F.col("line.depth").alias("depth"))
-        while not seeking.limit(1).isEmpty():
-            left_open = cur.select("source", "segment", F.inline("open")).select("source", "segment", F.col("l").alias("line_number"), F.col("d").alias("depth"), F.lit(False).alias("seeks"))
-            rows = seeking.withColumn("seeks", F.lit(True)).unionByName(left_open).groupBy("source", "segment", "line_number", "depth").agg(F.max("seeks").alias("seeks"))
-            cur = scratch.keep(_folded(rows.withColumn("segment", F.floor(F.col("segment") / reach)), "seeks"), "open")
-            flat = cur.select("source", "segment", F.inline(F.arrays_zip(F.col("lines").alias("line"), F.col("parents").alias("parent_line")))).where("line.seeks")
-            got = flat.where("parent_line is not null").select(F.col("source").alias("of"), F.col("line.line_number").alias("at"), F.col("parent_line").alias("far"))
-            found = got if found is None else found.union(got)
-            seeking = flat.where("parent_line is null and segment > 0").select("source", "segment", F.col("line.line_number").alias("line_number"), F.col("line.depth").alias("depth"))
+        found = _far(scratch, cur, reach)
         if found is not None:
             far = F.col("source").eqNullSafe(F.col("of")) & (F.col("line_number") == F.col("at"))
             out = out.join(found, far, "left").withColumn("parent_line", F.coalesce("parent_line", F.col("far").cast(kind))).drop("of", "at", "far")
-        return scratch.keep(named(out.select(*nodes.columns, "parent_line")), "nodes", last=True)
+        return scratch.keep(_named(out.select(*nodes.columns, "parent_line")), "nodes", last=True)
+
+
+_SAME = lambda of, at: F.col("source").eqNullSafe(F.col(of)) & (F.col("segment") == F.col(at))
+
+
+def _segmented(scratch: Scratch, lines: DataFrame, image_host: str | None, segment: int = SEGMENT, reach: int = 16) -> tuple[DataFrame, DataFrame | None]:
+    """The table of folded segments, and what segments of long sources need of earlier ones (None where no line does).
+
+    Segments have source, segment, several (whether the source has more of them), lines (structs of line_number, depth, line
+    and further columns), open, parents and ancestors.  What they need: of, on, `seeks` from a line to its parent in an
+    earlier segment, and `chains` from that parent to its clean text and those above it.
+    """
+    others = [c for c in lines.columns if c not in ("source", "line_number")]
+    rows = drop_blank_rules(lines).withColumn("segment", F.floor(F.col("line_number") / segment)).withColumn("header", tx.header_level(F.col("line")))
+    earlier = _carried(rows.select("source", "segment", "line_number", "header")).select(F.col("of").alias("source"), F.col("at").alias("segment"), "before", "carried", F.lit(True).alias("several"))
+    one = F.struct("line_number", tx.indent_level(F.col("line")).alias("indent"), "header", (tx.strip_bullets(F.col("line")) != "").alias("kept"), *others)
+    # what earlier segments hold is one more row of the segment, so that lines are shuffled once
+    rows = rows.select("source", "segment", one.alias("one")).unionByName(earlier, allowMissingColumns=True)
+    first = lambda c: F.first(c, ignorenulls=True).alias(c)
+    rows = rows.groupBy("source", "segment").agg(F.array_sort(F.collect_list("one")).alias("lines"), first("before"), first("carried"), F.coalesce(F.max("several"), F.lit(False)).alias("several"))
+    rows = rows.withColumn("depths", F.expr(_ADDED))
+    placed = F.zip_with("lines", "depths", lambda x, d: F.struct(x["line_number"].alias("line_number"), d.alias("depth"), x["kept"].alias("kept"), *(x[c].alias(c) for c in others)))
+    rows = rows.select("source", "segment", "several", F.filter(placed, lambda x: x["kept"]).alias("lines")).withColumn("f", F.expr(_FOLD))
+    segments = scratch.keep(rows.select("source", "segment", "several", "lines", F.col("f.s").alias("open"), F.col("f.p").alias("parents"), F.col("f.a").alias("ancestors")), "segments", last=True)
+    found = _far(scratch, segments, reach)
+    if found is None:
+        return segments, None
+    found = scratch.keep(found.groupBy("of", "at").agg(F.max("far").alias("far")), "far")
+    # lines left open are each other's ancestors; only those that later segments look for are taken
+    up_to = _with_texts(image_host, lambda t: F.transform("open", lambda y, k: F.struct(y["l"].alias("l"), F.col("open")[0]["l"].alias("root"), F.transform(F.slice("open", 1, k + 1), lambda z: F.get(t, z["i"])).alias("piece"))))
+    pieces = segments.where("several").select("source", F.inline(up_to))
+    same = lambda of, l, at: F.col("source").eqNullSafe(F.col(of)) & (F.col(l) == F.col(at))
+    wanted = found.select(F.col("of").alias("wanted_of"), F.col("far").alias("wanted")).distinct()
+    pieces = pieces.join(wanted, same("wanted_of", "l", "wanted"), "left_semi").join(found, same("of", "root", "at"), "left")
+    pieces = scratch.keep(pieces.groupBy("source", "l").agg(F.max(F.struct("piece", F.col("far").alias("above"))).alias("x")).select("source", "l", "x.*"), "pieces")
+    while not pieces.where("above is not null").limit(1).isEmpty():
+        head = pieces.select(F.col("source").alias("head_of"), F.col("l").alias("head"), F.col("piece").alias("head_piece"), F.col("above").alias("beyond"))
+        far = pieces.join(dealt_anew(head, "head_of", "head"), same("head_of", "above", "head"), "left")
+        new = scratch.keep(far.select("source", "l", F.when(F.col("head").isNull(), F.col("piece")).otherwise(F.concat("head_piece", "piece")).alias("piece"), F.col("beyond").alias("above")), "pieces")
+        scratch.drop(pieces)
+        pieces = new
+    needs = found.withColumn("on", F.floor(F.col("at") / segment))
+    seeks = needs.groupBy("of", "on").agg(F.map_from_entries(F.collect_list(F.struct("at", "far"))).alias("seeks"))
+    chains = needs.select(F.col("of").alias("source"), "on", "far").distinct().join(pieces.withColumnRenamed("source", "piece_of"), same("piece_of", "far", "l"))
+    chains = chains.groupBy(F.col("source").alias("chain_of"), F.col("on").alias("chain_on")).agg(F.map_from_entries(F.collect_list(F.struct("far", "piece"))).alias("chains"))
+    needs = seeks.join(chains, F.col("of").eqNullSafe(F.col("chain_of")) & (F.col("on") == F.col("chain_on"))).select("of", "on", "seeks", "chains")
+    needs = scratch.keep(needs, "needs", last=True)
+    for table in (found, pieces):
+        scratch.drop(table)
+    return segments, needs
+
+
+def _with_texts(image_host: str | None, use) -> Column:
+    """What `use` makes of the array of a segment's clean texts, which are worked out once."""
+    texts = F.transform("lines", lambda x: _clean(tx.strip_bullets(x["line"]), image_host))
+    return F.transform(F.array(texts), use)[0]
+
+
+def _flat(segments: DataFrame, needs: DataFrame | None, names: list[str], image_host: str | None, chain: bool, facts: DataFrame | None = None) -> DataFrame:
+    """The nodes of a table of segments, worked out as it is read; with `chain` a column of the clean texts from the root to the node.
+
+    `facts` has of, on and `facts`, a map from line numbers to a struct, which becomes a column.
+    """
+    kind = segments.schema["lines"].dataType.elementType["line_number"].dataType
+    inside = lambda t: F.zip_with("ancestors", t, lambda a, own: F.concat(F.transform(a, lambda i: F.get(t, i)), F.array(own)))
+    root = lambda a, k: F.get("lines", F.coalesce(F.get(a, F.lit(0)), k))["line_number"].cast("long")
+    sought = lambda at: F.try_element_at(F.col("seeks"), at)
+    columns = ["source", "segment", "lines", "parents", *(["ancestors"] if chain else [])]
+
+    def worked_out(part: DataFrame, far: bool) -> DataFrame:
+        parents = F.zip_with("parents", "lines", lambda p, x: F.coalesce(p, sought(x["line_number"].cast("long")))) if far else F.col("parents")
+        out = part.withColumn("parents", parents)
+        if not chain:
+            return out.select(*columns)
+        out = out.withColumn("chain", _with_texts(image_host, inside))
+        if far:
+            above = F.transform("ancestors", lambda a, k: F.coalesce(F.try_element_at(F.col("chains"), sought(root(a, k))), F.expr("cast(array() as array<string>)")))
+            out = out.withColumn("chain", F.zip_with(above, "chain", lambda a, own: F.concat(a, own)))
+        return out.select(*columns, "chain")
+
+    def joined(part: DataFrame) -> DataFrame:
+        return part if facts is None else part.join(facts.withColumnsRenamed({"of": "fact_of", "on": "fact_on"}), _SAME("fact_of", "fact_on"), "left")
+
+    columns += ["facts"] * (facts is not None)
+    if needs is None:
+        rows = worked_out(joined(segments), False)
+    else:
+        rows = worked_out(joined(segments.where("not several")), False)
+        rows = rows.unionByName(worked_out(joined(segments.where("several").join(needs, _SAME("of", "on"), "left")), True))
+    parts = [F.col("lines").alias("line"), F.col("parents").alias("parent_line")] + [F.col("chain")] * chain
+    if facts is not None:
+        parts.append(F.transform("lines", lambda x: F.try_element_at(F.col("facts"), x["line_number"].cast("long"))).alias("fact"))
+    rows = rows.select("source", F.inline(F.arrays_zip(*parts)))
+    others = [c for c in names if c not in ("source", "line_number")]
+    rows = rows.select(
+        "source", *(F.col(f"line.{c}").alias(c) for c in ("line_number", "depth", *others)), F.col("parent_line").cast(kind).alias("parent_line"), *(["chain"] if chain else []), *(["fact"] if facts is not None else [])
+    )
+    return _named(_described(rows, image_host))
 
 
 def outline_path(nodes: DataFrame) -> DataFrame:
     """crumbs, text and path: source, the ancestors' clean texts and the own, without '...' items.
 
-    A node's piece of path grows by that of the ancestor it has reached, which then points twice as far
+    Nodes with a column `chain`, of these texts, have their path from it, and nothing is written.  Of others, a node's piece of path grows by that of the ancestor it has reached, which then points twice as far
     up; the number of rounds is logarithmic in the greatest depth.  The whole is split on '>' again.
     """
     spark = nodes.sparkSession
+    shown = lambda c: F.filter(c, lambda x: x.isNull() | (x != "..."))
+    split = lambda piece: tx.node_text_split(F.array_join(F.concat(shown(F.array("source")), piece), " > "))
+    if "chain" in nodes.columns:
+        got = nodes.withColumn("__split", split(shown(F.col("chain"))))
+        return got.withColumn("text", F.col("__split.text")).withColumn("path", F.col("__split.path")).drop("chain", "__split")
     with Scratch(spark) as scratch:
-        own = F.filter(F.array("clean"), lambda x: x.isNull() | (x != "..."))
-        base = scratch.keep(nodes.select("node_id", "source", F.col("parent_id").alias("above"), own.alias("piece")), "pieces")
+        base = scratch.keep(nodes.select("node_id", "source", F.col("parent_id").alias("above"), shown(F.array("clean")).alias("piece")), "pieces")
         # a parent's depth is the smaller one, so that chains have no more nodes than there are depths
         deepest = nodes.agg(F.max(F.col("depth") - F.lit(0))).first()[0] if "depth" in nodes.columns else None
         span, done = 1, [base.where("above is null")]
@@ -163,10 +294,7 @@ def outline_path(nodes: DataFrame) -> DataFrame:
         whole = done[0]
         for d in done[1:]:
             whole = whole.unionByName(d)
-        chain = F.concat(F.filter(F.array("source"), lambda x: x.isNull() | (x != "...")), "piece")
-        crumbs = F.array_join(chain, " > ")
-        split = tx.node_text_split(crumbs)
-        paths = whole.select(F.col("node_id").alias("__id"), split["text"].alias("text"), split["path"].alias("path"))
+        paths = whole.select(F.col("node_id").alias("__id"), split(F.col("piece"))["text"].alias("text"), split(F.col("piece"))["path"].alias("path"))
         return scratch.keep(nodes.join(paths, F.col("node_id") == F.col("__id")).drop("__id"), "paths", last=True)
 
 
@@ -220,9 +348,15 @@ def parsed_links(nodes: DataFrame, linked: DataFrame) -> DataFrame:
     return out.withColumn("has_unparsed_url", F.col("has_unparsed_url") & ~F.col("has_parsed_url")).drop("found")
 
 
-def build_nodes(lines: DataFrame, image_host: str | None = None) -> DataFrame:
-    """Lines to nodes with depth and parent."""
-    return outline_parent(outline_depth(line_features(lines, image_host)))
+def build_nodes(lines: DataFrame, image_host: str | None = None, chain: bool = False, segment: int = SEGMENT, reach: int = 16) -> DataFrame:
+    """Lines to nodes with depth and parent, as `outline_depth` and `outline_parent` make them, from one table of segments.
+
+    What is written are the kept lines as they came, with numbers; all else is worked out when the result is read.  With
+    `chain` nodes have the clean texts from their root to themselves, from which `outline_path` makes paths without a join.
+    """
+    with Scratch(lines.sparkSession) as scratch:
+        segments, needs = _segmented(scratch, lines, image_host, segment, reach)
+    return _flat(segments, needs, lines.columns, image_host, chain)
 
 
 def ingest_pipeline(lines: DataFrame, linked: DataFrame | None = None, stored: DataFrame | None = None, image_host: str | None = None) -> DataFrame:
