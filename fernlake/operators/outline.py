@@ -316,10 +316,13 @@ def restore_unparsed_text(nodes: DataFrame) -> DataFrame:
 
 
 def prune_empty_leaves(nodes: DataFrame) -> DataFrame:
-    """Drop nodes without text, URL and children, once; a node emptied by this stays."""
+    """Drop nodes without text, URL and children, once; a node emptied by this stays.
+
+    Nodes without text alone are looked up among the parents; the others are not shuffled.
+    """
+    blank = F.coalesce(F.expr("text = '' and not has_unparsed_url and node_id is not null"), F.lit(False))
     inner = nodes.where("parent_id is not null").select(F.col("parent_id").alias("node_id")).distinct()
-    empty = nodes.where("text = '' and not has_unparsed_url").join(inner, "node_id", "left_anti").select("node_id")
-    return nodes.join(empty, "node_id", "left_anti")
+    return nodes.where(~blank).unionByName(nodes.where(blank).join(inner, "node_id", "left_semi").select(*nodes.columns))
 
 
 def graft_documents(nodes: DataFrame, linked: DataFrame) -> DataFrame:
@@ -342,10 +345,11 @@ def graft_documents(nodes: DataFrame, linked: DataFrame) -> DataFrame:
 
 
 def parsed_links(nodes: DataFrame, linked: DataFrame) -> DataFrame:
-    """The nodes with has_parsed_url set, and has_unparsed_url cleared, where a linked document exists."""
+    """The nodes with has_parsed_url set, and has_unparsed_url cleared, where a linked document exists; those without a url are not shuffled."""
     there = linked.select("url").distinct().withColumn("found", F.lit(True))
-    out = nodes.join(there, "url", "left").withColumn("has_parsed_url", F.coalesce("found", F.lit(False)))
-    return out.withColumn("has_unparsed_url", F.col("has_unparsed_url") & ~F.col("has_parsed_url")).drop("found")
+    out = nodes.where("url is not null").join(there, "url", "left").withColumn("has_parsed_url", F.coalesce("found", F.lit(False))).drop("found")
+    out = out.unionByName(nodes.where("url is null").withColumn("has_parsed_url", F.lit(False)))
+    return out.withColumn("has_unparsed_url", F.col("has_unparsed_url") & ~F.col("has_parsed_url"))
 
 
 def build_nodes(lines: DataFrame, image_host: str | None = None, chain: bool = False, segment: int = SEGMENT, reach: int = 16) -> DataFrame:
