@@ -178,7 +178,8 @@ def _segmented(scratch: Scratch, lines: DataFrame, image_host: str | None, segme
     """
     others = [c for c in lines.columns if c not in ("source", "line_number")]
     rows = drop_blank_rules(lines).withColumn("segment", F.floor(F.col("line_number") / segment)).withColumn("header", tx.header_level(F.col("line")))
-    earlier = _carried(rows.select("source", "segment", "line_number", "header")).select(F.col("of").alias("source"), F.col("at").alias("segment"), "before", "carried", F.lit(True).alias("several"))
+    headers = scratch.keep(rows.select("source", "segment", "line_number", "header"), "headers")
+    earlier = _carried(headers).select(F.col("of").alias("source"), F.col("at").alias("segment"), "before", "carried", F.lit(True).alias("several"))
     one = F.struct("line_number", tx.indent_level(F.col("line")).alias("indent"), "header", (tx.strip_bullets(F.col("line")) != "").alias("kept"), *others)
     # what earlier segments hold is one more row of the segment, so that lines are shuffled once
     rows = rows.select("source", "segment", one.alias("one")).unionByName(earlier, allowMissingColumns=True)
@@ -330,7 +331,8 @@ def graft_documents(nodes: DataFrame, linked: DataFrame) -> DataFrame:
 
     `nodes` has node_id, source, line_number, depth, path, text and url; `linked` has url and its own
     node_id, depth, parent_id, path, text.  A grafted node's depth grows by the linking depth + 1,
-    its path follows the linking path, and its roots get the linking node as parent.
+    its path follows the linking path, and its roots get the linking node as parent.  A column n_children
+    of `linked` stays.
     """
     host = nodes.where("url is not null").select(
         F.col("node_id").alias("host_id"), "url", F.col("source").alias("host_source"), F.col("line_number").alias("host_line"), F.col("depth").alias("host_depth"), F.col("path").alias("host_path")
@@ -341,6 +343,7 @@ def graft_documents(nodes: DataFrame, linked: DataFrame) -> DataFrame:
         name("node_id").alias("node_id"), F.col("host_source").alias("source"), F.col("host_line").alias("line_number"),
         (F.col("depth") + F.col("host_depth") + 1).alias("depth"), F.concat("host_path", "path").alias("path"), "text",
         F.when(F.col("parent_id").isNull(), F.col("host_id")).otherwise(name("parent_id")).alias("parent_id"), F.lit(True).alias("from_external"),
+        *(["n_children"] if "n_children" in linked.columns else []),
     )
 
 
@@ -363,20 +366,84 @@ def build_nodes(lines: DataFrame, image_host: str | None = None, chain: bool = F
     return _flat(segments, needs, lines.columns, image_host, chain)
 
 
-def ingest_pipeline(lines: DataFrame, linked: DataFrame | None = None, stored: DataFrame | None = None, image_host: str | None = None) -> DataFrame:
+def _finished(linked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Linked documents without their empty leaves and with n_children, and (at_url, roots, kept_roots) of each url.
+
+    What is grafted below a host is a whole document, so its leaves and children are found once for all hosts.
+    """
+    inner = linked.where("parent_id is not null").select(F.col("url").alias("in_url"), F.col("parent_id").alias("in_id")).distinct()
+    blank, flat = F.coalesce(F.col("text") == "", F.lit(False)), inner.limit(1).isEmpty()
+    root, none = F.col("parent_id").isNull().cast("long"), F.lit(0).cast("long")
+    kept = linked.where(~blank)
+    if flat:
+        counted = kept.withColumn("n_children", none)
+        each = linked.select("url", root.alias("roots"), F.when(blank, none).otherwise(root).alias("kept_roots"))
+    else:
+        same = lambda of, at: (F.col("url") == F.col(of)) & (F.col("node_id") == F.col(at))
+        kept = kept.unionByName(linked.where(blank).join(inner, same("in_url", "in_id"), "left_semi"))
+        kids = kept.where("parent_id is not null").groupBy(F.col("url").alias("of_url"), F.col("parent_id").alias("of_id")).agg(F.count(F.lit(1)).alias("n"))
+        counted = kept.join(kids, same("of_url", "of_id"), "left").withColumn("n_children", F.coalesce("n", none)).drop("of_url", "of_id", "n")
+        each = linked.select("url", root.alias("roots"), none.alias("kept_roots")).union(kept.select("url", none, root))
+    return counted, each.where("url is not null").groupBy(F.col("url").alias("at_url")).agg(F.sum("roots").alias("roots"), F.sum("kept_roots").alias("kept_roots"))
+
+
+def _facts(nodes: DataFrame, urls: DataFrame | None, segment: int = SEGMENT) -> DataFrame:
+    """(of, on, facts): by segment, a map from lines to whether their link is parsed, whether they are pruned, and their children that stay.
+
+    `nodes` has source, line_number, parent_line, blank, has_unparsed_url and url, and no text.
+    """
+    none = F.lit(0).cast("long")
+    apart = {"parsed": F.lit(False), "roots": none, "kept_roots": none}
+    if urls is None:
+        rows = nodes.withColumns(apart)
+    else:
+        hosts = nodes.where("url is not null").join(urls, F.col("url") == F.col("at_url"), "left").withColumn("parsed", F.col("at_url").isNotNull())
+        hosts = hosts.withColumns({c: F.coalesce(c, none) for c in ("roots", "kept_roots")}).drop("at_url")
+        rows = hosts.unionByName(nodes.where("url is null").withColumns(apart))
+    empty = F.coalesce(F.expr("blank and (not has_unparsed_url or parsed) and roots = 0"), F.lit(False))
+    inner = nodes.where("parent_line is not null").select(F.col("source").alias("in_source"), F.col("parent_line").alias("in_line")).distinct()
+    leaf = F.col("source").eqNullSafe(F.col("in_source")) & (F.col("line_number") == F.col("in_line"))
+    rows = rows.withColumn("empty", empty)
+    gone = rows.where("empty").join(inner, leaf, "left_anti").withColumn("gone", F.lit(True))
+    stay = rows.where("not empty").unionByName(rows.where("empty").join(inner, leaf, "left_semi")).withColumn("gone", F.lit(False))
+    own = gone.unionByName(stay).select("source", "line_number", "parsed", "gone", F.col("kept_roots").alias("n")).where("parsed or gone or n > 0")
+    kids = stay.where("parent_line is not null").select("source", F.col("parent_line").alias("line_number"), F.lit(False).alias("parsed"), F.lit(False).alias("gone"), F.lit(1).cast("long").alias("n"))
+    each = own.unionByName(kids).groupBy("source", "line_number").agg(F.max("parsed").alias("parsed"), F.max("gone").alias("gone"), F.sum("n").alias("n"))
+    one = F.struct(F.col("line_number").cast("long").alias("l"), F.struct("parsed", "gone", "n").alias("fact"))
+    return each.groupBy(F.col("source").alias("of"), F.floor(F.col("line_number") / segment).alias("on")).agg(F.map_from_entries(F.collect_list(one)).alias("facts"))
+
+
+def ingest_pipeline(
+    lines: DataFrame, linked: DataFrame | None = None, stored: DataFrame | None = None, image_host: str | None = None, segment: int = SEGMENT, reach: int = 16
+) -> DataFrame:
     """Lines to the finished tree: paths, linked documents grafted, texts restored, empty leaves pruned, children counted.
 
     `linked` is as for `graft_documents`.  A store that already has rows is returned as it is;
-    an outcome without rows is an error.
+    an outcome without rows is an error.  Leaves are pruned and children counted on numbers alone, as
+    `prune_empty_leaves` and `child_counts` would; what they find meets the texts by segments, before paths are made.
     """
     if stored is not None and not stored.limit(1).isEmpty():
         return stored
-    nodes = outline_path(build_nodes(lines, image_host))
+    with Scratch(lines.sparkSession) as scratch:
+        segments, needs = _segmented(scratch, lines, image_host, segment, reach)
+        url = lambda df: df if linked is None else df.withColumn("url", F.when(F.col("has_unparsed_url"), tx.extract_link(F.col("line"))["url"]))
+        nodes = url(outline_path(_flat(segments, needs, lines.columns, image_host, True)))
+        counted, urls = (None, None) if linked is None else _finished(linked)
+        light = ["source", "line_number", "parent_line", (F.col("text") == "").alias("blank"), "has_unparsed_url"]
+        if linked is None:
+            light = scratch.keep(nodes.select(*light, F.lit(None).cast("string").alias("url")), "light")
+        else:
+            light = scratch.keep(nodes.select(*light, "url", "node_id", "depth", F.when(F.col("url").isNotNull(), F.col("path")).alias("path")), "light", last=True)
+        facts = scratch.keep(_facts(light.drop("node_id", "depth", "path"), urls, segment), "facts", last=True)
+        bare = light.where("not blank or blank is null").limit(1).isEmpty()
+    out = url(outline_path(_flat(segments, needs, lines.columns, image_host, True, facts))).where("not coalesce(fact.gone, false)")
+    out = out.withColumn("n_children", F.coalesce("fact.n", F.lit(0)).cast("long"))
+    if linked is not None:
+        out = out.withColumn("has_parsed_url", F.coalesce("fact.parsed", F.lit(False))).withColumn("has_unparsed_url", F.col("has_unparsed_url") & ~F.col("has_parsed_url"))
+    out = restore_unparsed_text(out.drop("fact"))
     if linked is not None:
-        nodes = nodes.withColumn("url", F.when(F.col("has_unparsed_url"), tx.extract_link(F.col("line"))["url"]))
-        grafted = graft_documents(nodes, linked).withColumn("has_unparsed_url", F.lit(False))
-        nodes = parsed_links(nodes, linked).unionByName(grafted, allowMissingColumns=True)
-    out = child_counts(prune_empty_leaves(restore_unparsed_text(nodes)))
-    if out.limit(1).isEmpty():
+        grafted = graft_documents(light, counted).withColumn("has_unparsed_url", F.lit(False))
+        out = out.unionByName(grafted, allowMissingColumns=True)
+    if bare and out.limit(1).isEmpty():
         raise ValueError("the outlines hold no text")
     return out
