@@ -32,14 +32,14 @@ def _small_star(down: DataFrame) -> DataFrame:
     return rows.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).distinct()
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60, sweep: bool = False) -> DataFrame:
     """(node, component) for every node that has an edge; component = smallest node of it.
 
     Ids are of one orderable type.  Edges with a null end and self loops link nothing; repeated
-    edges count once; an empty table gives an empty result.
+    edges count once; an empty table gives an empty result.  `sweep` is that of `Scratch`.
     """
     spark = edges.sparkSession
-    with Scratch(spark) as scratch:
+    with Scratch(spark, sweep) as scratch:
         linked = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
         down = linked.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b"))
         cur = scratch.keep(_small_star(down), "edges")

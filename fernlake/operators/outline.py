@@ -301,9 +301,10 @@ def outline_path(nodes: DataFrame) -> DataFrame:
 
 def child_lists(nodes: DataFrame) -> DataFrame:
     """(node_id, child_ids, child_texts) per parent, children in line order."""
-    part = F.struct("line_number", "node_id", "clean")
-    kids = nodes.where("parent_id is not null").groupBy("parent_id").agg(F.array_sort(F.collect_list(part)).alias("kids"))
-    return kids.select(F.col("parent_id").alias("node_id"), F.col("kids.node_id").alias("child_ids"), F.col("kids.clean").alias("child_texts"))
+    listed = lambda c, *names: F.array_sort(F.collect_list(F.struct("line_number", "node_id", *names)))[c]
+    kids = nodes.where("parent_id is not null").groupBy("parent_id")
+    # two lists, so that a reader of the ids alone needs no texts
+    return kids.agg(listed("node_id").alias("child_ids"), listed("clean", "clean").alias("child_texts")).withColumnRenamed("parent_id", "node_id")
 
 
 def child_counts(nodes: DataFrame) -> DataFrame:
@@ -361,7 +362,7 @@ def build_nodes(lines: DataFrame, image_host: str | None = None, chain: bool = F
     What is written are the kept lines as they came, with numbers; all else is worked out when the result is read.  With
     `chain` nodes have the clean texts from their root to themselves, from which `outline_path` makes paths without a join.
     """
-    with Scratch(lines.sparkSession) as scratch:
+    with Scratch(lines.sparkSession, sweep=True) as scratch:
         segments, needs = _segmented(scratch, lines, image_host, segment, reach)
     return _flat(segments, needs, lines.columns, image_host, chain)
 
@@ -424,7 +425,7 @@ def ingest_pipeline(
     """
     if stored is not None and not stored.limit(1).isEmpty():
         return stored
-    with Scratch(lines.sparkSession) as scratch:
+    with Scratch(lines.sparkSession, sweep=True) as scratch:
         segments, needs = _segmented(scratch, lines, image_host, segment, reach)
         url = lambda df: df if linked is None else df.withColumn("url", F.when(F.col("has_unparsed_url"), tx.extract_link(F.col("line"))["url"]))
         nodes = url(outline_path(_flat(segments, needs, lines.columns, image_host, True)))

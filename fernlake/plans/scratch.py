@@ -12,6 +12,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+SWEEP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The session's shared folder; a local one is made where none is set and all tasks run in this machine (tests)."""
@@ -35,11 +37,12 @@ class Scratch:
 
     ``keep`` writes a DataFrame and returns the table read back; ``close`` deletes all tables
     but those the result still reads (``keep(..., last=True)``), which the caller of the operator
-    may delete by their folder when the result is no longer wanted.
+    may delete by their folder when the result is no longer wanted.  With ``sweep`` the shuffle files of a
+    table go as soon as it is written, instead of when the driver collects garbage, and tables are packed tighter.
     """
 
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, sweep: bool = False):
+        self.spark, self.sweep = spark, sweep
         self.root = f"{shared_dir(spark)}/fernlake-{uuid.uuid4().hex}"
         self.tables: list[tuple[DataFrame, str]] = []
 
@@ -48,7 +51,14 @@ class Scratch:
 
     def keep(self, df: DataFrame, name: str, last: bool = False) -> DataFrame:
         path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
-        df.write.parquet(path)
+        before = self.spark.conf.get(SWEEP, None)
+        if self.sweep:
+            self.spark.conf.set(SWEEP, "true")
+        try:
+            df.write.parquet(path, compression="zstd" if self.sweep else None)
+        finally:
+            if self.sweep:
+                self.spark.conf.set(SWEEP, before) if before is not None else self.spark.conf.unset(SWEEP)
         table = self.spark.read.schema(df.schema).parquet(path)
         if not last:
             self.tables.append((table, path))

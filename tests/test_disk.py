@@ -8,7 +8,7 @@ from fernlake import catalog
 from fernlake.plans.scratch import Scratch
 
 SF = "/root/testdata/sf0.01"
-MOST = {"outline_path": 1.5, "embed_text_view": 1.5, "restore_unparsed_text": 1.5, "prune_empty_leaves": 1.5, "graft_documents": 1.5, "parsed_links": 1.5, "ingest_grafted": 1.5}
+MOST = {"outline_path": 1.5, "embed_text_view": 1.5, "restore_unparsed_text": 1.5, "prune_empty_leaves": 1.5, "graft_documents": 1.5, "parsed_links": 1.5, "ingest_grafted": 1.5, "ingest_pipeline": 1.5, "curate_graph": 2.5}
 
 
 def size(path):
